@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, line_dedup, quality
+from lamella.llm import bpe, decontaminate, line_dedup, quality, simhash
 from lamella.llm._common import fresh_path, read_table
 
 
@@ -16,11 +16,19 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return line_dedup.drop_lines(docs, chars_col="n_chars")
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
-STAGES = [("quality", quality_rules), ("line_dedup", drop_common_lines), ("bpe", encode)]
+STAGES = [("quality", quality_rules), ("line_dedup", drop_common_lines), ("simhash", drop_near_duplicates), ("decontaminate", drop_contaminated), ("bpe", encode)]
 
 #: Piece and BPE vocabularies, and fingerprints, are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL: str | None = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, line_dedup, quality, token_files
+from lamella.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files
 from lamella.llm._common import fresh_path, read_table
 
 
@@ -19,6 +19,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read_table(spark, sf_dir, "documents"))
 
@@ -28,8 +36,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op5_bpe, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op4_token_files, op5_bpe, op6_simhash, op8_decontaminate, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
