@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamella.llm import bpe, decontaminate, line_dedup, quality, simhash, token_files
+from lamella.llm import bpe, chat, decontaminate, line_dedup, quality, secrets, simhash, token_files
 from lamella.llm._common import fresh_path, read_table
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("x")).select("conv_id", "x.*")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_turns(chat.canonical_turns(turns)))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = read_table(spark, sf_dir, "documents"), fresh_path(spark, "token-files")
     return token_files.read_index(spark, token_files.write(docs, folder), folder)
@@ -23,6 +31,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -36,8 +48,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op5_bpe, op6_simhash, op8_decontaminate, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
