@@ -25,7 +25,7 @@ class WholeFile:
         self.name = name
         self.temporary = f"{self.folder}/_temporary/{name}.{uuid.uuid4().hex}"
         self.fs.create_dir(f"{self.folder}/_temporary", recursive=True)
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
 
     def commit(self) -> None:
         self.out.close()
