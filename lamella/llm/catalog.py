@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import bpe, chat, decontaminate, line_dedup, quality, secrets, simhash, token_files, warc
+from lamella.llm import bpe, chat, decontaminate, line_dedup, passages, quality, secrets, simhash, token_files, warc
 from lamella.llm._common import fresh_path, read_table
 
 
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("x")).select("conv_id", "x.*")
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op2_passages, op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
