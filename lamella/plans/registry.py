@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamella.plans import measures
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(measures.REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(measures.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return measures.element_fraction(spark, sf_dir)
