@@ -27,7 +27,7 @@ from lamella.llm.bpe import vocabulary_path
 DEFAULT_PIECES = "piece_bpe_32k.model"
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 WINDOW = 5
 BLOCK_CHARS = 4_000_000
 #: Letters of scripts by their ranges; the first that holds the most letters counts.

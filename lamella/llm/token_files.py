@@ -36,7 +36,7 @@ END_ID = 2
 LENGTH = 2048
 ROWS = 256
 SHARD_BYTES = 24 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 BLOCK_BYTES = 4_000_000
 
 _loaded: dict[str, WordCache] = {}
