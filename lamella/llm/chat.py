@@ -91,19 +91,23 @@ def _listed(layout: Layout, field) -> Column:
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
+def _pairs(array: Column, role: str, text: str) -> Column:
+    return F.transform(array, lambda x: F.struct(_role(x[role]).alias("role"), _text(x[text]).alias("text")))
+
+
 def canonical_turns(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) -> DataFrame:
     """(conv_id, turn, role, text) of a table in one of the layouts, told by its schema's fingerprint."""
-    known = {p for x in layouts for p in x.paths}
-    found = fingerprint(known.intersection(schema_paths(df.schema)))
-    layout = by_fingerprint(layouts).get(found)
+    there = {p for x in layouts for p in x.paths}.intersection(schema_paths(df.schema))
+    by = by_fingerprint(layouts)
+    layout = by.get(fingerprint(there)) or by.get(fingerprint(there - {id_col}))  # the id belongs to the layout of turn rows alone
     if layout is None:
-        raise ValueError(f"no layout has the field paths {sorted(known.intersection(schema_paths(df.schema)))}")
+        raise ValueError(f"no layout has the field paths {sorted(there)}")
     if layout.flat:
         conv, turn, role, text = layout.flat
         return df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), _text(F.col(text)).alias("text"))
     if layout.list_of:
         array, role, text = layout.list_of
-        turns = F.transform(F.col(array), lambda x: F.struct(_role(x[role]).alias("role"), _text(x[text]).alias("text")))
+        turns = _pairs(F.col(array), role, text)
     else:
         turns = _listed(layout, F.col)
     return df.select(F.col(id_col).alias("conv_id"), F.posexplode(turns).alias("turn", "x")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "x.role", "x.text")
@@ -121,7 +125,7 @@ def canonical_turns_of_json(df: DataFrame, json_col: str, id_col: str = "conv_id
         if layout.list_of:
             array, role, text = layout.list_of
             read = F.try_variant_get(json, f"$.{array}", f"array<struct<`{role}`: string, `{text}`: string>>")
-            made = F.transform(read, lambda x, r=role, t=text: F.struct(_role(x[r]).alias("role"), _text(x[t]).alias("text")))
+            made = _pairs(read, role, text)
         else:
             made = _listed(layout, lambda name: F.try_variant_get(json, f"$.{name}", "string"))
         turns = F.when(F.col("fingerprint") == found, made).otherwise(turns)
