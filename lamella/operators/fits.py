@@ -55,6 +55,8 @@ def quadric_to_ellipsoid(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     t = np.eye(4)
     t[3, :3] = centre
     moved = t @ q @ t.T
+    if abs(moved[3, 3]) < 1e-300:
+        return None
     values, axes = np.linalg.eigh(moved[:3, :3] / -moved[3, 3])
     if not (values > 0).all():
         return None
