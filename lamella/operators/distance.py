@@ -135,3 +135,14 @@ def local_thickness(fg: DataFrame, keys: list[str], shape: tuple[int, int, int],
 def thickness_summary(thickness: DataFrame, keys: list[str], name: str = "Tb.Th") -> DataFrame:
     """keys, mean, standard deviation and largest thickness; nulls where there is none."""
     return thickness.groupBy(*keys).agg(F.avg("thickness").alias("mean"), F.stddev("thickness").alias("sd"), F.max("thickness").alias("max")).withColumn("map", F.lit(name))
+
+
+def slice_thickness(fg: DataFrame, keys: list[str], shape: tuple[int, int, int], whole_stack: bool = False) -> DataFrame:
+    """keys, z and the mean, population deviation and largest thickness of each slice: of circles within the slice, or of spheres
+    within the whole stack."""
+    if whole_stack:
+        found = local_thickness(fg, keys, shape)
+    else:
+        flat = fg.select(*keys, "x", "y", F.col("z").alias("slice"), F.lit(0).alias("z"))
+        found = local_thickness(flat, [*keys, "slice"], (shape[0], shape[1], 1)).drop("z").withColumnRenamed("slice", "z")
+    return found.where("thickness > 0").groupBy(*keys, "z").agg(F.avg("thickness").alias("mean"), F.stddev_pop("thickness").alias("sd"), F.max("thickness").alias("max"))

@@ -112,3 +112,54 @@ def aligned(voxels: DataFrame, axes: np.ndarray, centroid: np.ndarray, size: tup
     found = target.select("x", "y", "z", *source)
     own = voxels.select(*(F.col(k).cast("int").alias(f"{k}_") for k in "xyz"), *(c for c in voxels.columns if c not in "xyz"))
     return found.join(own, ["x_", "y_", "z_"]).drop("x_", "y_", "z_")
+
+
+def slice_outline(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0)) -> DataFrame:
+    """keys, z, perimeter (of pixel edges between foreground and background), largest and least caliper widths and the angle of
+    the largest. Only the first and last pixel of a row reach the task that turns a slice's calipers."""
+    vx, vy = spacing
+    own = voxels.select(*keys, "z", "x", "y")
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(side)).alias("side")) for dx, dy, side in ((1, 0, vy), (-1, 0, vy), (0, 1, vx), (0, -1, vx))))
+    near = own.select(*keys, "z", F.explode(steps).alias("s"), "x", "y").select(*keys, "z", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "s.side")
+    perimeter = near.join(own, [*keys, "z", "x", "y"], "left_anti").groupBy(*keys, "z").agg(F.sum("side").alias("perimeter"))
+    ends = own.groupBy(*keys, "z", "y").agg(F.min("x").alias("low"), (F.max("x") + 1).alias("high"))
+    corner = F.array(*(F.struct(F.col(a).alias("x"), b.alias("y")) for a in ("low", "high") for b in (F.col("y"), F.col("y") + 1)))
+    corners = ends.select(*keys, "z", F.explode(corner).alias("p")).select(*keys, "z", "p.x", "p.y")
+    parts = ", ".join(f"`{k}` {voxels.schema[k].dataType.simpleString()}" for k in [*keys, "z"])
+
+    def run(key, f):
+        p = np.unique(f[["x", "y"]].to_numpy(dtype=float), axis=0) * [vx, vy]
+        hull = _hull(p)
+        edges = np.roll(hull, -1, axis=0) - hull
+        normals = np.stack([-edges[:, 1], edges[:, 0]], axis=1) / np.linalg.norm(edges, axis=1, keepdims=True)
+        least = float(((hull @ normals.T).max(axis=0) - (hull @ normals.T).min(axis=0)).min())
+        d = np.linalg.norm(hull[:, None] - hull[None], axis=2)
+        i, j = np.unravel_index(d.argmax(), d.shape)
+        angle = float(np.arctan2(hull[j, 1] - hull[i, 1], hull[j, 0] - hull[i, 0]) % np.pi)
+        return pd.DataFrame([[*key, float(d[i, j]), least, angle]], columns=[*keys, "z", "feret_max", "feret_min", "feret_angle"])
+
+    widths = corners.groupBy(*keys, "z").applyInPandas(run, parts + ", feret_max double, feret_min double, feret_angle double")
+    return perimeter.join(widths, [*keys, "z"])
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    return float((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+
+def _hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull of points in rising order, against the clock."""
+
+    def half(order) -> list:
+        out: list = []
+        for p in order:
+            while len(out) > 1 and _turn(out[-2], out[-1], p) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(half(points) + half(points[::-1]))
+
+
+def orientation_quadrant(theta: float, labels: tuple[str, str, str, str] = ("right", "up", "left", "down")) -> str:
+    """The axis label that a direction (radians) points nearest to."""
+    return labels[int(np.floor(((theta % (2 * np.pi)) + np.pi / 4) / (np.pi / 2))) % 4]

@@ -6,14 +6,15 @@ aggregates and joins over skeleton voxels.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.operators.components import connected_components, linear
+from lamella.operators.components import connected_components, linear, stars
 
 _N26 = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 _INDEX = {o: i for i, o in enumerate(_N26)}
@@ -145,3 +146,68 @@ def junction_angles(vertices: DataFrame, branches: DataFrame, keys: list[str], l
     norm = [F.sqrt(sum(F.col(f"{p}{k}") * F.col(f"{p}{k}") for k in "xyz")) for p in "de"]
     cosine = sum(F.col(f"d{k}") * F.col(f"e{k}") for k in "xyz") / (norm[0] * norm[1])
     return pairs.select(*keys, "vertex", "valence", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))).alias("angle"))
+
+
+def trees(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
+    """vertices with skeleton: the least vertex of what branches connect."""
+    roots = stars(branches.select(*keys, F.col("v1").alias("u"), F.col("v2").alias("v")), keys)
+    return vertices.join(roots.withColumnRenamed("node", "vertex"), [*keys, "vertex"], "left").withColumn("skeleton", F.coalesce("root", "vertex")).drop("root")
+
+
+def longest_shortest_paths(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, skeleton, length and the two ends of the longest of the shortest paths of each skeleton (a task per skeleton)."""
+    own = trees(vertices, branches, keys).select(*keys, F.col("vertex").alias("v1"), "skeleton")
+    edges = branches.join(own, [*keys, "v1"]).select(*keys, "skeleton", "v1", "v2", "length")
+    parts = "".join(f"`{k}` {edges.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def run(key, f):
+        names = np.unique(f[["v1", "v2"]].to_numpy())
+        a, b = np.searchsorted(names, f.v1), np.searchsorted(names, f.v2)
+        around: list[list[tuple[int, float]]] = [[] for _ in names]
+        for i, j, w in zip(a.tolist(), b.tolist(), f.length.tolist()):
+            around[i].append((j, w))
+            around[j].append((i, w))
+        best = (0.0, 0, 0)
+        for start in range(len(names)):
+            far = {start: 0.0}
+            queue, done = [(0.0, start)], set()
+            while queue:
+                d, i = heapq.heappop(queue)
+                if i in done:
+                    continue
+                done.add(i)
+                for j, w in around[i]:
+                    if d + w < far.get(j, np.inf):
+                        far[j] = d + w
+                        heapq.heappush(queue, (d + w, j))
+            end = max(far, key=lambda i: (far[i], -i))
+            if far[end] > best[0]:
+                best = (far[end], start, end)
+        return pd.DataFrame([[*key, best[0], int(names[best[1]]), int(names[best[2]])]], columns=[*keys, "skeleton", "length", "start", "stop"])
+
+    return edges.groupBy(*keys, "skeleton").applyInPandas(run, parts + "skeleton bigint, length double, start bigint, stop bigint")
+
+
+def prune(vertices: DataFrame, branches: DataFrame, keys: list[str], least_length: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, branches, culled): vertices that short branches connect become one, at their centroid; loops, repeated branches and
+    dead ends go. culled has the percentages of branches that went: loop, repeated, short, dead_end."""
+    inner = vertices.where("kind = 'junction'").select(*keys, "vertex")
+    short = branches.where((F.col("length") < least_length) & (F.col("v1") != F.col("v2")))
+    both = short.join(inner.withColumnRenamed("vertex", "v1"), [*keys, "v1"]).join(inner.withColumnRenamed("vertex", "v2"), [*keys, "v2"])
+    roots = stars(both.select(*keys, F.col("v1").alias("u"), F.col("v2").alias("v")), keys)
+    moved = vertices.join(roots.withColumnRenamed("node", "vertex"), [*keys, "vertex"], "left").withColumn("vertex", F.coalesce("root", "vertex"))
+    merged_ = moved.groupBy(*keys, "vertex").agg(F.max("kind").alias("kind"), F.sum("voxels").alias("voxels"), *(F.avg(k).alias(k) for k in "xyz"))
+    out = branches
+    for v in ("v1", "v2"):
+        out = out.join(roots.select(*keys, F.col("node").alias(v), F.col("root").alias("root_")), [*keys, v], "left").withColumn(v, F.coalesce("root_", v)).drop("root_")
+    out = out.withColumns({"a_": F.least("v1", "v2"), "b_": F.greatest("v1", "v2")})
+    ends = vertices.where("kind = 'end'").select(*keys, F.col("vertex").alias("e_"))
+    dead = out.join(ends.withColumnRenamed("e_", "a_"), [*keys, "a_"], "left_semi").unionByName(out.join(ends.withColumnRenamed("e_", "b_"), [*keys, "b_"], "left_semi"))
+    dead = dead.select(*keys, "a_", "b_").distinct()
+    kind = F.when(F.col("a_") == F.col("b_"), F.when(F.col("length") < least_length, "short").otherwise("loop"))
+    marked = out.withColumn("why", kind).join(dead.withColumn("dead_", F.lit(True)), [*keys, "a_", "b_"], "left").withColumn("why", F.coalesce("why", F.when(F.col("dead_"), "dead_end")))
+    n = F.row_number().over(Window.partitionBy(*keys, "a_", "b_").orderBy("length"))
+    marked = marked.withColumn("why", F.coalesce("why", F.when(n > 1, "repeated")))
+    total = F.count(F.lit(1))
+    culled = marked.groupBy(*keys).agg(*((F.count_if(F.col("why") == k) * 100.0 / total).alias(k) for k in ("loop", "repeated", "short", "dead_end")))
+    return merged_, marked.where("why is null").select(*keys, F.col("a_").alias("v1"), F.col("b_").alias("v2"), "length"), culled

@@ -380,3 +380,37 @@ def ellipsoid_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = filters.skip_seeds(seeds.withColumn("all_", F.lit(0)), 4, 0, ["seed_id"], ["all_"]).drop("all_")
     found = ellipsoids.optimise(seeds, fg, SHAPE, ellipsoids.Parameters(vectors=50, iterations=20))
     return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(found)))
+
+
+@query()
+def skeleton_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.operators import skeleton
+    from lamella.storage import written
+
+    thin = written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton")
+    return skeleton.longest_shortest_paths(*skeleton.graph(thin, ["c"]), ["c"])
+
+
+@query()
+def pruned_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.operators import skeleton
+    from lamella.storage import written
+
+    thin = written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton")
+    vertices, branches, _ = skeleton.prune(*skeleton.graph(thin, ["c"]), ["c"], 2.0)
+    return skeleton.junction_angles(vertices, branches, ["c"], 3, 8)
+
+
+@query()
+def slice_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moments.slice_outline(foreground(spark, sf_dir), ["c"])
+
+
+@query(f"""WITH {FOREGROUND_SQL}, bg AS (SELECT c.c, x.x, y.y, z.z FROM (SELECT DISTINCT c FROM fg) c, (SELECT unnest(range(50)) AS x) x, (SELECT unnest(range(11)) AS y) y, (SELECT unnest(range(9)) AS z) z
+  WHERE NOT EXISTS (SELECT 1 FROM fg WHERE fg.c = c.c AND fg.x = x.x AND fg.y = y.y AND fg.z = z.z)),
+e AS (SELECT fg.c, fg.x, fg.y, fg.z, min((fg.x - bg.x) ** 2 + (fg.y - bg.y) ** 2) AS d2 FROM fg JOIN bg ON bg.c = fg.c AND bg.z = fg.z GROUP BY ALL),
+t AS (SELECT p.c, p.x, p.y, p.z, max(2 * sqrt(s.d2)) AS thickness FROM fg p JOIN e s ON s.c = p.c AND s.z = p.z AND (p.x - s.x) ** 2 + (p.y - s.y) ** 2 < s.d2 GROUP BY ALL)
+SELECT c, z, round(avg(thickness), 6) AS mean, round(stddev_pop(thickness), 6) AS sd, round(max(thickness), 6) AS max FROM t GROUP BY c, z""")
+def slice_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distance.slice_thickness(foreground(spark, sf_dir), ["c"], SHAPE)
+    return found.select("c", "z", *(r6(k).alias(k) for k in ("mean", "sd", "max")))
