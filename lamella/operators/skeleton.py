@@ -103,7 +103,7 @@ def classified(skeleton: DataFrame, keys: list[str]) -> DataFrame:
 
 def graph(skeleton: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
     """(vertices, branches). A vertex is an end voxel or a component of junction voxels, at their centroid; a branch is a component
-    of slab voxels, or a step between two vertices, with its calibrated length from vertex to vertex."""
+    of slab voxels, or a step between two vertices, with its calibrated length between the nearest voxels of its vertices."""
     points = classified(skeleton, keys)
     ends = points.where("kind = 'end'").select(*keys, "x", "y", "z", linear(F.col("x"), F.col("y"), F.col("z")).alias("vertex"), "kind")
     joints = connected_components(points.where("kind = 'junction'"), keys, 26).select(*keys, "x", "y", "z", F.col("label").alias("vertex"), F.lit("junction").alias("kind"))

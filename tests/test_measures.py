@@ -263,3 +263,22 @@ def test_queries_are_as_their_sql(spark, name):
     expected = con.execute(registry.oracle_sql()[name]).df()[columns]
     key = lambda r: tuple(round(float(v), 6) + 0.0 for v in r)
     assert sorted(map(key, rows.select(*columns).collect())) == sorted(map(key, expected.itertuples(index=False)))
+
+
+# ---- paths, pruning, slices
+def test_paths_pruning_and_outlines(spark):
+    from lamella.operators import moments
+
+    arms = [(5 + i, 5, 0) for i in range(-6 + 2, 7)] + [(5, 5 + i, 0) for i in range(1, 5)]
+    v, b = skeleton.graph(volume(spark, arms), ["c"])
+    path = skeleton.longest_shortest_paths(v, b, ["c"]).first()
+    assert path["length"] == pytest.approx(8)  # lengths end at the nearest voxel of a junction
+    left, kept, culled = skeleton.prune(v, b, ["c"], 1.5)
+    c = culled.first()
+    assert c["dead_end"] == 100 and kept.count() == 0 and left.count() <= v.count()
+    square = volume(spark, [(x, y, 0) for x in range(4) for y in range(3)])
+    o = moments.slice_outline(square, ["c"], (0.5, 0.5)).first()
+    assert o["perimeter"] == pytest.approx(7.0) and o["feret_max"] == pytest.approx(2.5) and o["feret_min"] == pytest.approx(1.5)
+    t = distance.slice_thickness(volume(spark, [(x, y, z) for x in range(1, 10) for y in range(2, 5) for z in (1, 2)]), ["c"], (11, 7, 5)).collect()
+    assert {r["z"] for r in t} == {1, 2} and all(r["max"] == 4.0 for r in t)
+    assert moments.orientation_quadrant(0.1) == "right" and moments.orientation_quadrant(math.pi / 2) == "up"
