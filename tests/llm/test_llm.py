@@ -386,3 +386,14 @@ def test_pipeline_stages_keep_their_contracts(spark):
             assert {i for i, _ in after} == {i for i, t in before if not brute_hits(t, items)[-1]}
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     same(bpe.decode(encoded).collect(), local(docs))
+
+
+@pytest.mark.parametrize("ids", [[-(1 << 63), 0, (1 << 63) - 1, None], list(range(-50, 50)), [7, 7, None], [None]])
+def test_shards_ascend_with_the_key(spark, ids):
+    from lamella.llm._shards import shard_plan
+
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    shard, n = shard_plan(df, "id", F.lit(1), 2)
+    rows = sorted(((i is not None, i or 0), s) for i, s in df.select("id", shard.alias("s")).collect())
+    got = [s for _, s in rows]
+    assert got == sorted(got) and set(got) <= set(range(n))
