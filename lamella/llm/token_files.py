@@ -18,6 +18,7 @@ aren't read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -36,7 +37,8 @@ END_ID = 2
 LENGTH = 2048
 ROWS = 256
 SHARD_BYTES = 24 << 20
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
+STOPS = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
 BLOCK_BYTES = 4_000_000
 
 _loaded: dict[str, WordCache] = {}
@@ -60,10 +62,17 @@ class WordCache:
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        """The text's words in the form that most of them share: the tokenizer lowers case itself, and parts a full stop or a
+        comma from a letter before it, so that is done here. Texts that may hold special tokens are left as they are."""
+        data = text.encode()
+        return data.split() if b"<|" in data else STOPS.sub(rb" \1", data.lower()).split()
+
     def encode_batch(self, texts: list[str], whole_texts: bool) -> list[bytes]:
         if whole_texts:
             return self.encoded(texts)
-        words = [t.encode().split() for t in texts]
+        words = [self.words(t) for t in texts]
         new = self.cache.lacking(set().union(*words))
         for i in range(0, len(new), 20_000):
             self.cache.update(zip(new[i : i + 20_000], self.encoded([w.decode() for w in new[i : i + 20_000]])))
