@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def store(url: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(url.replace("file:/", "file:///", 1) if url.startswith("file:/") and not url.startswith("file://") else url if "://" in url else "file://" + url)
+    """The file system of a URL, and the path in it. Spark writes file:/ and s3a:// where pyarrow says file:/// and s3://; a bare
+    path is a local one."""
+    if "://" not in url:
+        url = "file://" + url.removeprefix("file:")
+    return fs.FileSystem.from_uri(url.replace("s3a://", "s3://", 1))
 
 
 class WholeFile:
