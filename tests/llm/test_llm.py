@@ -279,6 +279,59 @@ def test_passages(spark):
     assert passages.classes(docs.limit(0)).collect() == []
 
 
+def made_texts(n: int, seed: int) -> list[list[str]]:
+    rng = random.Random(seed)
+    return [["".join(rng.choices("abcdefghij", k=6)) for _ in range(120)] for _ in range(n)]
+
+
+def as_docs(spark, table):
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(table)], "doc_id bigint, text string")
+
+
+def test_passages_among_unrelated_holders(spark):
+    """Two texts share a passage all of whose shingles stand in unrelated texts too, which are both ends of every signature."""
+    table = made_texts(400, 21)
+    passage = table[0][20:72]
+    table[1][40:92] = passage
+    for k, text in enumerate(table[2:]):  # twenty words of the passage each
+        at = k % 33
+        text[50:70] = passage[at : at + 20]
+    docs = as_docs(spark, table)
+    for parameters in ({}, {"hot": 40}):  # whole, and dealt into pairs of parts
+        found = {r["doc_id"]: r for r in passages.classes(docs, **parameters).collect()}
+        assert found[1]["class_id"] == 0 and found[0]["n_links"] == found[1]["n_links"] == 1
+        (start, stop), = found[1]["passages"]
+        assert 35 <= start <= 40 and 92 <= stop <= 97  # a tenth of the shingles may differ
+        assert all(found[i]["class_id"] == i and not found[i]["n_links"] for i in range(2, 400))
+
+
+def test_passage_groups_against_brute_force():
+    """Groups of one signature, few and many, with chains of edited copies, against all pairs."""
+    rng = np.random.default_rng(5)
+    width, needed = 46, 41
+    for n, families in ((10, 3), (80, 6), (300, 60)):
+        base = rng.integers(1, 1 << 16, (families, 91)).astype("<u2")
+        base[:, 35:56] = base[0, 35:56]  # a common phrase
+        rows = base[rng.integers(0, families, n)]
+        for r in rows:
+            at = rng.integers(0, 86, rng.integers(0, 4))
+            for a in at:
+                r[a : a + 5] = rng.integers(1, 1 << 16, 5)
+            if rng.random() < 0.2:
+                r[46:] = np.roll(r[46:], 2)
+            if rng.random() < 0.2:
+                r[:20] = 0
+        rows[:, 45] = 7
+        i, j = (x.ravel() for x in np.triu_indices(n, 1))
+        a, b, _ = passages.compared(rows, i, j, width, needed)
+        root = list(range(n))
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = root[x], root[y]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        label, low, high = passages.grouped(np.zeros(n, dtype=np.int64), rows, width, needed)
+        assert label.tolist() == root and ((high >= 0) == np.isin(np.arange(n), np.concatenate([a, b]))).all()
+
+
 def test_compact_windows_against_all_passages():
     rng = np.random.default_rng(9)
     for _ in range(20):
