@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lamella.operators import components, distance, filters, fits, fraction, fra
 from lamella.sources.tables import CELL_SQL, FOREGROUND_SQL, GRAINS_SQL, SHAPE, above_mean, foreground, grains, table, voxelize
 
 W, H, D = SHAPE
+CHANNELS = 3  # A, N and R
 REGISTRY: dict = {}
 SQL: dict[str, str] = {}
 #: Distinct cells of the foreground, for the characteristic.
@@ -347,12 +350,18 @@ def ef_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ellipsoids.factor_image(ellipsoids.assign(foreground(spark, sf_dir).where("c = 0"), found, 2)).select("x", "y", "z", r6("ef").alias("ef"))
 
 
+def _of_channels(spark: SparkSession, sf_dir: str, measure) -> DataFrame:
+    """The rows of a measure of each channel's foreground, with c."""
+    fg = foreground(spark, sf_dir)
+    parts = [measure(fg.where(F.col("c") == c)).withColumn("c", F.lit(c)) for c in range(CHANNELS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import mil
 
-    points = mil.mil_points(foreground(spark, sf_dir).where("c = 0"), SHAPE, directions=200, lines=400, seed=1)
-    return mil.anisotropy(points.withColumn("c", F.lit(0)), ["c"])
+    return mil.anisotropy(_of_channels(spark, sf_dir, lambda fg: mil.mil_points(fg, SHAPE, seed=1)), ["c"])
 
 
 @query()
@@ -375,11 +384,12 @@ def junction_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ellipsoid_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import ellipsoids
 
-    fg = foreground(spark, sf_dir).where("c = 0")
-    seeds = distance.ridge_points(fg, ["c"], SHAPE).select(components.linear(F.floor("x"), F.floor("y"), F.floor("z")).alias("seed_id"), "x", "y", "z")
-    seeds = filters.skip_seeds(seeds.withColumn("all_", F.lit(0)), 4, 0, ["seed_id"], ["all_"]).drop("all_")
-    found = ellipsoids.optimise(seeds, fg, SHAPE, ellipsoids.Parameters(vectors=50, iterations=20))
-    return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(found)))
+    def image(fg: DataFrame) -> DataFrame:
+        seeds = distance.ridge_points(fg, ["c"], SHAPE).select(components.linear(F.floor("x"), F.floor("y"), F.floor("z")).alias("seed_id"), "x", "y", "z")
+        seeds = filters.skip_seeds(seeds.withColumn("all_", F.lit(0)), 4, 0, ["seed_id"], ["all_"]).drop("all_")
+        return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(ellipsoids.optimise(seeds, fg, SHAPE))))
+
+    return _of_channels(spark, sf_dir, image)
 
 
 @query()

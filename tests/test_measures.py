@@ -202,6 +202,27 @@ def test_skeleton_of_a_bar_and_a_cross(spark):
 
 
 # ---- ellipsoids
+def test_queries_measure_every_channel_in_full(spark, monkeypatch):
+    from lamella.plans import measures
+
+    points, asked = mil.mil_points, []
+
+    def few_points(fg, shape, directions=2000, lines=10_000, **rest):
+        asked.append((directions, lines))
+        return points(fg, shape, 60, 100, **rest)
+
+    def fixed(seeds, fg, shape, parameters=ellipsoids.Parameters(), **rest):
+        asked.append((parameters.vectors, parameters.iterations))
+        return ellipsoids.ranked(measures._fixed_ellipsoids(spark))
+
+    monkeypatch.setattr(mil, "mil_points", few_points)
+    monkeypatch.setattr(ellipsoids, "optimise", fixed)
+    expected = {r["c"] for r in measures.foreground(spark, SF).select("c").distinct().collect()}
+    assert len(expected) == 3 and {r["c"] for r in measures.anisotropy(spark, SF).collect()} == expected
+    assert {r["c"] for r in measures.ellipsoid_factor(spark, SF).select("c").distinct().collect()} == expected
+    assert asked == [(2000, 10_000)] * 3 + [(100, 100)] * 3
+
+
 def test_ellipsoid_factor(spark):
     r = 8
     ball = volume(spark, [(x + 12, y + 12, z + 12) for x, y, z in itertools.product(range(-r, r + 1), repeat=3) if x * x + y * y + z * z < r * r])
