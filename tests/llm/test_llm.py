@@ -305,6 +305,26 @@ def test_passages_among_unrelated_holders(spark):
         assert all(found[i]["class_id"] == i and not found[i]["n_links"] for i in range(2, 400))
 
 
+def test_recall_of_edited_passages(spark):
+    """Lone pairs of passages with one word changed, added or left out (similarity 0.8 to 0.9), against brute force."""
+    table = made_texts(2400, 33)
+    rng = random.Random(34)
+    width, expected = 46, []
+    for i in range(0, len(table), 2):
+        n = rng.randint(50, 56)
+        passage, at = table[i][30 : 30 + n], rng.randint(4, n - 5)
+        edited = [passage[:at] + ["changed"] + passage[at + 1 :], passage[:at] + ["added"] + passage[at:], passage[:at] + passage[at + 1 :]][i // 2 % 3]
+        table[i + 1][10 : 10 + len(edited)] = edited
+        a, b = ([tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (table[i], table[i + 1]))
+        windows = [[set(x[k : k + width]) for k in range(len(x) - width + 1) if len(set(x[k : k + width]) & set(y)) >= 41] for x, y in ((a, b), (b, a))]
+        if any(len(x & y) >= 0.8 * len(x | y) for x in windows[0] for y in windows[1]):
+            expected.append(i)
+    found = {r["doc_id"]: r["class_id"] for r in passages.classes(as_docs(spark, table)).collect()}
+    caught = [i for i in expected if found[i + 1] == i]
+    print(len(expected), len(caught))
+    assert len(expected) > 500 and len(caught) >= 0.995 * len(expected)
+
+
 def test_passage_groups_against_brute_force():
     """Groups of one signature, few and many, with chains of edited copies, against all pairs."""
     rng = np.random.default_rng(5)
