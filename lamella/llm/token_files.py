@@ -9,7 +9,9 @@ slices buffers without copying.
 
 Words between ASCII white space are encoded by the tokenizers library one by one and kept, which gives the ids of the
 whole text: its normalizer and word pattern never reach across white space (white space is dropped), and special tokens
-hold none. `whole_texts=True` hands it whole texts instead, for a tokenizer of which that isn't so.
+hold none. Words of Western letters with punctuation after them, if any, go to the library's model at once, as its normalizer
+changes nothing in them and its pattern parts them there. `whole_texts=True` hands it whole texts instead, for a tokenizer
+of which that isn't so.
 
 Defined results: a null text is as an empty one (the end id alone); null ids sort first; rows of equal ids are in the
 order of their texts, and equal rows each have their place; an empty table gives no files and no rows; other columns
@@ -18,6 +20,7 @@ aren't read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from lamella.llm._common import TwoGenerations
 from lamella.llm._files import WholeFile, commit_manifest, store
 from lamella.llm._shards import shard_plan
-from lamella.llm.bpe import vocabulary_path
+from lamella.llm.bpe import printable_bytes, vocabulary_path
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -39,6 +42,11 @@ ROWS = 256
 SHARD_BYTES = 24 << 20
 CACHED_WORDS = 300_000
 STOPS = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
+#: Letters that no normalizer changes, then ASCII punctuation without the apostrophe: two pieces of the tokenizer's pattern.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Fixed values of the public tokenizer: how it normalizes and parts a text, which PLAIN counts on.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 BLOCK_BYTES = 4_000_000
 
 _loaded: dict[str, WordCache] = {}
@@ -58,6 +66,13 @@ class WordCache:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = TwoGenerations(CACHED_WORDS)
+        self.model = self.tokenizer.model
+        self.bytes_of = [int(i).to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        spec = json.loads(self.tokenizer.to_str())
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.plain = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and first.get("pattern") == {"Regex": PATTERN} and not spec["model"].get("dropout")
+        of = {b: c for c, b in printable_bytes().items()}
+        self.as_bytes = {i: "".join(of[b] for b in chr(i).encode()) for i in range(256) if i >= 128}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,13 +84,35 @@ class WordCache:
         data = text.encode()
         return data.split() if b"<|" in data else STOPS.sub(rb" \1", data.lower()).split()
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of letters or punctuation of a plain word; the word's encoding if it is all of it."""
+        tokens = self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))
+        return b"".join([self.bytes_of[t.id] for t in tokens])
+
+    def fill(self, new: list[bytes]) -> None:
+        """Puts the ids of new words into the cache."""
+        cache, others, ends = self.cache, [], {}
+        for w in new:
+            found = PLAIN.fullmatch(w.decode()) if self.plain else None
+            if found is None:
+                others.append(w)
+                continue
+            letters, end = found.groups()
+            ids = cache.get(w) if not end else cache.get(letters.encode())
+            if ids is None:
+                ids = cache[letters.encode()] = self.piece(letters)
+            if end:
+                if end not in ends:
+                    ends[end] = self.piece(end)
+                cache[w] = ids + ends[end]
+        for i in range(0, len(others), 20_000):
+            cache.update(zip(others[i : i + 20_000], self.encoded([w.decode() for w in others[i : i + 20_000]])))
+
     def encode_batch(self, texts: list[str], whole_texts: bool) -> list[bytes]:
         if whole_texts:
             return self.encoded(texts)
         words = [self.words(t) for t in texts]
-        new = self.cache.lacking(set().union(*words))
-        for i in range(0, len(new), 20_000):
-            self.cache.update(zip(new[i : i + 20_000], self.encoded([w.decode() for w in new[i : i + 20_000]])))
+        self.fill(self.cache.lacking(set().union(*words)))
         return [b"".join(map(self.cache.__getitem__, w)) for w in words]
 
 
