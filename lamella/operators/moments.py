@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+NO_PLACE = -1.0  # where a centroid of no mass is
 POWERS = ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz")
 
 
@@ -21,10 +22,10 @@ def raw_moments(voxels: DataFrame, keys: list[str], weight: Column | None = None
 
 
 def centroid3d(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), weight: Column | None = None) -> DataFrame:
-    """keys, n and the mass-weighted centroid; the third position counts slices from 1."""
+    """keys, n and the mass-weighted centroid; the third position counts slices from 1. Without mass it is NO_PLACE."""
     s = raw_moments(voxels, keys, weight)
-    at = [(F.col(f"s{k}") / F.col("m") + (1 if k == "z" else 0)) * spacing[i] for i, k in enumerate("xyz")]
-    return s.select(*keys, "n", *(a.alias(f"c{k}") for a, k in zip(at, "xyz")))
+    at = [(F.try_divide(f"s{k}", "m") + (1 if k == "z" else 0)) * spacing[i] for i, k in enumerate("xyz")]
+    return s.select(*keys, "n", *(F.coalesce(a, F.lit(NO_PLACE)).alias(f"c{k}") for a, k in zip(at, "xyz")))
 
 
 def inertia_tensor(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), weight: Column | None = None) -> DataFrame:
@@ -34,7 +35,7 @@ def inertia_tensor(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0),
 
     def about(a: str, b: str, u: float, v: float) -> Column:
         pair = "".join(sorted(a + b))
-        return (F.col(f"s{pair}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("m")) * (u * v)
+        return (F.col(f"s{pair}") - F.coalesce(F.try_divide(F.col(f"s{a}") * F.col(f"s{b}"), F.col("m")), F.lit(0.0))) * (u * v)
 
     xx, yy, zz = about("x", "x", vx, vx), about("y", "y", vy, vy), about("z", "z", vz, vz)
     own = [F.col("m") * ((p * p + q * q) / 12) for p, q in ((vy, vz), (vx, vz), (vx, vy))]
@@ -73,7 +74,7 @@ def slice_centroids(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0), weig
 
 def slice_moments(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0)) -> DataFrame:
     """keys, z and, about the slice's centroid: theta (its principal angle), imin, imax, ipm, r1, r2 (largest reach from
-    the axes), zmin, zmax, zpol. Two passes, the second joined to the angles of the first."""
+    the axes), z1, z2, zpol (null where a slice has no reach, as of one pixel). Two passes, the second joined to the angles of the first."""
     vx, vy = spacing
     area = vx * vy
     first = voxels.groupBy(*keys, "z").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(p[0]).cast("bigint") * (F.col(p[1]).cast("bigint") if len(p) > 1 else 1)).alias(f"s{p}") for p in ("x", "y", "xx", "yy", "xy")))
@@ -91,7 +92,7 @@ def slice_moments(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0)) -> Dat
     second = joined.groupBy(*keys, "z").agg(F.first("n").alias("n"), F.first("theta").alias("theta"), F.sum(across * across).alias("s1"), F.sum(along * along).alias("s2"), F.sum(along * across).alias("sp"), F.max(F.abs(across)).alias("r1"), F.max(F.abs(along)).alias("r2"))
     moment = F.col("n") * (area / 12)  # of the voxels themselves, of unit sides
     i1, i2, ip = F.col("s1") * area + moment, F.col("s2") * area + moment, F.col("sp") + moment
-    return second.select(*keys, "z", "theta", F.least(i1, i2).alias("imin"), F.greatest(i1, i2).alias("imax"), ip.alias("ipm"), "r1", "r2", (i1 / F.col("r1")).alias("z1"), (i2 / F.col("r2")).alias("z2"), ((i1 + i2) / F.sqrt(F.col("r1") * F.col("r1") + F.col("r2") * F.col("r2"))).alias("zpol"))
+    return second.select(*keys, "z", "theta", F.least(i1, i2).alias("imin"), F.greatest(i1, i2).alias("imax"), ip.alias("ipm"), "r1", "r2", F.try_divide(i1, F.col("r1")).alias("z1"), F.try_divide(i2, F.col("r2")).alias("z2"), F.try_divide(i1 + i2, F.sqrt(F.col("r1") * F.col("r1") + F.col("r2") * F.col("r2"))).alias("zpol"))
 
 
 def aligned_size(voxels: DataFrame, axes: np.ndarray, centroid: np.ndarray, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
