@@ -82,14 +82,14 @@ class TwoGenerations(dict):
         super().__init__()
         self.half, self.old = half, {}
 
-    def lacking(self, keys: set) -> list:
-        """The keys that neither generation has; those of the old one move up. Call this before reading keys."""
+    def lacking(self, keys) -> list:
+        """The keys (each once) that neither generation has; those of the old one move up. Call this before reading keys."""
         if len(self) > self.half:
             self.old = dict(self)
             self.clear()
         new = []
         get = self.old.get
-        for k in keys.difference(self):
+        for k in [k for k in keys if k not in self]:  # set.difference would go through all of a dict of another class
             v = get(k)
             if v is None:
                 new.append(k)

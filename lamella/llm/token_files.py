@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +42,18 @@ LENGTH = 2048
 ROWS = 256
 SHARD_BYTES = 24 << 20
 CACHED_WORDS = 300_000
-STOPS = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
 #: Letters that no normalizer changes, then ASCII punctuation without the apostrophe: two pieces of the tokenizer's pattern.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Fixed values of the public tokenizer: how it normalizes and parts a text, which PLAIN counts on.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 10_000_000
 
 _loaded: dict[str, WordCache] = {}
 
 
 class WordCache:
-    """The tokenizer with the words that it has lately encoded, as bytes of little-endian integers."""
+    """The tokenizer with the ids of the words that it has lately encoded, as bytes of little-endian integers."""
 
     def __init__(self, path: str):
         import os
@@ -77,43 +77,60 @@ class WordCache:
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        """The text's words in the form that most of them share: the tokenizer lowers case itself, and parts a full stop or a
-        comma from a letter before it, so that is done here. Texts that may hold special tokens are left as they are."""
-        data = text.encode()
-        return data.split() if b"<|" in data else STOPS.sub(rb" \1", data.lower()).split()
-
     def piece(self, piece: str) -> bytes:
         """The ids of letters or punctuation of a plain word; the word's encoding if it is all of it."""
         tokens = self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))
         return b"".join([self.bytes_of[t.id] for t in tokens])
 
-    def fill(self, new: list[bytes]) -> None:
+    def fill(self, new: list[str]) -> None:
         """Puts the ids of new words into the cache."""
         cache, others, ends = self.cache, [], {}
         for w in new:
-            found = PLAIN.fullmatch(w.decode()) if self.plain else None
+            found = PLAIN.fullmatch(w) if self.plain else None
             if found is None:
                 others.append(w)
                 continue
             letters, end = found.groups()
-            ids = cache.get(w) if not end else cache.get(letters.encode())
+            ids = cache.get(letters) if end else None
             if ids is None:
-                ids = cache[letters.encode()] = self.piece(letters)
+                ids = cache[letters] = self.piece(letters)
             if end:
                 if end not in ends:
                     ends[end] = self.piece(end)
                 cache[w] = ids + ends[end]
         for i in range(0, len(others), 20_000):
-            cache.update(zip(others[i : i + 20_000], self.encoded([w.decode() for w in others[i : i + 20_000]])))
+            cache.update(zip(others[i : i + 20_000], self.encoded(others[i : i + 20_000])))
 
-    def encode_batch(self, texts: list[str], whole_texts: bool) -> list[bytes]:
+    def encode_batch(self, texts: pa.Array, whole_texts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one text after the other, and how many each has."""
         if whole_texts:
-            return self.encoded(texts)
-        words = [self.words(t) for t in texts]
-        self.fill(self.cache.lacking(set().union(*words)))
-        return [b"".join(map(self.cache.__getitem__, w)) for w in words]
+            ids = self.encoded(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), dtype=self.dtype), np.array([len(x) // self.dtype.itemsize for x in ids], dtype=np.int64)
+        # in lower case most words are plain; texts that may hold special tokens are left as they are
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        keys, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        own = list(map(self.cache.get, keys))
+        new = [i for i, x in enumerate(own) if x is None]
+        self.fill(self.cache.lacking([keys[i] for i in new]))
+        for i in new:
+            own[i] = self.cache[keys[i]]
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(own), dtype=self.dtype)
+        counts = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts)
+        at += np.arange(len(at))
+        return pool[at], np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and counts with an id more at the end of each text."""
+    out = np.full(len(ids) + len(counts), end_id, dtype=ids.dtype)
+    own = np.ones(len(out), dtype=bool)
+    own[np.cumsum(counts + 1) - 1] = False
+    out[own] = ids
+    return out, counts + 1
 
 
 def loaded(vocabulary: str) -> WordCache:
@@ -134,19 +151,18 @@ class ShardWriter:
         self.held, self.held_ids = [], 0
         self.n_docs = self.n_tokens = 0
 
-    def add(self, doc_ids: pa.Array, ids: list[bytes]) -> None:
-        counts = np.array([len(x) // self.dtype.itemsize for x in ids], dtype=np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         ends = self.n_tokens + np.cumsum(counts)
         self.docs.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(ends - counts), pa.array(counts)], schema=self.index))
-        self.n_docs += len(ids)
-        self.n_tokens += int(counts.sum())
-        self.held += ids
-        self.held_ids += int(counts.sum())
+        self.n_docs += len(counts)
+        self.n_tokens += len(ids)
+        self.held.append(ids)
+        self.held_ids += len(ids)
         if self.held_ids >= self.length * self.rows:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
-        values = np.frombuffer(b"".join(self.held), dtype=self.dtype)
+        values = np.concatenate(self.held) if self.held else np.zeros(0, dtype=self.dtype)
         step = self.length * self.rows
         stop = len(values) if last else len(values) // step * step
         for i in range(0, stop, step):
@@ -155,7 +171,7 @@ class ShardWriter:
             mask = pa.array(np.arange(len(some) + short) < len(some))
             some = np.concatenate([some, np.zeros(short, dtype=self.dtype)]) if short else some
             self.tokens.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(some), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], schema=self.kind))
-        self.held = [values[stop:].tobytes()]
+        self.held = [values[stop:].copy()]
         self.held_ids = len(values) - stop
 
     def close(self) -> None:
@@ -173,18 +189,16 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         words, writer, number = loaded(vocabulary), None, 0
-        end = np.array([end_id], dtype=words.dtype).tobytes()
         for b in batches:
-            texts, start = b.column(1).to_pylist(), 0
+            texts, start = b.column(1), 0
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size < BLOCK_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES)))
                 if writer is None:
                     number = b.column(2)[0].as_py()
                     writer = ShardWriter(folder, number, words.dtype, b.column(0).type, length, rows)
-                writer.add(b.column(0).slice(start, stop - start), [x + end for x in words.encode_batch(texts[start:stop], whole_texts)])
+                writer.add(b.column(0).slice(start, stop - start), *with_ends(*words.encode_batch(texts.slice(start, stop - start), whole_texts), end_id))
                 start = stop
         if writer is not None:
             writer.close()
