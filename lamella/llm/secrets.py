@@ -1,12 +1,14 @@
 """Secret scan: patterns of assignments, access keys and hexadecimal runs, and a token-efficiency test.
 
 The patterns run over a text's bytes, and only over texts that hold their literal parts. The test takes runs of the
-characters of keys and encodings with letters and digits both, and asks how many characters a token of a public
-vocabulary covers in the mean: words and paths are covered by long tokens, random strings by short ones. Runs that are a
-known digest (hexadecimal, of a digest's length), a UUID, or a date, and runs that touch a pattern's span, are left out.
+characters of keys and encodings, without what the patterns' spans cover of them, and asks how many characters a token of a
+public vocabulary covers in the mean: words, names of programs and paths are covered by long tokens (2.1 characters and more),
+random strings by short ones (1.3 to 1.9). Runs that are a known digest (hexadecimal of a digest's length, or in base 64 after
+its name), a UUID, a date or a number are left out. Long runs are measured by pieces of PIECE characters.
 
 Defined results: a null text is as an empty one, with no spans; rows are independent of each other, so repeated rows and
-ids give equal rows; an empty table gives no rows; other columns are not read. Offsets are code points, ends exclusive.
+ids give equal rows; an empty table gives no rows; other columns are not read; a text takes time in proportion to its length.
+Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +27,14 @@ from lamella.llm.bpe import WORDS, vocabulary_path
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: In order of the spans' names where they start together.
 KINDS = ("assign", "access", "hex", "token")
-LEAST_RUN, MOST_CHARS_A_TOKEN = 20, 1.9
+LEAST_RUN, MOST_CHARS_A_TOKEN, PIECE = 20, 1.9, 1000
 LITERALS = (b"password", b"passwd", b"secret", b"token", b"api")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 RUN = re.compile(rb"[A-Za-z0-9+/=_-]{%d,}" % LEAST_RUN)
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
-KNOWN = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d[-T\d]*|[\d/=+_-]+|[A-Za-z/=+_-]+")
+KNOWN = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d[-T\d]*|[\d/=+_-]+|sha(1|256|384|512)[-=][A-Za-z0-9+/]+=*")
 WHOLE_HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 
 _loaded: dict[str, object] = {}
@@ -59,24 +62,47 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def uncovered(runs, base: list[tuple[int, int, int]]):
+    """(start, end) of the parts of runs (matches in order) that no span covers; one walk over both."""
+    covers = sorted((s, e) for s, _, e in base)
+    at = 0
+    for m in runs:
+        start, end = m.span()
+        while at < len(covers) and covers[at][1] <= start:
+            at += 1
+        k = at
+        while k < len(covers) and covers[k][0] < end:
+            if covers[k][0] > start:
+                yield start, covers[k][0]
+            start = max(start, covers[k][1])
+            at, k = k, k + 1
+        if start < end:
+            yield start, end
+
+
+def chars_a_token(run: str, encoding) -> float:
+    return len(run) / sum(len(encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+
 def random_spans(text: bytes, base: list[tuple[int, int, int]], encoding) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of runs with few characters a token that touch no span of base and are nothing known."""
+    """(start, kind, end) of runs with few characters a token, beside the spans of base, that are nothing known."""
     out = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if KNOWN.fullmatch(run) or (len(run) in DIGEST_LENGTHS and WHOLE_HEX.fullmatch(run)) or any(s < m.end() and m.start() < e for s, _, e in base):
+    for start, end in uncovered(RUN.finditer(text), base):
+        run = text[start:end]
+        if len(run) < LEAST_RUN or KNOWN.fullmatch(run) or (len(run) in DIGEST_LENGTHS and WHOLE_HEX.fullmatch(run)):
             continue
-        if len(run) <= MOST_CHARS_A_TOKEN * len(encoding.encode_ordinary(run.decode())):
-            out.append((m.start(), 3, m.end()))
+        if chars_a_token(run.decode(), encoding) <= MOST_CHARS_A_TOKEN:
+            out.append((start, 3, end))
     return out
 
 
 def _named(text: bytes, spans: list[tuple[int, int, int]]) -> list[str]:
     """kind:start:end in code points, by start, then kind."""
     spans = sorted(spans)
-    if text.isascii():
-        return [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
-    return [f"{KINDS[k]}:{len(text[:s].decode())}:{len(text[:e].decode())}" for s, k, e in spans]
+    if spans and not text.isascii():
+        before = np.concatenate(([0], np.cumsum(np.frombuffer(text, dtype=np.uint8) & 0xC0 != 0x80)))
+        spans = [(int(before[s]), k, int(before[e])) for s, k, e in spans]
+    return [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
