@@ -16,6 +16,7 @@ from lamella.operators import fits
 
 BROADCAST_BYTES = 256 << 20
 LEAST_INCREMENT = 1.73
+SAMPLES = 500_000  # at a time
 
 
 def packed(fg: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
@@ -49,6 +50,24 @@ def direction(seed: int, i: int) -> tuple[np.ndarray, np.random.Generator]:
     return turn, rng
 
 
+def phase_changes(volume: np.ndarray, origins: np.ndarray, starts: np.ndarray, counts: np.ndarray, along: np.ndarray, increment: float) -> int:
+    """Changes of phase along lines that are sampled so many times; points out of the volume are passed over."""
+    changes, size = 0, np.array(volume.shape)
+    cut = np.flatnonzero(np.diff(np.cumsum(counts) // SAMPLES, prepend=0)).tolist()
+    for low, high in zip([0, *cut], [*cut, len(counts)]):
+        n = counts[low:high]
+        line = np.repeat(np.arange(low, high), n)
+        step = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        at = (origins[line] + (starts[line] + step * increment)[:, None] * along).astype(np.int64)
+        good = ((at >= 0) & (at < size)).all(axis=1)
+        at, line = at[good], line[good]
+        phase = volume[at[:, 0], at[:, 1], at[:, 2]]
+        fresh = np.diff(line, prepend=-1) != 0
+        before = np.concatenate(([False], phase[:-1])) & ~fresh
+        changes += int((phase != before).sum())
+    return changes
+
+
 def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, length: float, sections: int, increment: float) -> np.ndarray:
     """The direction, as long as the mean intercept: lines of so much length in all, stratified over the plane, are sampled in
     steps, and changes of phase either way counted; a line that begins in the foreground counts one."""
@@ -70,18 +89,15 @@ def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, l
         starts = low + rng.random(len(cells)) * increment
         hits = np.flatnonzero(high > starts)
         empty = 0 if len(hits) else empty + 1
-        for k in hits.tolist():
-            n = int(np.ceil((high[k] - starts[k]) / increment))
-            if got + (high[k] - starts[k]) > length:
-                n = max(1, int(round((length - got) / increment)))
-                high[k] = starts[k] + (length - got)
-            at = (origins[k] + (starts[k] + np.arange(n) * increment)[:, None] * along).astype(np.int64)
-            good = ((at >= 0) & (at < volume.shape)).all(axis=1)
-            phase = np.concatenate(([False], volume[tuple(at[good].T)]))
-            changes += int((phase[1:] != phase[:-1]).sum())
-            got += high[k] - starts[k]
-            if got >= length:
-                break
+        # whole lines as long as they last, then a part of one
+        ends = got + np.cumsum(high[hits] - starts[hits])
+        whole = int(np.searchsorted(ends, length, side="right"))
+        counts = np.ceil((high[hits[:whole]] - starts[hits[:whole]]) / increment).astype(np.int64)
+        got = float(ends[whole - 1]) if whole else got
+        if whole < len(hits) and got < length:
+            counts = np.append(counts, max(1, round((length - got) / increment)))
+            got = length
+        changes += phase_changes(volume, origins[hits[: len(counts)]], starts[hits[: len(counts)]], counts, along, increment)
     return along * (got / max(1, changes))
 
 
