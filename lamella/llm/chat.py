@@ -3,7 +3,8 @@
 Records come in many layouts. The field paths of a record that any layout knows, sorted, are hashed to a fingerprint,
 which selects a declarative mapping (a role and an expression for each turn) to canonical turns (conv_id, turn, role,
 text). A table's fingerprint comes from its schema; records of several layouts in one JSON column have one each, from the
-paths that are there. Turns are then formatted with a template that marks them:
+paths that are there, in any element of an array. Paths of no layout's exactly go by the layout of most paths that are all there (of
+equal ones, the first). Turns are then formatted with a template that marks them:
 
     ### role: text</turn>
 
@@ -65,6 +66,11 @@ def by_fingerprint(layouts=LAYOUTS) -> dict[str, Layout]:
     return {fingerprint(x.paths): x for x in layouts}
 
 
+def by_size(layouts=LAYOUTS) -> list[Layout]:
+    """Layouts of more paths first."""
+    return sorted(layouts, key=lambda x: -len(x.paths))
+
+
 def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     """The nested field paths of a schema; [] stands for an array's elements."""
     if isinstance(schema, T.StructType):
@@ -100,6 +106,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) ->
     there = {p for x in layouts for p in x.paths}.intersection(schema_paths(df.schema))
     by = by_fingerprint(layouts)
     layout = by.get(fingerprint(there)) or by.get(fingerprint(there - {id_col}))  # the id belongs to the layout of turn rows alone
+    layout = layout or next((x for x in by_size(layouts) if there.issuperset(x.paths)), None)
     if layout is None:
         raise ValueError(f"no layout has the field paths {sorted(there)}")
     if layout.flat:
@@ -117,18 +124,30 @@ def canonical_turns_of_json(df: DataFrame, json_col: str, id_col: str = "conv_id
     """The same of JSON records of any of the layouts; records that are no JSON, or of no layout, give no turns."""
     known = sorted({p for x in layouts if not x.flat for p in x.paths})
     json = F.col("record")
-    there = [F.when(F.try_variant_get(json, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in known]
+
+    def has(path: str) -> Column:
+        array, _, field = path.partition("[].")
+        if not field:
+            return F.try_variant_get(json, f"$.{path}", "variant").isNotNull()
+        elements = F.try_variant_get(json, f"$.{array}", "array<variant>")
+        return F.coalesce(F.exists(elements, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull()), F.lit(False))
+
+    there = [F.when(has(p), F.lit(p)) for p in known]
     record = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(F.col(json_col)).alias("record"))
-    record = record.select("conv_id", "record", F.sha2(F.array_join(F.array(*there), "\n"), 256).alias("fingerprint"))
-    turns = F.lit(None).cast("array<struct<role: string, text: string>>")
-    for found, layout in by_fingerprint([x for x in layouts if not x.flat]).items():
+    record = record.select("conv_id", "record", F.array_compact(F.array(*there)).alias("paths"))
+    record = record.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
+    turns, rest = F.lit(None).cast("array<struct<role: string, text: string>>"), []
+    for layout in by_size([x for x in layouts if not x.flat]):
         if layout.list_of:
             array, role, text = layout.list_of
             read = F.try_variant_get(json, f"$.{array}", f"array<struct<`{role}`: string, `{text}`: string>>")
             made = _pairs(read, role, text)
         else:
             made = _listed(layout, lambda name: F.try_variant_get(json, f"$.{name}", "string"))
-        turns = F.when(F.col("fingerprint") == found, made).otherwise(turns)
+        turns = F.when(F.col("fingerprint") == fingerprint(layout.paths), made).otherwise(turns)
+        rest.append((F.size(F.array_except(F.array(*map(F.lit, layout.paths)), F.col("paths"))) == 0, made))
+    for all_there, made in rest:
+        turns = F.coalesce(turns, F.when(all_there, made))
     return record.select("conv_id", F.posexplode(turns).alias("turn", "x")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "x.role", "x.text")
 
 

@@ -85,7 +85,8 @@ def _hashes(df: DataFrame, columns: list[Column], text_col: str) -> DataFrame:
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """(h, length, item, around) of the items' kept hashes; the lengths of items that are shorter than a window."""
+    """(h, length, around, items) of the items' kept hashes, one row for those of equal surroundings; the lengths of items that
+    are shorter than a window."""
     items = _hashes(benchmark, [F.col(item_col).alias("item")], text_col)
     size = F.size("hashes")
     lengths = sorted(r[0] for r in items.select(size.alias("n")).where(f"n between 1 and {LENGTH - 1}").distinct().collect())
@@ -94,7 +95,8 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFram
         long = long.union(items.where(size == n).select("item", "hashes", F.lit(n), F.explode_outer(_grams(F.col("hashes"), n))))
     long = long.where(F.col("kept").isNotNull())
     place = _place(F.col("kept"))
-    return written(long.select(F.shiftright("kept", 31).alias("h"), "length", "item", _around(F.col("hashes"), place).alias("around")), "items"), lengths
+    grams = long.select(F.shiftright("kept", 31).alias("h"), "length", "item", _around(F.col("hashes"), place).alias("around"))
+    return written(grams.groupBy("h", "length", "around").agg(F.collect_set("item").alias("items")), "items"), lengths
 
 
 def _run(at, length: Column, around: Column) -> tuple[Column, Column, Column]:
@@ -126,8 +128,9 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     kept = [tagged(F.col("kept"), LENGTH), *(tagged(_grams(F.col("hashes"), n), n) for n in lengths)]
     mark = F.array(F.struct(F.lit(-1).cast("bigint").alias("kept"), F.lit(0).alias("length")) if lengths else F.lit(-1).cast("bigint"))
     rows = own.select("id", "row", "hashes", F.size("hashes").alias("n_words"), F.explode_outer(F.concat(mark, *kept)).alias("x"))
+    nowhere = -1 - F.col("row").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))  # equal to no item's hash, and another for each document
     value, length = (F.col("x.kept"), F.col("x.length")) if lengths else (F.col("x"), F.lit(LENGTH))
-    rows = rows.select("id", "row", "n_words", value.alias("kept"), length.alias("doc_length"), "hashes", F.when(value >= 0, F.shiftright(value, 31)).otherwise(-1).alias("dh"), _place(value).alias("place"))
+    rows = rows.select("id", "row", "n_words", value.alias("kept"), length.alias("doc_length"), "hashes", F.when(value >= 0, F.shiftright(value, 31)).otherwise(nowhere).alias("dh"), _place(value).alias("place"))
     same = (F.col("dh") == F.col("h")) & (F.col("doc_length") == F.col("length")) if lengths else F.col("dh") == F.col("h")
     if small:
         # the array of a document is handed on by reference as far as the join, and read only where a hash meets
@@ -138,10 +141,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         met = carried.join(items, same, "left").where((F.col("kept") < 0) | F.col("h").isNotNull())
         at = lambda j: F.get(F.col("near"), F.lit(j + SIDE))
     meets, before, after = _run(at, F.col("length"), F.col("around"))
-    found = met.select("id", "row", "n_words", F.when(F.col("kept") < 0, 1).alias("copy"), F.when(F.col("kept") >= 0, meets).alias("meets"), F.struct((F.col("place") - before).alias("start"), (F.col("place") + after).alias("stop")).alias("span"), "item")
+    found = met.select("id", "row", "n_words", F.when(F.col("kept") < 0, 1).alias("copy"), F.when(F.col("kept") >= 0, meets).alias("meets"), F.struct((F.col("place") - before).alias("start"), (F.col("place") + after).alias("stop")).alias("span"), "items")
     found = found.where(F.col("copy").isNotNull() | F.col("meets"))
     hit = F.col("copy").isNull()
-    return found.groupBy("id", "row").agg(F.sum("copy").alias("copies"), F.max("n_words").alias("n_words"), F.collect_set(F.when(hit, F.col("span"))).alias("spans"), F.collect_set(F.when(hit, F.col("item"))).alias("items"))
+    return found.groupBy("id", "row").agg(F.sum("copy").alias("copies"), F.max("n_words").alias("n_words"), F.collect_set(F.when(hit, F.col("span"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items"))))).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ buckets of which any two linked ones share at least one:
 - exact linking: the bits are cut into blocks, and a bucket is the value of all blocks but as many as bits may differ
   (two fingerprints that differ in no more bits agree in all the blocks without a difference). The number of blocks
   grows with the number of fingerprints, so that buckets stay small;
-- banded linking, for wide fingerprints and many differing bits: a bucket is the value of a table's sample of bits.
+- banded linking, for wide fingerprints and many differing bits: a bucket is the value of a table's sample of bits. Samples and
+  tables grow with the number of fingerprints, too.
 
 In a bucket, fingerprints are sorted by Gray rank, so neighbours share many bits; each run of SPAN is a leaf node, each
 run of SPAN nodes an upper node, and a node keeps the bits that all below it share (a mask and their values). A query
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import free_name, row_key, written
+from lamella.llm._common import discard, free_name, row_key, written
 from lamella.llm.graph import components
 
 SEED = 42
@@ -127,6 +128,14 @@ def exact_masks(blocks: int, most_bits: int) -> list[list[int]]:
     return [[p for i in kept for p in range(edges[i], edges[i + 1])] for kept in itertools.combinations(range(blocks), blocks - most_bits)]
 
 
+def tables_for(count: int, words: int, most_bits: int, tables: int, sample: int) -> tuple[int, int]:
+    """Tables and bits of a sample for so many fingerprints: as given while buckets of evenly spread ones hold BUCKET at most; beyond
+    that a bit more for each doubling, and so many more tables that a pair of most_bits differing bits is found as often."""
+    bits = max(sample, (max(1, count) // BUCKET).bit_length())
+    agree = 1 - most_bits / (64 * words)
+    return round(tables * agree ** (sample - bits)), bits
+
+
 def sampled_masks(words: int, tables: int, sample: int) -> list[list[int]]:
     """For each bucket table the positions of its sample of bits, fixed by the parameters."""
     rng = np.random.default_rng(SEED)
@@ -326,7 +335,9 @@ def link_fingerprints(distinct: DataFrame, words: int, most_bits: int, masks: li
         grouped = dealt.select("bucket", F.least("salt", "other").alias("a"), F.greatest("salt", "other").alias("b"), "node", "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = grouped.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return components(_links(grouped, words, most_bits))
+    found = components(_links(grouped, words, most_bits))
+    discard(hot)
+    return found
 
 
 def labelled(found: DataFrame, words: int, most_bits: int, masks_for) -> DataFrame:
@@ -336,6 +347,7 @@ def labelled(found: DataFrame, words: int, most_bits: int, masks_for) -> DataFra
     count = distinct.count()
     roots = link_fingerprints(distinct, words, most_bits, masks_for(count), count)
     labels = written(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "labels")
+    discard(distinct, roots)
     return found.join(labels, "fp")
 
 
@@ -352,7 +364,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of that similarity do in the mean; the tables find a pair of similarity 0.95, 0.9, 0.85 or 0.8 with a chance of about
     0.99999, 0.998, 0.98 or 0.91 each, and a component needs only one of a pair's paths."""
     found = written(fingerprints(docs, id_col, text_col, shingle, words, False), "fingerprints")
-    marked = labelled(found, words, bits_for(similarity, 64 * words), lambda n: sampled_masks(words, tables, sample))
+    most_bits = bits_for(similarity, 64 * words)
+    marked = labelled(found, words, most_bits, lambda n: sampled_masks(words, *tables_for(n, words, most_bits, tables, sample)))
     stays = F.when(F.col("root") < NO_ID, F.col("id") == F.col("root")).otherwise(F.col("id").isNull())
     keepers = written(marked.where(stays).groupBy("root").agg(F.min("row").alias("row"), F.first("id").alias("id"), F.count(F.lit(1)).alias("n")), "keepers")
     row = free_name(docs, "lm_row")

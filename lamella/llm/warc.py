@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm._common import written
+from lamella.llm._common import discard, written
 from lamella.llm._files import WholeFile, commit_manifest, store
 from lamella.llm._shards import shard_plan
 
@@ -123,7 +123,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["file", "shard", "records", "bytes", "sha256"])
 
-    return commit_manifest(dealt.mapInArrow(run, MANIFEST), folder)
+    manifest = commit_manifest(dealt.mapInArrow(run, MANIFEST), folder)
+    discard(keys, firsts)
+    return manifest
 
 
 def members(stream):

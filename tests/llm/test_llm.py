@@ -125,6 +125,54 @@ def test_quality_fertility_rejects_noise(spark):
     assert {r["doc_id"]: r["kept"] for r in quality.measure(rows).collect()} == {1: True, 2: False, 3: True}
 
 
+def brute_fertility(text, lang, model):
+    """The verdict of the bands by plain counts."""
+    ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", text) for i in model.encode(w)]
+    if not ids:
+        return True
+    n, counts = len(ids), Counter(ids)
+    lettered = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text) if re.search(r"[A-Za-z]|[^\0-\x7f]", w)]
+    m = sum(len(model.encode(w)) for w in lettered)
+    chars = sum(map(len, lettered)) / max(1, m)
+    share = sum(c for i, c in counts.items() if model.is_byte(i)) / n
+    entropy = -sum(c / n * np.log2(c / n) for c in counts.values())
+    if lang in quality.BANDS:
+        band = quality.BANDS[lang]
+    else:
+        letters = {name: len(re.findall(f"[{r}]", text)) for name, r in quality.SCRIPTS.items()}
+        most = max(letters.values())
+        band = quality.BANDS.get(next((k for k, v in letters.items() if v == most and most), ""), quality.Band())
+    low, high = band.least_chars - 1.5 / max(1, m) ** 0.5, band.most_chars + 1.5 / max(1, m) ** 0.5
+    return (not m or low <= chars <= high) and share <= band.most_bytes and entropy >= min(band.least_entropy, np.log2(n) / 2) - 1e-9
+
+
+def test_quality_verdict_against_brute_force(docs, spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path(quality.DEFAULT_PIECES))
+    rng = random.Random(14)
+    made = [" ".join("".join(rng.choices(a, k=rng.randint(3, 12))) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnop0123456789", "абвгдежзик", "日本語学校生", "ab") for n in (10, 12, 30, 200)]
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(2000 + i, t, ("en", "de", None, "fr")[i % 4]) for i, t in enumerate(made)], "doc_id bigint, text string, lang string"))
+    failed = {(r["doc_id"], r["n_words"], r["word_chars"]): (r["base_failed"], r["kept"]) for r in quality.measure(rows).collect()}
+    verdicts = set()
+    for r in rows.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        base, kept = failed[r["doc_id"], len(words), sum(map(len, words))]
+        assert kept == (not base and brute_fertility(r["text"] or "", r["lang"], model)), r
+        verdicts.add((base, kept))
+    assert verdicts == {(True, False), (False, False), (False, True)}
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "es", "fr"])
+def test_quality_bands_part_noise_from_text(spark, lang):
+    """All long texts of random letters go, and nearly no text of the corpus that passes the base rules."""
+    rng = random.Random(15)
+    noise = [" ".join("".join(rng.choices(a, k=rng.randint(3, 10))) for _ in range(120)) for a in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50)]
+    assert quality.keep(spark.createDataFrame([(t, lang) for t in noise], "text string, lang string")).count() == 0
+    clean = quality.measure(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang") == lang)).where("not base_failed")
+    assert clean.where("kept").count() >= 0.99 * clean.count() > 0
+
+
 # ---- line dedup
 def brute_lines(rows, least):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
@@ -187,6 +235,19 @@ def test_gray_index_against_brute_force():
         assert len({*zip(expected.tolist(), got[own].tolist())}) == len(set(expected.tolist())) == len(set(got[own].tolist()))
 
 
+def test_tables_grow_with_the_fingerprints(spark, monkeypatch):
+    """Samples of more bits, with more tables, find near-copies as well."""
+    assert simhash.tables_for(100_000, 4, 39, 32, 16) == (32, 16)
+    tables, bits = simhash.tables_for(10**11, 4, 39, 32, 16)
+    assert bits == 25 and 120 <= tables <= 160
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    rng = random.Random(16)
+    texts = [["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)] for _ in range(40)]
+    near = [[*w[:100], "other", *w[101:]] for w in texts]  # similarity 0.95
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts + near)], "doc_id bigint, text string")
+    assert sorted(i for i, _ in local(simhash.deduplicate(rows, sample=4))) == list(range(40))
+
+
 def test_hot_buckets_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_LEAST", 16)
     monkeypatch.setattr(simhash, "HOT_TIMES", 0)
@@ -325,8 +386,11 @@ def test_recall_of_edited_passages(spark):
     assert len(expected) > 500 and len(caught) >= 0.995 * len(expected)
 
 
-def test_passage_groups_against_brute_force():
-    """Groups of one signature, few and many, with chains of edited copies, against all pairs."""
+@pytest.mark.parametrize("few, many", [(24, 256), (3, 256), (3, 1)])
+def test_passage_groups_against_brute_force(few, many, monkeypatch):
+    """Groups of one signature, few and many, with chains of edited copies, against all pairs; the last by second hashes."""
+    monkeypatch.setattr(passages, "FEW", few)
+    monkeypatch.setattr(passages, "MANY", many)
     rng = np.random.default_rng(5)
     width, needed = 46, 41
     for n, families in ((10, 3), (80, 6), (300, 60)):
@@ -343,15 +407,50 @@ def test_passage_groups_against_brute_force():
                 r[:20] = 0
         rows[:, 45] = 7
         i, j = (x.ravel() for x in np.triu_indices(n, 1))
-        a, b, _ = passages.compared(rows, i, j, width, needed)
+        good, _ = passages.verified(rows[i], rows[j], width, needed)
+        a, b = i[good], j[good]
         root = list(range(n))
         for x, y in zip(a.tolist(), b.tolist()):
             x, y = root[x], root[y]
             root = [min(x, y) if r in (x, y) else r for r in root]
+        if families == 6:  # and runs of one shingle
+            rows[: n // 2, 20:60] = 7
+            rows[: n // 4, 5:20] = rows[: n // 4, 4:5]
+            good, _ = passages.verified(rows[i], rows[j], width, needed)
+            a, b = i[good], j[good]
+            root = list(range(n))
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = root[x], root[y]
+                root = [min(x, y) if r in (x, y) else r for r in root]
         label, low, high = passages.grouped(np.zeros(n, dtype=np.int64), rows, width, needed)
         assert label.tolist() == root and ((high >= 0) == np.isin(np.arange(n), np.concatenate([a, b]))).all()
 
 
+def test_passages_of_equal_contexts_over_any_batches():
+    """The pass over ordered windows gives the same whatever the batches are, and what plain groups give."""
+    rng = random.Random(10)
+    for _ in range(40):
+        rows = sorted({(rng.randrange(3), rng.randrange(3), rng.randrange(4), rng.randrange(3)) for _ in range(rng.randint(1, 40))})
+        expected, windows = set(), []
+        for key, context in {r[:2] for r in rows}:
+            own = [r for r in rows if r[:2] == (key, context)]
+            if len({r[2] for r in own}) > 1:
+                first = own[0][2]
+                expected |= {(passages.LINK, u, u, at, own[-1][2] if u == first else first) for *_, u, at in own}
+            if len({r[1] for r in rows if r[0] == key}) > 1:
+                windows.append((passages.WINDOW, key, *own[0][2:], own[0][2]))
+        for size in (1, 2, 5, 100):
+
+            class Frame:
+                def mapInArrow(self, run, schema):
+                    batches = (passages._first_pass(passages.WINDOW, *(np.array(c, dtype=np.int32 if k == 3 else np.int64) for k, c in enumerate(zip(*rows[i : i + size]))), np.zeros(len(rows[i : i + size]), dtype=np.int64)) for i in range(0, len(rows), size))
+                    return [tuple(r.values()) for b in run(batches) for r in b.to_pylist()]
+
+            found = passages._met(Frame())
+            same([r for r in found if r[0] == passages.WINDOW], windows)
+            assert {r[:4] for r in found if r[0] == passages.LINK} == {r[:4] for r in expected}
+
+
 def test_compact_windows_against_all_passages():
     rng = np.random.default_rng(9)
     for _ in range(20):
@@ -385,6 +484,52 @@ def test_secrets(docs, spark):
     assert secrets.scan(empty(spark)).collect() == []
 
 
+def test_random_strings_are_found_and_names_are_not(spark):
+    """Recall of random strings by alphabet, and no span in names, paths, words, digests and identifiers."""
+    rng = random.Random(12)
+    alphabets = {"lower": "abcdefghijklmnopqrstuvwxyz", "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+    rows = [(kind, f"see {''.join(rng.choices(a, k=rng.choice((20, 24, 32, 40))))} here") for kind, a in alphabets.items() for _ in range(300)]
+    names = "getUserAccountSettings HttpServletRequestWrapper src/main/java/com/example/App internationalization electroencephalographically some-long-kebab-case-name SOME_LONG_CONSTANT_NAME Donaudampfschifffahrtsgesellschaft AbstractSingletonProxyFactoryBean unconstitutionally-minded /usr/local/share/doc/python 2024-01-01T00-00-00-00-00 550e8400-e29b-41d4-a716-446655440000 D41D8CD98F00B204E9800998ECF8427E sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU= 12345678901234567890123 =========================".split()
+    rows += [("name", f"see {x} here") for x in names]
+    found = secrets.scan(spark.createDataFrame(rows, "kind string, text string"), id_col="kind").groupBy("kind").agg(F.avg((F.col("n_token") > 0).cast("int")).alias("share")).collect()
+    share = {r["kind"]: r["share"] for r in found}
+    print(share)
+    assert share.pop("name") == 0 and share.pop("lower") >= 0.85 and min(share.values()) >= 0.97
+
+
+def test_parts_of_runs_beside_patterns():
+    rng = random.Random(13)
+    run = "".join(rng.choices("ghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=30))
+    text = f"{run}0123456789abcdef0123{run} {run}".encode()
+    base = secrets.base_spans(text)
+    assert base == [(30, 2, 50)]
+    assert secrets.random_spans(text, base, secrets.loaded(secrets.DEFAULT_VOCABULARY)) == [(0, 3, 30), (50, 3, 80), (81, 3, 111)]
+    for _ in range(300):  # against sets of places
+        cuts = sorted(rng.sample(range(60), 8))
+        marks = re.finditer("x+", "".join(rng.choices("xx.", k=60)))
+        runs = list(marks)
+        covers = [(a, 0, b) for a, b in zip(cuts[::2], cuts[1::2])] + [(cuts[0], 1, cuts[3])]
+        places = {p for m in runs for p in range(*m.span())} - {p for a, _, b in covers for p in range(a, b)}
+        assert sorted(p for a, b in secrets.uncovered(runs, covers) for p in range(a, b)) == sorted(places)
+
+
+def test_long_texts_of_secrets_take_linear_time(spark):
+    import time
+
+    key, encoding = "q7Zp9Xw2Lk4Vb8Rt1Ny6Mc3Hd5", secrets.loaded(secrets.DEFAULT_VOCABULARY)
+
+    def seconds(n):
+        text = (f"password = {key} {key}! 0123456789abcdef " * n + "é").encode()
+        began = time.process_time()
+        base = secrets.base_spans(text)
+        every = secrets._named(text, base + secrets.random_spans(text, base, encoding))
+        assert len(every) == 3 * n
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 8 * max(0.05, seconds(20_000)) and secrets.scan(spark.createDataFrame([(1, "a" * 2_000_000)], "doc_id bigint, text string")).first()["n_token"] == 0
+
+
 # ---- chat
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", r"\### assistant: </turn> \b \\h é"), (1, None, None, None), (2, 0, "assi:stant", "x"), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 1, "assistant", "###</turn>\n"), (3, 0, "user", "y" * 5000)]
@@ -407,7 +552,13 @@ def test_chat_layouts(spark):
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id bigint, story string"))
     json = ['{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "more": 1}', '{"prompt": "p", "completion": "c"}', "{bad", None, '{"story": 1}']
+    json += ['{"messages": [{"content": "s"}, {"role": "assistant", "content": "b"}]}', '{"messages": [{"role": "user", "content": "a"}], "prompt": "p", "completion": "c", "response": "r"}', '{"prompt": "p", "completion": "c", "answer": 1}']
     mixed = spark.createDataFrame([(i, j) for i, j in enumerate(json)], "conv_id bigint, record string")
+    more = chat.canonical_turns_of_json(mixed.where("conv_id > 4"), "record").collect()
+    same(more, [(5, 0, "", "s"), (5, 1, "assistant", "b"), (6, 0, "user", "a"), (7, 0, "user", "p"), (7, 1, "assistant", "c")])
+    wide = spark.createDataFrame([(1, "p", "c", "a")], "conv_id bigint, prompt string, completion string, answer string")
+    same(chat.canonical_turns(wide).collect(), [(1, 0, "user", "p"), (1, 1, "assistant", "c")])
+    mixed = mixed.where("conv_id <= 4")
     same(chat.canonical_turns_of_json(mixed, "record").collect(), [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "p"), (1, 1, "assistant", "c")])
 
 
@@ -461,6 +612,75 @@ def test_pipeline_stages_keep_their_contracts(spark):
     same(bpe.decode(encoded).collect(), local(docs))
 
 
+def brute_wide(text):
+    """The 256-bit fingerprint of the distinct five-word shingles, as four numbers."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    h = np.array(sorted({xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in ([w[k : k + 5] for k in range(len(w) - 4)] or ([w] if w else []))}), dtype=np.uint64)
+    return [sum(1 << b for b in range(64) if 2 * int((simhash._mixed(h, k) >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for k in range(4)]
+
+
+def brute_deduplicated(rows):
+    """Of (id, text, ...) rows those that stay: all pairs of fingerprints are compared, and the least id of a component stays, once."""
+    f = np.array([brute_wide(r[1] or "") for r in rows], dtype=np.uint64).reshape(-1, 4)
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= 39
+    label = np.arange(len(rows))
+    while (new := np.array([label[near[i]].min() for i in range(len(rows))])).tolist() != label.tolist():
+        label = new
+    out = {}
+    for k, r in zip(label.tolist(), rows):
+        best = out.get(k)
+        if best is None or (r[0] is None, r[0] or 0) < (best[0] is None, best[0] or 0):
+            out[k] = r
+    return list(out.values())
+
+
+def brute_pipeline(rows, items):
+    """(id, ids of the text that is left) of (id, text, lang) rows, by plain loops over all of them."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path(quality.DEFAULT_PIECES))
+    t = Tokenizer.from_file(bpe.vocabulary_path(bpe.DEFAULT_VOCABULARY))
+
+    def good(text, lang):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        hit = {p for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        return len(w) >= 10 and 100 * len(hit) <= 20 * len(w) and brute_fertility(text, lang, model)
+
+    rows = [(i, x or "", lang) for i, x, lang in rows if good(x or "", lang)]
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
+    counts = Counter(k for _, x, _ in rows for k in {key(y) for y in x.split("\n")} if k)
+    rows = [(i, "\n".join(y for y in x.split("\n") if counts[key(y)] < 10), lang) for i, x, lang in rows]
+    rows = [r for r in brute_deduplicated(rows) if not brute_hits(r[1], items)[-1]]
+    return [(i, tuple(t.encode(x, add_special_tokens=False).ids)) for i, x, _ in rows]
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    found = corpus_pipeline.run(spark, sf_dir).select("doc_id", "ids").collect()
+    same([(r["doc_id"], tuple(r["ids"])) for r in found], brute_pipeline(rows, items))
+
+
+def test_pipeline_stages_on_odd_rows(docs, spark, tmp_path):
+    """All stages in a row over nulls, repeated rows, ids with two texts, long texts and clashing names; and over no rows."""
+    import corpus_pipeline
+
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
+    for table in (docs, empty(spark)):
+        rows, now = [tuple(r) for r in table.select("doc_id", "text", "lang").collect()], table
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, "/root/testdata/sf0.001")
+            assert out.columns == (["doc_id", "n_tokens", "ids"] if name == "bpe" else docs.columns)
+            out.write.parquet(f"{tmp_path}/{table is docs}-{k}")
+            now = spark.read.parquet(f"{tmp_path}/{table is docs}-{k}")
+        same([(r["doc_id"], tuple(r["ids"])) for r in now.collect()], brute_pipeline(rows, items))
+
+
 @pytest.mark.parametrize("ids", [[-(1 << 63), 0, (1 << 63) - 1, None], list(range(-50, 50)), [7, 7, None], [None]])
 def test_shards_ascend_with_the_key(spark, ids):
     from lamella.llm._shards import shard_plan
@@ -470,3 +690,14 @@ def test_shards_ascend_with_the_key(spark, ids):
     rows = sorted(((i is not None, i or 0), s) for i, s in df.select("id", shard.alias("s")).collect())
     got = [s for _, s in rows]
     assert got == sorted(got) and set(got) <= set(range(n))
+
+
+@pytest.mark.parametrize("far", [[], [1 << 60], [-(1 << 63), (1 << 63) - 1], [(1 << 50) + 3 * i for i in range(3000)]])
+def test_far_out_keys_leave_shards_even(spark, far):
+    from lamella.llm._shards import shard_plan
+
+    df = spark.range(100_000).union(spark.createDataFrame([(i,) for i in far], "id bigint")) if far else spark.range(100_000)
+    shard, n = shard_plan(df, "id", F.lit(10), 10_000)
+    found = df.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("shard").collect()
+    assert len(found) == n and 100 <= n <= 130 and max(r["n"] for r in found) <= 1000
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
