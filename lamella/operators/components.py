@@ -151,6 +151,14 @@ def filter_particles(labels: DataFrame, keys: list[str], least: float = 0, most:
     return labels.join(kept.select(*keys, "label", "particle"), [*keys, "label"])
 
 
+def painted(labels: DataFrame, properties: DataFrame, keys: list[str], value: str, background: DataFrame | None = None) -> DataFrame:
+    """keys, x, y, z and the property of each voxel's particle; voxels of particles that have none get null, those of a background 0."""
+    out = labels.join(properties.select(*keys, "label", value), [*keys, "label"], "left").select(*keys, "x", "y", "z", value)
+    if background is None:
+        return out
+    return out.unionByName(background.select(*keys, "x", "y", "z").withColumn(value, F.lit(0).cast(out.schema[value].dataType)))
+
+
 def purify(fg: DataFrame, keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
     """The largest particle with its cavities filled: background that neither reaches the bounds nor is the largest becomes foreground."""
     labels = connected_components(fg, keys, 26)

@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import ellipsoid_bounds, ellipsoid_tensor
+from lamella.operators.filters import numbered
 from lamella.operators.mil import packed, unpacked
 
 BLOCK = 16
@@ -128,8 +129,7 @@ def optimise(seeds: DataFrame, fg: DataFrame, shape: tuple[int, int, int], param
 
 def ranked(found: DataFrame) -> DataFrame:
     """Numbered from 0 in the order of falling volume; of equal ones by their seeds."""
-    order = Window.orderBy((F.col("ra") * F.col("rb") * F.col("rc")).desc(), "seed_id")
-    return found.withColumn("ell_id", F.row_number().over(order) - 1)
+    return numbered(found, [(F.col("ra") * F.col("rb") * F.col("rc")).desc(), F.col("seed_id")], "ell_id").withColumn("ell_id", F.col("ell_id").cast("int"))
 
 
 def with_tensors(ellipsoids: DataFrame) -> DataFrame:
@@ -179,14 +179,33 @@ def statistics(image: DataFrame, foreground: int) -> DataFrame:
 
 def flinn(image: DataFrame, bins: int = 512) -> DataFrame:
     """The Flinn plot: voxels by (b/c, a/b), the second from the top."""
-    col = F.floor(F.col("b_c") * (bins - 1) + 0.5).cast("int")
-    row = (bins - 1 - F.floor(F.col("a_b") * (bins - 1) + 0.5)).cast("int")
+    near = 0.5 + 1e-9  # ratios that differ in their last digits alone fall into the same bin
+    col = F.floor(F.col("b_c") * (bins - 1) + near).cast("int")
+    row = (bins - 1 - F.floor(F.col("a_b") * (bins - 1) + near)).cast("int")
     return image.groupBy(col.alias("col"), row.alias("row")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_average(runs: DataFrame, value: str = "ef") -> DataFrame:
-    """x, y, z and the mean over runs of the runs that have a value there."""
-    return runs.groupBy("x", "y", "z").agg(F.avg(value).alias(value))
+def run_average(runs: DataFrame, count: int, value: str = "ef") -> DataFrame:
+    """x, y, z and the mean of so many runs (run from 1; a voxel without a value has no row in a run). A voxel's sum is folded over the
+    runs: where the sum so far or the run n has a value and the other hasn't, it becomes sum (1 + 1 / (n - 1)) or value * n."""
+    steps = F.array_sort(F.collect_list(F.struct("run", F.col(value).alias("v"))))
+    held = runs.groupBy("x", "y", "z").agg(F.map_from_entries(steps).alias("of"))
+
+    def fold(total: Column, n: Column) -> Column:
+        own = F.get(F.map_values(F.map_filter("of", lambda k, _: k == n)), F.lit(0))
+        added = F.when(own.isNull(), total * (1 + F.lit(1.0) / (n - 1))).otherwise(total + own)
+        return F.when(total.isNull(), own * n).otherwise(added)
+
+    return held.select("x", "y", "z", (F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.lit(None).cast("double"), fold) / count).alias(value))
+
+
+def seeds(*found: DataFrame) -> DataFrame:
+    """All seeds of several searches (x, y, z), repeats included, numbered in order of the searches and of their places."""
+    every = None
+    for i, f in enumerate(found):
+        own = f.select(F.lit(i).alias("search"), *(F.col(k).cast("double").alias(k) for k in "xyz"))
+        every = own if every is None else every.unionByName(own)
+    return every
 
 
 def convergence(before: DataFrame, after: DataFrame) -> DataFrame:

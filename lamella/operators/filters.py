@@ -9,11 +9,10 @@ MASK = 255
 
 
 def is_binary(voxels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """keys and is_binary: at most two distinct values, and at least one voxel. Partial sets stay at three values a task."""
-    low, high = F.min(value), F.max(value)
-    ends = voxels.groupBy(*keys).agg(low.alias("low"), high.alias("high"))
-    between = (F.col(value) != F.col("low")) & (F.col(value) != F.col("high"))
-    return voxels.join(ends, keys).groupBy(*keys).agg((F.count_if(between) == 0).alias("is_binary"))
+    """keys and is_binary: at most two distinct values, and at least one voxel. One pass: a row for each value of a task, and of those
+    the count."""
+    values = voxels.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy(*keys).agg((F.count(F.lit(1)) <= 2).alias("is_binary"))
 
 
 def is_mask(voxels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -135,10 +134,42 @@ def stack_histogram(voxels: DataFrame, keys: list[str], value: str = "value") ->
     return voxels.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def skip_seeds(seeds: DataFrame, ratio: int, offset: int, order: list[str], partition: list[str]) -> DataFrame:
-    """Every ratio-th seed of a partition from an offset on."""
-    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
-    return seeds.withColumn("n_", n).where(F.col("n_") % ratio == offset).drop("n_")
+def skip_seeds(seeds: DataFrame, ratio: int, offset: int, order: list[str], partition: list[str] | None = None) -> DataFrame:
+    """Every ratio-th seed of a partition, or of all, from an offset on."""
+    if partition:
+        n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
+        return seeds.withColumn("n_", n).where(F.col("n_") % ratio == offset).drop("n_")
+    return numbered(seeds, [F.col(k) for k in order], "n_").where(F.col("n_") % ratio == offset).drop("n_")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with numbers from 0 in an order, by ranges: each range is numbered by one task, from the number of rows before it on. The
+    rows are written first, so that the ranges are the same when they are counted and when they are numbered."""
+    from lamella.storage import written
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = written(rows.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()), "ranges")
+    counts = own.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
+    before = counts.withColumn("before_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return own.join(F.broadcast(before.select("part_", "before_")), "part_").withColumn(name, F.col("before_") + n).drop("part_", "before_")
+
+
+def default_thresholds(histogram: DataFrame, keys: list[str], value: str = "value", hounsfield: bool = False, signed: bool = False) -> DataFrame:
+    """keys, low and high: of images in Hounsfield units 0 and 4000; else the IsoData level of a histogram (keys, value, n) and the
+    highest value, both shifted for signed 16-bit images whose values are held from 0 on."""
+    if hounsfield:
+        return histogram.select(*keys).distinct().select(*keys, F.lit(0.0).alias("low"), F.lit(4000.0).alias("high"))
+    shift = -32768 if signed else 0
+    parts = "".join(f"`{k}` {histogram.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def run(f):
+        counts = f.groupby(f[value].astype(int))["n"].sum()
+        dense = counts.reindex(range(int(counts.index.max()) + 1), fill_value=0).tolist()
+        out = f[keys].head(1).reset_index(drop=True)
+        return out.assign(low=float(isodata_threshold(dense) + shift), high=float(counts[counts > 0].index.max() + shift))
+
+    return histogram.groupBy(*keys).applyInPandas(run, parts + "low double, high double")
 
 
 def isodata_threshold(counts: list[int]) -> int:

@@ -88,7 +88,7 @@ def fit_ellipsoids(points: DataFrame, keys: list[str], strict: bool = False) ->
 
 
 def fit_spheres(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, centre and radius: the least-squares sphere, from sums about the centroid; five points at least."""
+    """keys, n, centre and radius: the least-squares sphere, from sums about the centroid; nulls for under five points."""
     c = centroid(points, keys).select(*keys, *(F.col(k).alias(f"m{k}") for k in "xyz"))
     p = points.join(c, keys)
     d = {k: F.col(k) - F.col(f"m{k}") for k in "xyz"}
@@ -103,7 +103,8 @@ def fit_spheres(points: DataFrame, keys: list[str]) -> DataFrame:
             out = []
             for row in f.to_dict("records"):
                 if row["n"] < 5:
-                    raise ValueError("a sphere needs five points")
+                    out.append([*(row[k] for k in keys), row["n"], *[None] * 4])
+                    continue
                 a = np.array([[row["s" + "".join(sorted(i + j))] for j in "xyz"] for i in "xyz"])
                 at = np.linalg.lstsq(2 * a, np.array([row[f"r{k}"] for k in "xyz"]), rcond=None)[0]
                 radius = float(np.sqrt(row["rr"] / row["n"] + at @ at))

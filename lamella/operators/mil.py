@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators import fits
@@ -73,6 +73,7 @@ def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, l
     steps, and changes of phase either way counted; a line that begins in the foreground counts one."""
     size = np.array(volume.shape, dtype=float)
     diagonal, centre, along = float(np.linalg.norm(size)), size / 2, turn[:, 2]
+    reach = np.abs(turn[:, :2]).T @ size / 2  # of the volume's shadow on the plane
     got, changes = 0.0, 0
     empty = 0
     while got < length and empty < 100:
@@ -80,13 +81,16 @@ def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, l
         jitter = rng.random((len(cells), 2))
         u = ((cells % sections + jitter[:, 0]) / sections - 0.5) * diagonal
         v = ((cells // sections + jitter[:, 1]) / sections - 0.5) * diagonal
+        offsets = rng.random(len(cells)) * increment
+        near = np.flatnonzero((np.abs(u) <= reach[0]) & (np.abs(v) <= reach[1]))
+        u, v, offsets = u[near], v[near], offsets[near]
         origins = centre + u[:, None] * turn[:, 0] + v[:, None] * turn[:, 1]
         with np.errstate(divide="ignore", invalid="ignore"):
             a, b = (0 - origins) / along, (size - origins) / along
             inside = (origins >= 0) & (origins < size)
             low = np.where(along == 0, np.where(inside, -np.inf, np.inf), np.minimum(a, b)).max(axis=1)
             high = np.where(along == 0, np.where(inside, np.inf, -np.inf), np.maximum(a, b)).min(axis=1)
-        starts = low + rng.random(len(cells)) * increment
+        starts = low + offsets
         hits = np.flatnonzero(high > starts)
         empty = 0 if len(hits) else empty + 1
         # whole lines as long as they last, then a part of one
@@ -118,6 +122,22 @@ def mil_points(fg: DataFrame, shape: tuple[int, int, int], directions: int = 200
     return spark.range(directions).repartition(max(1, min(directions, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "i bigint, x double, y double, z double")
 
 
+def axis_intercepts(fg: DataFrame, keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
+    """keys and, along each axis over all lines of voxels: the changes of phase (nx, ny, nz; one for a line that begins in the foreground,
+    none for where it ends in it) and the mean intercept length (mx, my, mz), exactly, by neighbours along the axis."""
+    own = fg.select(*keys, *(F.col(k).cast("int").alias(k) for k in "xyz"))
+    out, total = None, shape[0] * shape[1] * shape[2]
+    for axis, n in zip("xyz", shape):
+        before = F.lag(axis).over(Window.partitionBy(*keys, *(k for k in "xyz" if k != axis)).orderBy(axis))
+        after = F.lead(axis).over(Window.partitionBy(*keys, *(k for k in "xyz" if k != axis)).orderBy(axis))
+        rises = F.when(before == F.col(axis) - 1, 0).otherwise(1)
+        falls = F.when((after == F.col(axis) + 1) | (F.col(axis) == n - 1), 0).otherwise(1)
+        found = own.select(*keys, (rises + falls).alias("changes")).groupBy(*keys).agg(F.sum("changes").alias(f"n{axis}"))
+        found = found.withColumn(f"m{axis}", F.lit(float(total)) / F.greatest(F.lit(1), F.col(f"n{axis}")))
+        out = found if out is None else out.join(found, keys)
+    return out
+
+
 def anisotropy(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, da (0: isotropic, to 1), radii d1 <= d2 <= d3 and axes of the ellipsoid through the vectors."""
     e = fits.fit_ellipsoids(points, keys, strict=True)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.operators import components, mesh, moments, topology
+from lamella.operators import components, fits, mesh, moments, topology
 
 
 def boxes(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -110,8 +110,20 @@ def feret(points: DataFrame, keys: list[str]) -> DataFrame:
     return thin.groupBy(*keys).applyInPandas(run, f"{parts + ', ' if parts else ''}" + ", ".join(f"{n} double" for n in names))
 
 
-def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: float = 0, most: float = float("inf"), shape=None, with_euler: bool = True, with_surface: bool = True) -> DataFrame:
-    """One wide row per particle, numbered from 1 by its least position."""
+def ellipsoids(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """keys, label, centre, radii and axes of the ellipsoid that fits the particle's surface mesh; nulls where none does."""
+    by = [*keys, "label"]
+    corners = mesh.mesh(labels, by, spacing)
+    points = corners.select(*by, F.explode(F.array("v0", "v1", "v2")).alias("p")).select(*by, *(F.col(f"p.{k}").cast("double").alias(k) for k in "xyz")).distinct()
+    return fits.fit_ellipsoids(points, by)
+
+
+def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: float = 0, most: float = float("inf"), shape=None, with_euler: bool = True, with_surface: bool = True, with_feret: bool = True, with_box: bool = True, with_ellipsoid: bool = True, image: tuple[int, int, int] | None = None) -> DataFrame:
+    """One wide row per particle, numbered from 1 by its least position. shape: leave out particles at its bounds; image: the shape in
+    which thickness is measured (none without it). Columns: box and centroid, tensor with its axes, bone_volume; surface: area,
+    volume; Euler: chi, cavities, holes; feret; box along the axes: box_cx .. box_lengths; ellipsoid: ell_ra .. ; thickness with
+    thickness_sd and thickness_max."""
+    from lamella.operators import distance
     from lamella.storage import written
 
     found = components.filter_particles(components.connected_components(fg, keys), keys, least, most, shape, float(np.prod(spacing)))
@@ -122,4 +134,16 @@ def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: floa
         out = out.join(surfaces(labels, keys, spacing), by, "left")
     if with_euler:
         out = out.join(euler(labels, keys), by, "left")
+    if with_feret:
+        points = labels.select(*by, *((F.col(k) * spacing[i]).alias(k) for i, k in enumerate("xyz")))
+        out = out.join(feret(points, by).select(*by, "feret"), by, "left")
+    if with_box:
+        box = aligned_boxes(labels, keys, spacing)
+        out = out.join(box.select(*by, *(F.col(k).alias(f"box_{k}") for k in ("cx", "cy", "cz", "lengths"))), by, "left")
+    if with_ellipsoid:
+        fitted = ellipsoids(labels, keys, spacing)
+        out = out.join(fitted.select(*by, *(F.col(k).alias(f"ell_{k}") for k in ("cx", "cy", "cz", "ra", "rb", "rc"))), by, "left")
+    if image:
+        t = thickness(labels, distance.local_thickness(fg, keys, image), keys)
+        out = out.join(t.select(*by, F.col("mean").alias("thickness"), F.col("sd").alias("thickness_sd"), F.col("max").alias("thickness_max")), by, "left")
     return out.withColumn("bone_volume", F.col("size") * float(np.prod(spacing)))

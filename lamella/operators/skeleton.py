@@ -115,21 +115,49 @@ def graph(skeleton: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> tupl
     def steps(a: DataFrame, name: str) -> DataFrame:
         return a.select(*keys, F.col(name), F.explode(offsets).alias("o"), "x", "y", "z").select(*keys, name, "o.step", *((F.col(k) + F.col(f"o.d{k}")).alias(k) for k in "xyz"))
 
+    sizes = slabs.groupBy(*keys, "branch").agg(F.count(F.lit(1)).alias("slabs"))
     inner = steps(slabs, "branch").join(slabs.withColumnRenamed("branch", "other"), [*keys, "x", "y", "z"]).groupBy(*keys, "branch").agg((F.sum("step") / 2).alias("inner"))
     outer = steps(slabs, "branch").join(at, [*keys, "x", "y", "z"]).groupBy(*keys, "branch", "vertex").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("meets"))
     outer = outer.groupBy(*keys, "branch").agg(F.sort_array(F.collect_list("vertex")).alias("v"), F.sum("step").alias("outer"))
-    through = slabs.select(*keys, "branch").distinct().join(inner, [*keys, "branch"], "left").join(outer, [*keys, "branch"], "left")
-    through = through.select(*keys, F.get("v", F.lit(0)).alias("v1"), F.coalesce(F.get("v", F.lit(1)), F.get("v", F.lit(0))).alias("v2"), (F.coalesce("inner", F.lit(0.0)) + F.coalesce("outer", F.lit(0.0))).alias("length"))
+    through = sizes.join(inner, [*keys, "branch"], "left").join(outer, [*keys, "branch"], "left")
+    through = through.select(*keys, F.get("v", F.lit(0)).alias("v1"), F.coalesce(F.get("v", F.lit(1)), F.get("v", F.lit(0))).alias("v2"), (F.coalesce("inner", F.lit(0.0)) + F.coalesce("outer", F.lit(0.0))).alias("length"), "slabs")
     direct = steps(at, "vertex").join(at.withColumnRenamed("vertex", "other").drop("kind"), [*keys, "x", "y", "z"]).where("vertex < other").groupBy(*keys, F.col("vertex").alias("v1"), F.col("other").alias("v2")).agg(F.min("step").alias("length"))
-    return vertices, through.union(direct)
+    return vertices, through.union(direct.withColumn("slabs", F.lit(0).cast("bigint")))
 
 
 def summary(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and, of the skeletons of each subspace: branches, junctions, end points, mean and longest branch, triple and quadruple points."""
+    """keys, skeleton (its least vertex) and, of each skeleton: branches, junctions, end points, junction and slab voxels, mean and longest
+    branch, triple and quadruple points."""
+    by = [*keys, "skeleton"]
+    own = trees(vertices, branches, keys)
     degree = branches.select(*keys, F.explode(F.array("v1", "v2")).alias("vertex")).groupBy(*keys, "vertex").agg(F.count(F.lit(1)).alias("degree"))
-    v = vertices.join(degree, [*keys, "vertex"], "left").groupBy(*keys).agg(F.count_if(F.col("kind") == "junction").alias("junctions"), F.count_if(F.col("kind") == "end").alias("end_points"), F.coalesce(F.sum(F.when(F.col("kind") == "junction", F.col("voxels"))), F.lit(0)).alias("junction_voxels"), F.count_if((F.col("kind") == "junction") & (F.col("degree") == 3)).alias("triple_points"), F.count_if((F.col("kind") == "junction") & (F.col("degree") == 4)).alias("quadruple_points"))
-    b = branches.groupBy(*keys).agg(F.count(F.lit(1)).alias("branches"), F.avg("length").alias("mean_length"), F.max("length").alias("max_length"))
-    return v.join(b, keys, "left").withColumn("branches", F.coalesce("branches", F.lit(0)))
+    joint = F.col("kind") == "junction"
+    v = own.join(degree, [*keys, "vertex"], "left").groupBy(*by).agg(F.count_if(joint).alias("junctions"), F.count_if(F.col("kind") == "end").alias("end_points"), F.coalesce(F.sum(F.when(joint, F.col("voxels"))), F.lit(0)).alias("junction_voxels"), F.count_if(joint & (F.col("degree") == 3)).alias("triple_points"), F.count_if(joint & (F.col("degree") == 4)).alias("quadruple_points"))
+    b = branches.join(own.select(*keys, F.col("vertex").alias("v1"), "skeleton"), [*keys, "v1"])
+    b = b.groupBy(*by).agg(F.count(F.lit(1)).alias("branches"), F.sum("slabs").alias("slab_voxels"), F.avg("length").alias("mean_length"), F.max("length").alias("max_length"))
+    out = v.join(b, by, "left")
+    return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("branches", "slab_voxels")})
+
+
+def ranked_branches(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, skeleton, branch (from 1, the longest of a skeleton first), length, the places of its two vertices and their distance."""
+    own = trees(vertices, branches, keys)
+    out = branches.select(*keys, "v1", "v2", "length")
+    for v in ("v1", "v2"):
+        at = own.select(*keys, F.col("vertex").alias(v), *(F.col(k).alias(f"{v}_{k}") for k in "xyz"), *(["skeleton"] if v == "v1" else []))
+        out = out.join(at, [*keys, v])
+    apart = F.sqrt(sum((F.col(f"v1_{k}") - F.col(f"v2_{k}")) * (F.col(f"v1_{k}") - F.col(f"v2_{k}")) for k in "xyz"))
+    n = F.row_number().over(Window.partitionBy(*keys, "skeleton").orderBy(F.col("length").desc(), "v1", "v2"))
+    return out.select(*keys, "skeleton", n.alias("branch"), "length", *(f"{v}_{k}" for v in ("v1", "v2") for k in "xyz"), apart.alias("distance"))
+
+
+def largest_graph(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The vertices and branches of the skeleton of most vertices of each subspace; of equal ones, the one with the least vertex."""
+    own = trees(vertices, branches, keys)
+    counts = own.groupBy(*keys, "skeleton").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("skeleton")).alias("low"))).alias("m")).select(*keys, (-F.col("m.low")).alias("skeleton"))
+    kept = own.join(most, [*keys, "skeleton"], "left_semi")
+    return kept.drop("skeleton"), branches.join(kept.select(*keys, F.col("vertex").alias("v1")), [*keys, "v1"], "left_semi")
 
 
 def junction_angles(vertices: DataFrame, branches: DataFrame, keys: list[str], least_valence: int = 3, most_valence: int = 3, least_length: float = 0.0) -> DataFrame:
@@ -210,4 +238,4 @@ def prune(vertices: DataFrame, branches: DataFrame, keys: list[str], least_lengt
     marked = marked.withColumn("why", F.coalesce("why", F.when(n > 1, "repeated")))
     total = F.count(F.lit(1))
     culled = marked.groupBy(*keys).agg(*((F.count_if(F.col("why") == k) * 100.0 / total).alias(k) for k in ("loop", "repeated", "short", "dead_end")))
-    return merged_, marked.where("why is null").select(*keys, F.col("a_").alias("v1"), F.col("b_").alias("v2"), "length"), culled
+    return merged_, marked.where("why is null").select(*keys, F.col("a_").alias("v1"), F.col("b_").alias("v2"), "length", "slabs"), culled

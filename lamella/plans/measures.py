@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import geometry
 from lamella.operators import components, distance, filters, fits, fraction, fractal, mesh, moments, particles, topology
-from lamella.sources.tables import CELL_SQL, FOREGROUND_SQL, GRAINS_SQL, SHAPE, above_mean, foreground, grains, table, voxelize
+from lamella.sources.tables import BLOB_SHAPE, CELL_SQL, FOREGROUND_SQL, GRAINS_SQL, SHAPE, above_mean, blobs, foreground, grains, table, voxelize
 
 W, H, D = SHAPE
 CHANNELS = 3  # A, N and R
@@ -350,9 +350,8 @@ def ef_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ellipsoids.factor_image(ellipsoids.assign(foreground(spark, sf_dir).where("c = 0"), found, 2)).select("x", "y", "z", r6("ef").alias("ef"))
 
 
-def _of_channels(spark: SparkSession, sf_dir: str, measure) -> DataFrame:
+def _of_channels(fg: DataFrame, measure) -> DataFrame:
     """The rows of a measure of each channel's foreground, with c."""
-    fg = foreground(spark, sf_dir)
     parts = [measure(fg.where(F.col("c") == c)).withColumn("c", F.lit(c)) for c in range(CHANNELS)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -361,7 +360,7 @@ def _of_channels(spark: SparkSession, sf_dir: str, measure) -> DataFrame:
 def anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import mil
 
-    return mil.anisotropy(_of_channels(spark, sf_dir, lambda fg: mil.mil_points(fg, SHAPE, seed=1)), ["c"])
+    return mil.anisotropy(_of_channels(foreground(spark, sf_dir), lambda fg: mil.mil_points(fg, SHAPE, seed=1)), ["c"])
 
 
 @query()
@@ -385,11 +384,11 @@ def ellipsoid_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import ellipsoids
 
     def image(fg: DataFrame) -> DataFrame:
-        seeds = distance.ridge_points(fg, ["c"], SHAPE).select(components.linear(F.floor("x"), F.floor("y"), F.floor("z")).alias("seed_id"), "x", "y", "z")
-        seeds = filters.skip_seeds(seeds.withColumn("all_", F.lit(0)), 4, 0, ["seed_id"], ["all_"]).drop("all_")
-        return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(ellipsoids.optimise(seeds, fg, SHAPE))))
+        seeds = distance.ridge_points(fg, ["c"], BLOB_SHAPE).select(components.linear(F.floor("x"), F.floor("y"), F.floor("z")).alias("seed_id"), "x", "y", "z")
+        seeds = filters.skip_seeds(seeds, 4, 0, ["seed_id"])
+        return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(ellipsoids.optimise(seeds, fg, BLOB_SHAPE))))
 
-    return _of_channels(spark, sf_dir, image)
+    return _of_channels(blobs(spark, sf_dir), image)
 
 
 @query()
