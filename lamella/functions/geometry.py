@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,44 @@ def ellipsoid_points(radii: np.ndarray, n: int, rng: np.random.Generator) -> np.
     return out[:n]
 
 
+@dataclass(frozen=True)
+class Ellipsoid:
+    """An ellipsoid of rising radii whose axes are the columns of a rotation; anything else raises ValueError."""
+
+    centre: tuple[float, float, float]
+    radii: tuple[float, float, float]
+    axes: tuple[tuple[float, float, float], ...] = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
+
+    def __post_init__(self):
+        radii, axes = np.asarray(self.radii, dtype=float), np.asarray(self.axes, dtype=float)
+        if not (np.isfinite(radii).all() and np.isfinite(self.centre).all() and np.isfinite(axes).all()):
+            raise ValueError("an ellipsoid's numbers are finite")
+        if radii[0] <= 0 or (np.diff(radii) < 0).any():
+            raise ValueError("radii are more than nothing, and rise")
+        if np.abs(axes.T @ axes - np.eye(3)).max() > 1e-12:
+            raise ValueError("axes are of unit length and at right angles")
+
+    @property
+    def volume(self) -> float:
+        return 4 * np.pi / 3 * float(np.prod(self.radii))
+
+    def contains(self, points: np.ndarray) -> np.ndarray:
+        d = np.asarray(points, dtype=float) - self.centre
+        return ((d @ ellipsoid_tensor(self.radii, np.asarray(self.axes))) * d).sum(axis=-1) <= 1
+
+    def dilated(self, by: float) -> Ellipsoid:
+        """With radii longer by so much (shorter, if it is negative)."""
+        return Ellipsoid(self.centre, tuple(r + by for r in self.radii), self.axes)
+
+    def turned(self, rotation: np.ndarray) -> Ellipsoid:
+        return Ellipsoid(self.centre, self.radii, tuple(map(tuple, rotation @ np.asarray(self.axes))))
+
+    def surface(self, n: int, rng: np.random.Generator, noise: float = 0.0) -> np.ndarray:
+        """n points evenly spread over the surface, each moved by normal noise of that deviation along each axis."""
+        points = ellipsoid_points(np.asarray(self.radii), n, rng) @ np.asarray(self.axes).T + self.centre
+        return points + rng.normal(scale=noise, size=points.shape) if noise else points
+
+
 def distance_to_ellipsoid(point: np.ndarray, radii: np.ndarray, tolerance: float = 1e-12, most: int = 200) -> float:
     """The distance from a point (in the ellipsoid's own frame) to its surface: the root of the multiplier's equation."""
     r2 = np.asarray(radii, dtype=float) ** 2

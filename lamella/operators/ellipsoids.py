@@ -149,8 +149,8 @@ def with_tensors(ellipsoids: DataFrame) -> DataFrame:
     return ellipsoids.mapInPandas(run, schema)
 
 
-def assign(fg: DataFrame, tensors: DataFrame, n: int = 1, block: int = BLOCK) -> DataFrame:
-    """x, y, z, rank, ell_id, ra, rb, rc: the n largest ellipsoids that hold each voxel's centre, rank 0 the largest."""
+def _held(fg: DataFrame, tensors: DataFrame, block: int) -> DataFrame:
+    """Voxels and the ellipsoids that hold their centres; they meet by the blocks that an ellipsoid's box reaches."""
     e = tensors
     for k in "xyz":
         e = e.withColumn(f"b{k}", F.explode(F.sequence(F.floor((F.col(f"c{k}") - F.col(f"h{k}")) / block), F.floor((F.col(f"c{k}") + F.col(f"h{k}")) / block))))
@@ -160,7 +160,17 @@ def assign(fg: DataFrame, tensors: DataFrame, n: int = 1, block: int = BLOCK) ->
     near = F.lit(True)
     for i, k in enumerate("xyz"):
         near = near & (F.abs(d[i]) <= F.col(f"h{k}"))
-    held = own.join(e, ["bx", "by", "bz"]).where(near).where(form <= 1)
+    return own.join(e, ["bx", "by", "bz"]).where(near).where(form <= 1)
+
+
+def painted(voxels: DataFrame, tensors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """x, y, z, n: how many ellipsoids hold each voxel that any holds."""
+    return _held(voxels, tensors, block).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assign(fg: DataFrame, tensors: DataFrame, n: int = 1, block: int = BLOCK) -> DataFrame:
+    """x, y, z, rank, ell_id, ra, rb, rc: the n largest ellipsoids that hold each voxel's centre, rank 0 the largest."""
+    held = _held(fg, tensors, block)
     order = Window.partitionBy("x", "y", "z").orderBy("ell_id")
     return held.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n).select("x", "y", "z", "rank", "ell_id", "ra", "rb", "rc")
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators.components import connected_components, linear, stars
+from lamella.storage import written
 
 _N26 = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
 _INDEX = {o: i for i, o in enumerate(_N26)}
@@ -151,6 +152,21 @@ def ranked_branches(vertices: DataFrame, branches: DataFrame, keys: list[str]) -
     return out.select(*keys, "skeleton", n.alias("branch"), "length", *(f"{v}_{k}" for v in ("v1", "v2") for k in "xyz"), apart.alias("distance"))
 
 
+def per_particle(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """keys, label and, of each particle's skeleton: branches and their length in all."""
+    own = labels.select(*keys, F.col("label").alias("particle_"), "x", "y", "z")
+    by = [*keys, "particle_"]
+    _, branches = graph(written(skeletonise(own, by), "skeletons"), by, spacing)
+    found = branches.groupBy(*by).agg(F.count(F.lit(1)).alias("branches"), F.sum("length").alias("branch_length"))
+    every = labels.select(*keys, "label").distinct().withColumnRenamed("label", "particle_").join(found, by, "left")
+    return every.select(*keys, F.col("particle_").alias("label"), F.coalesce("branches", F.lit(0)).alias("branches"), F.coalesce("branch_length", F.lit(0.0)).alias("branch_length"))
+
+
+def seeds(skeleton: DataFrame) -> DataFrame:
+    """The voxels of a skeleton as seeds of ellipsoids, (x, y, z)."""
+    return skeleton.select(*(F.col(k).cast("double").alias(k) for k in "xyz"))
+
+
 def largest_graph(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The vertices and branches of the skeleton of most vertices of each subspace; of equal ones, the one with the least vertex."""
     own = trees(vertices, branches, keys)

@@ -205,3 +205,14 @@ def ef_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     fg = foreground(spark, sf_dir)
     return ellipsoids.seeds(fg.where("c = 0"), fg.where("c = 1"))
+
+
+@query(f"""WITH {ASSIGN_SQL} SELECT x, y, z, count(*) AS n FROM held GROUP BY x, y, z""")
+def painted_ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ellipsoids.with_tensors(ellipsoids.ranked(_fixed_ellipsoids(spark)))
+    return ellipsoids.painted(foreground(spark, sf_dir).where("c = 0"), found)
+
+
+@query()
+def particle_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.per_particle(components.connected_components(grains(spark, sf_dir), ["c"]), ["c"])

@@ -196,6 +196,21 @@ def bone_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", geometry.guess_bone(title).alias("bone"), geometry.strip_extension(title).alias("stripped"))
 
 
+@query("""SELECT o_orderkey, round(sqrt((a - 3) ** 2 + (b - 2) ** 2 + 1), 6) AS apart, least(9.0, greatest(2.0, a)) AS clamped, round(a * b * 2 * 4 * pi() / 3, 6) AS volume, round(a / b - b / 2, 6) AS factor,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 7 ELSE 0 END AS bone, round(sin_, 6) AS direction FROM (SELECT *, (o_orderkey % 17 + 1)::DOUBLE AS a, (o_custkey % 11 + 1)::DOUBLE AS b FROM orders)
+JOIN (SELECT range AS i, 1 - (2 * range + 1) / 64 AS sin_ FROM range(64)) ON i = o_orderkey % 64""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions in plain SQL."""
+    from lamella.functions import sql
+    from lamella.sources.tables import table
+
+    sql.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("lm_orders")
+    return spark.sql("""SELECT o_orderkey, round(lm_distance(a, b, 1, 3, 2, 0), 6) AS apart, lm_clamp(a, 2, 9) AS clamped, round(lm_ellipsoid_volume(a, b, 2), 6) AS volume, round(lm_ellipsoid_factor(a, b, 2), 6) AS factor,
+        lm_bone(CASE o_orderpriority WHEN '1-URGENT' THEN 'femur' ELSE o_orderpriority END) AS bone, round(z, 6) AS direction
+        FROM (SELECT *, CAST(o_orderkey % 17 + 1 AS DOUBLE) AS a, CAST(o_custkey % 11 + 1 AS DOUBLE) AS b FROM lm_orders) JOIN lm_directions(64) ON i = o_orderkey % 64""")
+
+
 @query(f"""WITH {GRAINS_SQL}, near AS (SELECT a.c, a.x, a.y, a.z, count(b.x) - 1 AS n FROM fg a JOIN fg b ON b.c = a.c
   AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY ALL)
 SELECT c, x, y, z, n, CASE WHEN n <= 1 THEN 'end' WHEN n = 2 THEN 'slab' ELSE 'junction' END AS kind FROM near""")
