@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 3_000_000
 _own_dir: dict[str, str] = {}
+_held: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +79,27 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def cut(batches, column: int, most_bytes: int = SLICE_BYTES):
+    """The rows of Arrow batches in batches of about so many bytes of a text column, so that a worker holds few texts as objects."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
+def held(kind: str, name: str, make):
+    """make(name), kept in a Python worker until a model of another kind or name is asked for: workers are used again by other stages,
+    whose models and caches would add up."""
+    if _held.get("key") != (kind, name):
+        _held.clear()
+        _held["model"] = make(name)
+        _held["key"] = (kind, name)
+    return _held["model"]
+
+
 class TwoGenerations(dict):
     """A dict for results of pure functions, bounded to about 2 x half entries: recent keys survive, old ones are computed anew."""
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import TwoGenerations
+from lamella.llm._common import TwoGenerations, cut, held
 
 #: Fixed values of the public byte-level format: its pattern of words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,8 +34,6 @@ ARRAY_BYTES = 512
 CACHED_CHUNKS = 150_000
 BLOCK_CHARS = 4_000_000
 
-_loaded: dict[str, ByteBPE] = {}
-
 
 def vocabulary_path(vocabulary: str) -> str:
     """A path as it is; a bare file name is one of the installed public vocabularies."""
@@ -237,9 +235,7 @@ class ByteBPE:
 
 def loaded(vocabulary: str) -> ByteBPE:
     """The vocabulary, read once for each Python worker."""
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = ByteBPE(vocabulary_path(vocabulary))
-    return _loaded[vocabulary]
+    return held("bytes", vocabulary, lambda name: ByteBPE(vocabulary_path(name)))
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -251,7 +247,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         bpe = loaded(vocabulary)
-        for batch in batches:
+        for batch in cut(batches, 1):
             ids = bpe.encode_batch(_texts(batch))
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
@@ -280,7 +276,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         bpe = loaded(vocabulary)
-        for batch in batches:
+        for batch in cut(batches, 1):
             counts, of_ids, of_text = [], [], []
             for ids in bpe.encode_batch(_texts(batch)):
                 counts.append(len(ids) // 4)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import free_name, row_key, written
+from lamella.llm._common import cut, free_name, row_key, written
 
 SPACES = b" \t\n\v\f\r"
 BY_DOCUMENT = 10
@@ -35,7 +35,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least_key: int) -> DataF
     """(id, row, at, key, first) of every line with a key; first: the document has no earlier line of that key."""
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches, 2):
             owner, at, keys, first = [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 seen = set()
@@ -89,7 +89,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches, text):
             left = [reassembled(t or "", d)[0] for t, d in zip(b.column(text).to_pylist(), b.column(at).to_pylist())]
             columns = [b.column(i) for i in range(len(names))]
             columns[text] = pa.array(left, pa.string())

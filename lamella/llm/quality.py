@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import TwoGenerations
+from lamella.llm._common import TwoGenerations, cut, held
 from lamella.llm.bpe import vocabulary_path
 
 DEFAULT_PIECES = "piece_bpe_32k.model"
@@ -80,7 +80,6 @@ BANDS: dict[str, Band] = {
 
 #: In the bytes of a word: a letter of ASCII, or any other character beyond it.
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
-_loaded: dict[str, Pieces] = {}
 
 
 class Pieces:
@@ -120,9 +119,7 @@ class Pieces:
 
 
 def loaded(pieces: str) -> Pieces:
-    if pieces not in _loaded:
-        _loaded[pieces] = Pieces(vocabulary_path(pieces))
-    return _loaded[pieces]
+    return held("pieces", pieces, lambda name: Pieces(vocabulary_path(name)))
 
 
 _LETTERS = {name: re.compile(f"[{ranges}]") for name, ranges in SCRIPTS.items()}
@@ -196,9 +193,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def run(batches):
         model = loaded(pieces)
-        for b in batches:
+        for b in cut(batches, 1):
             found = judged([t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist(), model, bands)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found.values())], names=[id_col, *found]) if b.num_rows else pa.RecordBatch.from_pylist([], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found.values())], names=[id_col, *found])
 
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -214,7 +211,7 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pieces
 
     def run(batches):
         model = loaded(pieces)
-        for b in batches:
+        for b in cut(batches, text):
             found = judged([t or "" for t in b.column(text).to_pylist()], b.column(lang).to_pylist(), model, bands)
             yield b.filter(pa.array(found["kept"], pa.bool_()))
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm._common import cut, held
 from lamella.llm.bpe import WORDS, vocabulary_path
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -37,17 +38,17 @@ DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 KNOWN = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d[-T\d]*|[\d/=+_-]+|sha(1|256|384|512)[-=][A-Za-z0-9+/]+=*")
 WHOLE_HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 
-_loaded: dict[str, object] = {}
 
+def _encoding(vocabulary: str):
+    import tiktoken
+
+    with open(vocabulary_path(vocabulary), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("secrets", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
-def loaded(vocabulary: str):
-    if vocabulary not in _loaded:
-        import tiktoken
 
-        with open(vocabulary_path(vocabulary), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[vocabulary] = tiktoken.Encoding("secrets", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[vocabulary]
+def loaded(vocabulary: str):
+    return held("tiktoken", vocabulary, _encoding)
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -110,7 +111,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches):
         encoding = loaded(vocabulary)
-        for b in batches:
+        for b in cut(batches, 1):
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
             for t in b.column(1).to_pylist():

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import discard, free_name, row_key, written
+from lamella.llm._common import cut, discard, free_name, row_key, written
 from lamella.llm.graph import components
 
 SEED = 42
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, row, fp): the fingerprint of every whole text, as bytes."""
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches, 2):
             fp = [fingerprint(h, words, repeats) if (h := shingle_hashes(t or "", shingle)) else b"\0" * 8 * words for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], names=["id", "row", "fp"])
 

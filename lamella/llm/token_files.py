@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm._common import TwoGenerations
+from lamella.llm._common import TwoGenerations, held
 from lamella.llm._files import WholeFile, commit_manifest, store
 from lamella.llm._shards import shard_plan
 from lamella.llm.bpe import printable_bytes, vocabulary_path
@@ -49,8 +49,6 @@ NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"},
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 BLOCK_BYTES = 10_000_000
 
-_loaded: dict[str, WordCache] = {}
-
 
 class WordCache:
     """The tokenizer with the ids of the words that it has lately encoded, as bytes of little-endian integers."""
@@ -134,9 +132,7 @@ def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
 
 
 def loaded(vocabulary: str) -> WordCache:
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = WordCache(vocabulary_path(vocabulary))
-    return _loaded[vocabulary]
+    return held("words", vocabulary, lambda name: WordCache(vocabulary_path(name)))
 
 
 class ShardWriter:
