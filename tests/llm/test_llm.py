@@ -358,7 +358,7 @@ def test_passages_among_unrelated_holders(spark):
         at = k % 33
         text[50:70] = passage[at : at + 20]
     docs = as_docs(spark, table)
-    for parameters in ({}, {"hot": 40}):  # whole, and dealt into pairs of parts
+    for parameters in ({}, {"split": 40}, {"split": 40, "hot": 30}):  # whole, beside each part, and dealt into pairs of parts
         found = {r["doc_id"]: r for r in passages.classes(docs, **parameters).collect()}
         assert found[1]["class_id"] == 0 and found[0]["n_links"] == found[1]["n_links"] == 1
         (start, stop), = found[1]["passages"]
@@ -366,6 +366,23 @@ def test_passages_among_unrelated_holders(spark):
         assert all(found[i]["class_id"] == i and not found[i]["n_links"] for i in range(2, 400))
 
 
+def test_many_holders_meet_in_parts(spark):
+    """Families of edited copies whose signatures have many holders give the same classes whole and in parts."""
+    rng = random.Random(35)
+    families, table = made_texts(3, 36), []
+    for k in range(240):
+        text = list(families[k % 3])
+        for at in rng.sample(range(120), rng.choice((1, 2, 6))):
+            text[at] = f"edit{k}x{at}"
+        text[40:60] = families[0][40:60]  # a phrase of all
+        table.append(text)
+    docs = as_docs(spark, table)
+    whole = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in passages.classes(docs).collect()}
+    assert {c for c, n in whole.values() if n} == {0, 1, 2}
+    for parameters in ({"split": 8}, {"split": 8, "hot": 10}):
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in passages.classes(docs, **parameters).collect()} == whole
+
+
 def test_recall_of_edited_passages(spark):
     """Lone pairs of passages with one word changed, added or left out (similarity 0.8 to 0.9), against brute force."""
     table = made_texts(2400, 33)
