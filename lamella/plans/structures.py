@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import components, distance, ellipsoids, particles, skeleton
+from lamella.operators import commands, components, distance, ellipsoids, particles, skeleton
 from lamella.plans.measures import ASSIGN_SQL, LABEL_SQL, SQL, _AREA, _FLUX, _REST, _fixed_ellipsoids, query, r6
 from lamella.plans.voxelwise import BACKGROUND_SQL, thickness_sql
 from lamella.sources.tables import FOREGROUND_SQL, SHAPE, foreground, grains, table
@@ -216,3 +216,41 @@ def painted_ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def particle_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.per_particle(components.connected_components(grains(spark, sf_dir), ["c"]), ["c"])
+
+
+# ---- whole measurements
+
+
+@query(f"""SELECT c, z, n, csa, cx, cy, theta, imin, imax, r1, r2, zpol, perimeter, mean AS flat_mean, sd AS flat_sd, max AS flat_max, deep_mean
+FROM ({SQL["slice_centroids"].replace("* 0.5, 6) AS cx", ", 6) AS cx").replace("* 0.25, 6) AS cy", ", 6) AS cy").replace("* 0.125 AS csa", "* 1.0 AS csa")}) JOIN ({SQL["slice_moments"]}) USING (c, z)
+JOIN ({SQL["slice_perimeter"].replace("THEN 0.25 ELSE 0.5", "THEN 1 ELSE 1")}) USING (c, z) JOIN ({SQL["slice_thickness"]}) USING (c, z) JOIN (SELECT c, z, mean AS deep_mean FROM ({SQL["slice_thickness_of_stack"]})) USING (c, z)""")
+def slice_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = commands.slice_geometry(foreground(spark, sf_dir), ["c"], SHAPE)
+    four = {k: F.round(k, 4) for k in ("theta", "imin", "imax", "r1", "r2", "zpol")}
+    six = {k: r6(k) for k in ("cx", "cy", "flat_mean", "flat_sd", "flat_max", "deep_mean")}
+    return found.withColumns(four | six).withColumn("csa", F.col("csa").cast("double")).select("c", "z", "n", "csa", "cx", "cy", *four, "perimeter", "flat_mean", "flat_sd", "flat_max", "deep_mean")
+
+
+@query(f"""SELECT c, round(trace * n, 2) AS trace, n::BIGINT AS n, cx, cy, cz FROM ({SQL["principal_moments"]}) JOIN (SELECT c, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z) + 1, 6) AS cz FROM (WITH {FOREGROUND_SQL} SELECT * FROM fg) GROUP BY c) USING (c)""")
+def whole_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = commands.moments_of(foreground(spark, sf_dir), ["c"], SHAPE)
+    trace = F.round(r6((F.col("i1") + F.col("i2") + F.col("i3")) / F.col("n")) * F.col("n"), 2)
+    return found.select("c", trace.alias("trace"), "n", *(r6(k).alias(k) for k in ("cx", "cy", "cz")))
+
+
+@query()
+def analysed_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.analysed_skeletons(grains(spark, sf_dir), ["c"], SHAPE)[0]
+
+
+@query("""WITH node AS (SELECT i.i, j.j, k.k FROM (SELECT unnest([0, 1, 2]) AS i) i, (SELECT unnest([0, 1, 2]) AS j) j, (SELECT unnest([0, 1, 2]) AS k) k),
+arm AS (SELECT i, j, k, d, row_number() OVER (PARTITION BY i, j, k ORDER BY d) AS a, count(*) OVER (PARTITION BY i, j, k) AS valence FROM node, (SELECT unnest([[1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]]) AS d) d
+  WHERE i + d[1] BETWEEN 0 AND 2 AND j + d[2] BETWEEN 0 AND 2 AND k + d[3] BETWEEN 0 AND 2)
+SELECT p.valence, round(acos((p.d[1] * q.d[1] + p.d[2] * q.d[2] + p.d[3] * q.d[3])::DOUBLE), 5) AS angle, count(*) AS n FROM arm p JOIN arm q ON p.i = q.i AND p.j = q.j AND p.k = q.k AND p.a < q.a GROUP BY ALL""")
+def branch_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles by valence in a lattice of three lines each way, whose outer ends are pruned."""
+    at = {k: F.floor(F.col("id") / 25**i) % 25 for i, k in enumerate("xyz")}
+    lattice = spark.range(25**3).select(F.lit(0).alias("c"), *(v.cast("int").alias(k) for k, v in at.items()))
+    lattice = lattice.where(sum((F.col(k) % 8 == 4).cast("int") for k in "xyz") >= 2)
+    angles, _ = commands.branch_angles(lattice, ["c"], (25, 25, 25), most_valence=8, thin=False)
+    return angles.groupBy("valence", F.round("angle", 5).alias("angle")).agg(F.count(F.lit(1)).alias("n"))

@@ -359,6 +359,24 @@ def test_graphs_are_told_apart(spark):
     assert {r["vertex"] for r in own.collect()} == {1, 2, 3} and kept.count() == 2
 
 
+def test_whole_measurements_check_their_images(spark):
+    from lamella.operators import commands
+
+    bar = volume(spark, [(x, y, z) for x in range(2, 9) for y in (3, 4) for z in (0, 1, 2)])
+    for call in (lambda: commands.slice_geometry(bar, ["c"], (10, 10, 3), last=4), lambda: commands.moments_of(bar, ["c"], (10, 10, 0)), lambda: commands.branch_angles(bar, ["c"], (10, 10, 3), (1.0, 0.0, 1.0))):
+        with pytest.raises(InvalidImage):
+            call()
+    found = {r["z"]: r for r in commands.slice_geometry(bar, ["c"], (10, 10, 3), first=2).collect()}
+    assert set(found) == {1, 2} and found[1]["n"] == 14 and found[1]["perimeter"] == 18 and found[1]["theta"] == 0 and found[1]["flat_max"] == 2
+    m = commands.moments_of(bar, ["c"], (10, 10, 3)).first()
+    assert (m["cx"], m["cy"], m["cz"]) == (5, 3.5, 2) and abs(m["v00"]) == pytest.approx(1) and m["i1"] >= m["i2"] >= m["i3"]
+    cross = volume(spark, [(5 + i, 5, 0) for i in range(-4, 5)] + [(5, 5 + i, 0) for i in range(1, 5)] + [(20, 20, 0), (21, 20, 0)])
+    trees, branches = commands.analysed_skeletons(cross, ["c"], (30, 30, 1), thin=False)
+    assert sorted((r["branches"], r["end_points"]) for r in trees.collect()) == [(1, 2), (3, 3)] and branches.where("branch = 1").count() == 2
+    angles, culled = commands.branch_angles(cross, ["c"], (30, 30, 1), margin=3, thin=False)
+    assert culled.first()["dead_end"] == 100 and angles.count() == 0
+
+
 def test_particle_columns_of_a_ball(spark):
     r = 5
     ball = volume(spark, [(x + 8, y + 8, z + 8) for x, y, z in itertools.product(range(-r, r + 1), repeat=3) if x * x + y * y + z * z <= r * r])
