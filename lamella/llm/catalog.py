@@ -57,9 +57,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read_table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_quality that SQL can tell."""
+    return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_secrets that SQL can tell."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_passages, op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op2_passages, op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality, quality_base, secrets_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "quality_base": quality.BASE_SQL, "secrets_base": secrets.BASE_SQL}

@@ -216,3 +216,16 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pieces
             yield b.filter(pa.array(found["kept"], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: The base columns in DuckDB's SQL, over whole texts.
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+gram AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM (SELECT r, i, w[i + 1 : i + 5] AS g FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM w WHERE len(w) >= 5))),
+again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM gram WHERE n > 1) GROUP BY r),
+line AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(line.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(again.n, 0) > 20 * len(w) AS base_failed
+FROM w LEFT JOIN again USING (r) LEFT JOIN line USING (r)
+"""

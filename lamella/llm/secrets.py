@@ -126,3 +126,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_token bigint, base_sha256 string, spans string")
+
+
+#: The base columns in DuckDB's SQL, over whole texts. A match's place follows from the pieces between matches, and the matches before it.
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+kind AS (SELECT * FROM (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', 12),
+  (1, 'access', 'AKIA[A-Z0-9]+', '^', 18), (2, 'hex', '[0-9a-f]+', '^', 16)) k(k, name, pattern, head, least)),
+m AS (SELECT r, k, name, head, least, regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS between_ FROM d, kind),
+one AS (SELECT r, k, name, head, least, unnest(found) AS hit, unnest(list_transform(between_[1 : len(found)], lambda x: length(x))) AS before, unnest(range(len(found))) AS i FROM m WHERE len(found) > 0),
+placed AS (SELECT *, sum(before) OVER w + sum(length(hit)) OVER w - length(hit) AS start FROM one WINDOW w AS (PARTITION BY r, k ORDER BY i)),
+span AS (SELECT r, k, start, name || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT AS s FROM placed WHERE length(regexp_replace(hit, head, '')) >= least),
+total AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(s, ',' ORDER BY start, k) AS s FROM span GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM d LEFT JOIN total USING (r)
+"""
