@@ -297,9 +297,17 @@ def feret_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.feret(_points(spark, sf_dir), ["label"]).select("label", r6("feret").alias("feret"))
 
 
-@query()
+@query("""WITH p AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+m AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY label),
+q AS (SELECT label, mx, my, mz, x - mx AS x, y - my AS y, z - mz AS z, (x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2 AS r FROM p JOIN m USING (label)),
+s AS (SELECT label, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, count(*) AS n, 2 * sum(x * x) AS a, 2 * sum(x * y) AS b, 2 * sum(x * z) AS c, 2 * sum(y * y) AS d, 2 * sum(y * z) AS e, 2 * sum(z * z) AS f,
+  sum(r * x) AS u, sum(r * y) AS v, sum(r * z) AS w, sum(r) AS rr FROM q GROUP BY label),
+t AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s),
+o AS (SELECT label, n, mx, my, mz, rr, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS px, (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det AS py,
+  (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS pz FROM t)
+SELECT label, n, round(px + mx, 5) AS cx, round(py + my, 5) AS cy, round(pz + mz, 5) AS cz, round(sqrt(rr / n + px * px + py * py + pz * pz), 5) AS radius FROM o""")
 def sphere_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fits.fit_spheres(_points(spark, sf_dir), ["label"])
+    return fits.fit_spheres(_points(spark, sf_dir), ["label"]).select("label", "n", *(F.round(k, 5).alias(k) for k in ("cx", "cy", "cz", "radius")))
 
 
 @query()
@@ -410,9 +418,15 @@ def pruned_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.junction_angles(vertices, branches, ["c"], 3, 8)
 
 
-@query()
+@query(f"""WITH {FOREGROUND_SQL}, side AS (SELECT unnest([[1, 0], [-1, 0], [0, 1], [0, -1]]) AS d),
+edge AS (SELECT a.c, a.z, count(*)::DOUBLE AS perimeter FROM fg a, side WHERE NOT EXISTS (SELECT 1 FROM fg b WHERE b.c = a.c AND b.z = a.z AND b.x = a.x + d[1] AND b.y = a.y + d[2]) GROUP BY a.c, a.z),
+row_ AS (SELECT c, z, y + j AS y, min(x) AS low, max(x) + 1 AS high FROM fg, (SELECT unnest([0, 1]) AS j) GROUP BY c, z, y + j),
+p AS (SELECT DISTINCT c, z, x, y FROM (SELECT c, z, low AS x, y FROM row_ UNION ALL SELECT c, z, high, y FROM row_)),
+pair AS (SELECT a.c, a.z, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.c = b.c AND a.z = b.z AND (a.x, a.y) < (b.x, b.y)),
+width AS (SELECT q.c, q.z, ax, ay, bx, by_, any_value(d) AS d, min((bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax)) AS low, max((bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax)) AS high FROM pair q JOIN p ON p.c = q.c AND p.z = q.z GROUP BY ALL)
+SELECT c, z, perimeter, round(max(d), 6) AS feret_max, round(min((high - low) / d) FILTER (low = 0 OR high = 0), 6) AS feret_min FROM width JOIN edge USING (c, z) GROUP BY c, z, perimeter""")
 def slice_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.slice_outline(foreground(spark, sf_dir), ["c"])
+    return moments.slice_outline(foreground(spark, sf_dir), ["c"]).select("c", "z", "perimeter", r6("feret_max").alias("feret_max"), r6("feret_min").alias("feret_min"))
 
 
 @query(f"""WITH {FOREGROUND_SQL}, bg AS (SELECT c.c, x.x, y.y, z.z FROM (SELECT DISTINCT c FROM fg) c, (SELECT unnest(range(50)) AS x) x, (SELECT unnest(range(11)) AS y) y, (SELECT unnest(range(9)) AS z) z

@@ -108,19 +108,6 @@ def principal_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c", r6(a + b + d).alias("trace"), F.round(a * b + a * d + b * d, 4).alias("minors"), F.round(a * b * d, 3).alias("determinant"))
 
 
-@query("""WITH p AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
-m AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY label),
-q AS (SELECT label, mx, my, mz, x - mx AS x, y - my AS y, z - mz AS z, (x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2 AS r FROM p JOIN m USING (label)),
-s AS (SELECT label, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, count(*) AS n, 2 * sum(x * x) AS a, 2 * sum(x * y) AS b, 2 * sum(x * z) AS c, 2 * sum(y * y) AS d, 2 * sum(y * z) AS e, 2 * sum(z * z) AS f,
-  sum(r * x) AS u, sum(r * y) AS v, sum(r * z) AS w, sum(r) AS rr FROM q GROUP BY label),
-t AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s),
-o AS (SELECT label, n, mx, my, mz, rr, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS px, (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det AS py,
-  (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS pz FROM t)
-SELECT label, n, round(px + mx, 5) AS cx, round(py + my, 5) AS cy, round(pz + mz, 5) AS cz, round(sqrt(rr / n + px * px + py * py + pz * pz), 5) AS radius FROM o""")
-def fitted_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fits.fit_spheres(_points(spark, sf_dir), ["label"]).select("label", "n", *(F.round(k, 5).alias(k) for k in ("cx", "cy", "cz", "radius")))
-
-
 @query("""WITH p AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
 m AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY label),
 q AS (SELECT label, x - mx AS x, y - my AS y, z - mz AS z FROM p JOIN m USING (label)),
