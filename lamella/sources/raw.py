@@ -14,6 +14,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.functions.geometry import stl_name
+
 TYPES = {"uint8": "u1", "uint16": "u2", "int16": "i2", "float32": "f4"}
 
 
@@ -114,7 +116,7 @@ def write_stl(triangles: DataFrame, keys: list[str], folder: str, name: str) ->
         v = [f[[f"v{i}x", f"v{i}y", f"v{i}z"]].to_numpy(dtype=float) for i in range(3)]
         files, at = fs.FileSystem.from_uri(url)
         files.create_dir(at, recursive=True)
-        path = f"{at}/{name}_" + "_".join(f"{k}_{x}" for k, x in zip(keys, key)) + ".stl"
+        path = f"{at}/" + stl_name(name, ", ".join(f"{k}: {x}" for k, x in zip(keys, key)))
         with files.open_output_stream(path + ".tmp") as out:
             out.write(stl_bytes(*v))
         files.move(path + ".tmp", path)
