@@ -608,6 +608,22 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.limit(0), folder), folder).collect() == []
 
 
+def test_names_that_clash(spark):
+    """Tables whose other columns have the names that the operators use inside."""
+    pages = spark.createDataFrame([(i, "u", "z" * 200, "x", 1, 1, None, "d") for i in (3, 1, 2)], "page_id bigint, url string, html string, digest string, kind int, shard int, `first` string, payload string")
+    folder = fresh_path(spark, "test-warc")
+    found = warc.read(warc.write(pages, folder), folder)
+    same(found.select("page_id", "record_type", "refers_to").collect(), [(1, "response", None), (2, "revisit", 1), (3, "revisit", 1)])
+    text = "when people read books they often learn about history and science from many authors of old times"
+    docs = spark.createDataFrame([(1, text, "en", False, -1, 0.5, "k"), (2, "x", "en", True, -1, 0.5, "k")], "doc_id bigint, text string, lang string, kept boolean, n_words int, chars_per_token double, id string")
+    assert [tuple(r) for r in quality.keep(docs).collect()] == [(1, text, "en", False, -1, 0.5, "k")]
+    copies = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(80)), 1, 2, "u", "k", 3) for i in ("b", "a", "a")] + [("c", "other", 1, 2, "u", "k", 3)], "doc_id string, text string, uid int, `key` int, `id` string, words string, root int")
+    same([(r["doc_id"], r["class_id"], r["n_links"]) for r in passages.classes(copies).collect()], [("a", "a", 2), ("a", "a", 2), ("b", "a", 2), ("c", "c", 0)])
+    odd = spark.createDataFrame([(1, "same words here and there", 5, 6, "f"), (2, "same words here and there", 5, 6, "f")], "doc_id bigint, text string, root int, fp int, lm_row string")
+    out = simhash.deduplicate(odd)
+    assert out.columns == odd.columns and [tuple(r) for r in out.collect()] == [(1, "same words here and there", 5, 6, "f")]
+
+
 # ---- pipeline
 def test_pipeline_stages_keep_their_contracts(spark):
     import corpus_pipeline
