@@ -75,6 +75,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over more tasks, if it is read from files of fewer row groups than there are cores (a file's row groups aren't
+    split, however many tasks it has). A plan with a shuffle, or with many tasks, is left as it is; else a job counts rows by task."""
+    cores, execution = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    plan = execution.executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or plan.count("Scan parquet") != 1 or execution.toRdd().getNumPartitions() >= 4 * cores:
+        return df
+    filled = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each of few tasks
+    return df if len(filled) >= cores or sum(r["n"] for r in filled) < 4 * cores else df.repartition(2 * cores)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

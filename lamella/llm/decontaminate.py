@@ -24,7 +24,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import free_name, row_key, written
+from lamella.llm._common import free_name, row_key, spread, written
 
 LENGTH, K = 10, 5
 WINDOW = LENGTH - K + 1
@@ -120,7 +120,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     """(id, row, copies, n_words, spans, items), one row for equal documents."""
     items, lengths = _items(benchmark, item_col, item_text_col)
     small = items.count() * BYTES_A_ROW <= BROADCAST_BYTES
-    own = _hashes(docs, [F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row")], text_col)
+    texts = spread(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")))
+    own = _hashes(texts, [F.col("id"), F.col("row")], "text")
 
     def tagged(kept: Column, length: int) -> Column:
         return F.transform(kept, lambda v: F.struct(v.alias("kept"), F.lit(length).alias("length"))) if lengths else kept

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import TwoGenerations, cut, held
+from lamella.llm._common import TwoGenerations, cut, held, spread
 from lamella.llm.bpe import vocabulary_path
 
 DEFAULT_PIECES = "piece_bpe_32k.model"
@@ -201,11 +201,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     from pyspark.sql.pandas.types import to_arrow_type
 
     out = pa.schema([(id_col, to_arrow_type(kind)), *((x.split()[0], {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]]) for x in FEATURES.split(", "))])
-    return docs.select(F.col(id_col), F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {FEATURES}")
+    return spread(docs.select(F.col(id_col), F.col(text_col), F.col(lang_col).cast("string"))).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, {FEATURES}")
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pieces: str = DEFAULT_PIECES, bands: dict[str, Band] | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose texts no rule rejects. Nothing is shuffled."""
+    """The rows of docs, all columns, whose texts no rule rejects."""
     bands = BANDS if bands is None else bands
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
@@ -215,7 +215,7 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pieces
             found = judged([t or "" for t in b.column(text).to_pylist()], b.column(lang).to_pylist(), model, bands)
             yield b.filter(pa.array(found["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 #: The base columns in DuckDB's SQL, over whole texts.

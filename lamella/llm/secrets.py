@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import cut, held
+from lamella.llm._common import cut, held, spread
 from lamella.llm.bpe import WORDS, vocabulary_path
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[id_col, "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_token bigint, base_sha256 string, spans string")
+    return spread(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_token bigint, base_sha256 string, spans string")
 
 
 #: The base columns in DuckDB's SQL, over whole texts. A match's place follows from the pieces between matches, and the matches before it.

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import cut, discard, free_name, row_key, written
+from lamella.llm._common import cut, discard, free_name, row_key, spread, written
 from lamella.llm.graph import components
 
 SEED = 42
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint(h, words, repeats) if (h := shingle_hashes(t or "", shingle)) else b"\0" * 8 * words for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], names=["id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint"), row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, "id bigint, row bigint, fp binary")
+    return spread(docs.select(F.col(id_col).cast("bigint"), row_key(id_col, text_col), F.col(text_col))).mapInArrow(run, "id bigint, row bigint, fp binary")
 
 
 # ---- buckets

@@ -608,6 +608,19 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.limit(0), folder), folder).collect() == []
 
 
+def test_few_row_groups_are_spread(spark, tmp_path):
+    from lamella.llm._common import spread
+
+    rows = spark.range(1000).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(8).write.parquet(str(tmp_path / "many"))
+    parts = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    one, many = (spark.read.parquet(str(tmp_path / k)) for k in ("one", "many"))
+    assert parts(one) == 1 and parts(spread(one)) > 1 and sorted(map(tuple, spread(one).collect())) == sorted(map(tuple, rows.collect()))
+    shuffled, few = one.repartition(3), one.limit(5)
+    assert all(spread(df) is df for df in (many, shuffled, few, spark.range(10)))
+
+
 def test_names_that_clash(spark):
     """Tables whose other columns have the names that the operators use inside."""
     pages = spark.createDataFrame([(i, "u", "z" * 200, "x", 1, 1, None, "d") for i in (3, 1, 2)], "page_id bigint, url string, html string, digest string, kind int, shard int, `first` string, payload string")
