@@ -154,9 +154,15 @@ def inertia_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c", "n", "mass", *(F.round(k, 4).alias(k) for k in ("ixx", "iyy", "izz", "ixy", "ixz", "iyz")))
 
 
-@query()
+@query(f"""WITH {FOREGROUND_SQL}, s AS (SELECT c, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM fg GROUP BY c),
+p AS (SELECT c, any_value(n) AS n, sum((x - mx) ** 2) AS xx, sum((y - my) ** 2) AS yy, sum((z - mz) ** 2) AS zz, -sum((x - mx) * (y - my)) AS xy, -sum((x - mx) * (z - mz)) AS xz, -sum((y - my) * (z - mz)) AS yz FROM fg JOIN s USING (c) GROUP BY c)
+SELECT c, round((yy + zz + n / 6) / n, 5) AS xx, round((xx + zz + n / 6) / n, 5) AS yy, round((xx + yy + n / 6) / n, 5) AS zz, round(xy / n, 5) + 0.0 AS xy, round(xz / n, 5) + 0.0 AS xz, round(yz / n, 5) + 0.0 AS yz, 1.0::DOUBLE AS unit FROM p""")
 def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.principal_axes(moments.inertia_tensor(foreground(spark, sf_dir), ["c"]), ["c"])
+    """The tensor, a voxel, put together again from its principal moments and axes, and the least length of an axis."""
+    found = moments.principal_axes(moments.inertia_tensor(foreground(spark, sf_dir), ["c"]), ["c"])
+    of = {f"{a}{b}": sum(F.col(f"i{3 - k}") * F.col(f"v{i}{k}") * F.col(f"v{j}{k}") for k in range(3)) / F.col("n") for i, a in enumerate("xyz") for j, b in enumerate("xyz") if j >= i}
+    unit = F.least(*(F.sqrt(sum(F.col(f"v{i}{k}") * F.col(f"v{i}{k}") for i in range(3))) for k in range(3)))
+    return found.select("c", *((F.round(v, 5) + F.lit(0.0)).alias(k) for k, v in of.items()), r6(unit).alias("unit"))
 
 
 @query(f"""WITH {FOREGROUND_SQL} SELECT c, z, count(*) AS n, count(*) * 0.125 AS csa, round(sum(x) / count(*) * 0.5, 6) AS cx, round(sum(y) / count(*) * 0.25, 6) AS cy, 1.0::DOUBLE AS mean_density FROM fg GROUP BY c, z""")
