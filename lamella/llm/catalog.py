@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import bpe, chat, decontaminate, fill_middle, lexical, line_dedup, passages, quality, secrets, simhash, token_files, warc
+from lamella.llm import bpe, chat, decontaminate, fill_middle, lexical, line_dedup, passages, pii, quality, secrets, simhash, token_files, warc
 from lamella.llm._common import fresh_path, read_table
 
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
 
@@ -70,14 +74,19 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op11_pii that SQL can tell."""
+    return op11_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op7_secrets that SQL can tell."""
     return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_passages, op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality, op12_lexical, op13_fill_middle, quality_base, secrets_base)}
+    return {f.__name__: f for f in (op1_warc, op2_passages, op3_chat, op4_token_files, op5_bpe, op6_simhash, op7_secrets, op8_decontaminate, op9_line_dedup, op10_quality, op11_pii, op12_lexical, op13_fill_middle, quality_base, secrets_base, pii_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL, "op13_fill_middle": fill_middle.ORACLE_SQL, "quality_base": quality.BASE_SQL, "secrets_base": secrets.BASE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL, "op13_fill_middle": fill_middle.ORACLE_SQL, "quality_base": quality.BASE_SQL, "secrets_base": secrets.BASE_SQL, "pii_base": pii.BASE_SQL}
