@@ -17,9 +17,9 @@ all below it are already linked with the query. Buckets much above the mean are
 of parts is a task's group, so no task gets a whole hot bucket and no link is lost. Only links to the least member of
 what a group has joined leave it, at most one a row; a component search over them does the rest.
 
-Defined results: a null text is as an empty one: no words, fingerprint zero, linked as any other. Ids are integers; rows
+Defined results: a null text is as an empty one: no words, fingerprint zero, linked as any other. Ids are integers of any value; rows
 with a null id link as others do, but have no id to give, and their component is null if it holds no other id. Repeated
-rows have equal fingerprints and so one component. An empty table gives no rows. Other columns are not read, and
+rows have equal fingerprints and so one component. An empty table gives no rows. A very long text is one row of one task. Other columns are not read, and
 `deduplicate` hands them on, whatever their names.
 """
 
@@ -44,7 +44,6 @@ BUCKET = 4096
 HOT_LEAST, HOT_TIMES = 1024, 4
 PAIRS = 1_000_000
 GROUP_ROWS = 60_000
-NO_ID = 1 << 62
 #: The wide fingerprints of `deduplicate`: 64-bit words, tables, bits of a table's sample. Their angle tells the
 #: similarity of shingle sets: see `bits_for`.
 WIDE, TABLES, SAMPLE = 4, 32, 16
@@ -341,13 +340,13 @@ def link_fingerprints(distinct: DataFrame, words: int, most_bits: int, masks: li
 
 
 def labelled(found: DataFrame, words: int, most_bits: int, masks_for) -> DataFrame:
-    """found (id, row, fp; a written table) with root: the least id of the component, or NO_ID and more if it has none."""
-    own = F.coalesce(F.min("id"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.first("fp")), 2))
-    distinct = written(found.groupBy("fp").agg(own.alias("node")), "distinct")
+    """found (id, row, fp; a written table) with root, a number of the component, and component, its least id (null if it has none)."""
+    distinct = written(found.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
     count = distinct.count()
     roots = link_fingerprints(distinct, words, most_bits, masks_for(count), count)
-    labels = written(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "labels")
-    discard(distinct, roots)
+    rooted = written(distinct.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    labels = written(rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root"), "labels")
+    discard(distinct, roots, rooted)
     return found.join(labels, "fp")
 
 
@@ -355,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, fingerprint (hex) and component_id of every row; fingerprints link at most_bits differing bits, exactly."""
     found = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     out = labelled(found, 1, most_bits, lambda n: exact_masks(blocks_for(n, most_bits), most_bits))
-    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY, words: int = WIDE, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
@@ -366,7 +365,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(fingerprints(docs, id_col, text_col, shingle, words, False), "fingerprints")
     most_bits = bits_for(similarity, 64 * words)
     marked = labelled(found, words, most_bits, lambda n: sampled_masks(words, *tables_for(n, words, most_bits, tables, sample)))
-    stays = F.when(F.col("root") < NO_ID, F.col("id") == F.col("root")).otherwise(F.col("id").isNull())
+    stays = F.col("id").eqNullSafe(F.col("component"))
     keepers = written(marked.where(stays).groupBy("root").agg(F.min("row").alias("row"), F.first("id").alias("id"), F.count(F.lit(1)).alias("n")), "keepers")
     row = free_name(docs, "lm_row")
     keyed = docs.withColumn(row, row_key(id_col, text_col)).alias("d")
