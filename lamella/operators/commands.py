@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.model import Axis, InvalidImage, validate
-from lamella.operators import distance, filters, moments, skeleton
+from lamella.operators import distance, filters, moments, pruning, skeleton
 from lamella.storage import written
 
 Shape = tuple[int, int, int]
@@ -56,23 +56,33 @@ def slice_geometry(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, f
     return _joined(parts, by)
 
 
-def analysed_skeletons(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, thin: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(trees, branches): the summary of each tree with its longest shortest path, and its ranked branches. thin: skeletonise first."""
+def analysed_skeletons(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, thin: bool = True, cycles: str | None = None, image: DataFrame | None = None, dead_ends: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(trees, branches): the summary of each tree with its longest shortest path, and its ranked branches. thin: skeletonise first.
+    cycles: a method of `pruning` that opens cycles, by the intensities of an image for two of them; dead_ends: prune these too."""
     _checked(shape, spacing)
-    vertices, branches = skeleton.graph(written(skeleton.skeletonise(fg, keys), "skeleton") if thin else fg, keys, spacing)
+    points = written(skeleton.skeletonise(fg, keys), "skeleton") if thin else fg
+    if cycles:
+        points = written(pruning.prune_cycles(points, keys, cycles, image, spacing), "opened")
+    if dead_ends:
+        points = written(pruning.prune_ends(points, keys), "pruned")
+    vertices, branches = skeleton.graph(points, keys, spacing)
     vertices, branches = written(vertices, "vertices"), written(branches, "branches")
     paths = skeleton.longest_shortest_paths(vertices, branches, keys).select(*keys, "skeleton", F.col("length").alias("longest_path"), F.col("start").alias("path_start"))
     trees = _joined([skeleton.summary(vertices, branches, keys), paths], [*keys, "skeleton"])
     return trees, skeleton.ranked_branches(vertices, branches, keys)
 
 
-def branch_angles(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, least_length: float = 0.0, margin: int = 0, least_valence: int = 3, most_valence: int = 3, thin: bool = True) -> tuple[DataFrame, DataFrame]:
+def branch_angles(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, least_length: float = 0.0, margin: int = 0, least_valence: int = 3, most_valence: int = 3, thin: bool = True, iterate: bool = False, clusters: bool = True) -> tuple[DataFrame, DataFrame]:
     """(angles, culled): the angles between branches at the junctions of each subspace's largest skeleton, once branches shorter than
     least_length are contracted, at junctions of a valence from least to most that are so far from the bounds; and the
-    percentages of branches that pruning took."""
+    percentages of branches that pruning took. Short branches are contracted by clusters or by matchings, once or (iterate) until
+    none is left; when these are not the defaults, culled tells of what is left then."""
     _checked(shape, spacing)
     points = written(skeleton.skeletonise(fg, keys), "skeleton") if thin else fg
     vertices, branches = skeleton.largest_graph(*(written(t, "graph") for t in skeleton.graph(points, keys, spacing)), keys)
+    if iterate or not clusters:
+        vertices, branches = pruning.contract(vertices, branches, keys, least_length, iterate, clusters)
+        branches, least_length = branches.withColumn("slabs", F.lit(0).cast("bigint")), 0.0
     vertices, branches, culled = skeleton.prune(vertices, branches, keys, least_length)
     vertices, branches = written(vertices, "vertices"), written(branches, "branches")
     angles = skeleton.junction_angles(vertices, branches, keys, least_valence, most_valence)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.storage import written
+from lamella.storage import discard, written
 
 BLOCK = 64
 STRIDE = 1 << 20  # positions per axis that a linear index can hold
@@ -63,7 +63,7 @@ def label_block(x: np.ndarray, y: np.ndarray, z: np.ndarray, connectivity: int)
 
 
 def stars(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, node, root of edges (keys, u, v), by alternating large and small stars."""
+    """keys, node, root of edges (keys, u, v), by alternating large and small stars. Of the rounds' tables the last alone stays."""
     edges = written(edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
 
     def mark(e: DataFrame):
@@ -78,9 +78,11 @@ def stars(edges: DataFrame, keys: list[str]) -> DataFrame:
         least = written(both.groupBy(*keys, "u").agg(F.min("v").alias("m")), "least")
         large = both.join(least, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = written(large.where("u <> v").distinct(), "edges")
+        discard(edges, least)
         least = written(large.groupBy(*keys, "u").agg(F.min("v").alias("m")), "least")
         small = turned(large.join(least, [*keys, "u"]).where("v <> m"), "v", "m").union(turned(least, "u", "m"))
         edges = written(small.distinct(), "edges")
+        discard(large, least)
         now = mark(edges)
         if now == before:
             break

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.operators import blocks
 from lamella.operators.components import grid
 from lamella.storage import written
 
@@ -111,27 +112,22 @@ def ridge(distance: DataFrame, keys: list[str]) -> DataFrame:
     return own.join(held, [*keys, "x", "y", "z"], "left").where(F.col("inside").isNull() | (F.col("inside") < F.col("r") - 1e-9)).select(*keys, "x", "y", "z", "r", "d2")
 
 
-BALL = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if x * x + y * y + z * z <= 4]
+RIDGE_RADIUS = 2
 
 
-def _over_ball(image: DataFrame, keys: list[str], op, shape: tuple[int, int, int]) -> DataFrame:
-    """Each voxel's largest or least value over the ball around it, within the image."""
-    offsets = F.array(*(F.struct(*(F.lit(v).alias(f"d{k}") for k, v in zip("xyz", o))) for o in BALL))
-    moved = image.select(*keys, "x", "y", "z", "v", F.explode(offsets).alias("o")).select(*keys, *((F.col(k) + F.col(f"o.d{k}")).alias(k) for k in "xyz"), "v")
-    inside = moved.where(" and ".join(f"{k} between 0 and {n - 1}" for k, n in zip("xyz", shape)))
-    return inside.groupBy(*keys, "x", "y", "z").agg(op("v").alias("v"))
+def ridge_points(fg: DataFrame, keys: list[str], shape: tuple[int, int, int], threshold: float = 0.6, block: int = blocks.BLOCK) -> DataFrame:
+    """keys, x, y, z of seeds for ellipsoids: voxel centres where closing less opening of the distance map by a small ball is more
+    than threshold of its largest value, and the opening is 1 at least. One stencil does all four passes of the ball."""
+    found = squared_distance(fg, keys, shape, border=True).withColumn("r", F.sqrt("d2"))
 
+    def fn(a: np.ndarray, low) -> np.ndarray:
+        beyond = blocks.outside(a, low, shape)
+        over = lambda v, largest: blocks.over_ball(v, RIDGE_RADIUS, largest, beyond)
+        opened = over(over(a, False), True)
+        return np.where(beyond | (opened < 1), np.nan, over(over(a, True), False) - opened)
 
-def ridge_points(fg: DataFrame, keys: list[str], shape: tuple[int, int, int], threshold: float = 0.6) -> DataFrame:
-    """keys, x, y, z of seeds for ellipsoids: voxel centres where closing less opening of the distance map by a small ball is more
-    than threshold of its largest value, and the opening is 1 at least."""
-    found = squared_distance(fg, keys, shape, border=True)
-    every = grid(fg.sparkSession, fg.select(*keys).distinct(), shape)
-    image = written(every.join(found, [*keys, "x", "y", "z"], "left").select(*keys, "x", "y", "z", F.sqrt(F.coalesce("d2", F.lit(0.0))).alias("v")), "distances")
-    closed = _over_ball(_over_ball(image, keys, F.max, shape), keys, F.min, shape).withColumnRenamed("v", "closed")
-    opened = _over_ball(_over_ball(image, keys, F.min, shape), keys, F.max, shape).withColumnRenamed("v", "opened")
-    both = closed.join(opened, [*keys, "x", "y", "z"]).where("opened >= 1").withColumn("r", F.col("closed") - F.col("opened"))
-    both = written(both, "ridge")
+    both = blocks.stencil(blocks.blocks_of(found, keys, "r", block), keys, 2 * RIDGE_RADIUS, fn, np.float64, block, 0.0, np.nan)
+    both = written(blocks.voxels_of(both, keys, "r", block, np.nan), "ridge")
     most = both.groupBy(*keys).agg(F.max("r").alias("most"))
     return both.join(most, keys).where(F.col("r") > threshold * F.col("most")).select(*keys, *((F.col(k) + 0.5).alias(k) for k in "xyz"), "r")
 

@@ -1,7 +1,9 @@
 """Skeletons: thinning, analysis of branches and junctions, and angles at junctions.
 
-Thinning takes a connected particle per task, as its order of removals runs through all of it; everything after is grouped
-aggregates and joins over skeleton voxels.
+Thinning peels an image by subfields: of the voxels on the surface at the start of a round, those of each of the eight parities of
+(x, y, z) in turn go, if they are simple and no ends. No two voxels of a parity are neighbours, so all of one go at once without a change
+of topology, and a round needs to see no further than eight voxels: blocks of the image exchange such halos and are peeled side by side,
+with the same result for any size of blocks. Everything after is grouped aggregates and joins over skeleton voxels.
 """
 
 from __future__ import annotations
@@ -14,82 +16,96 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators import blocks as dense
 from lamella.operators.components import connected_components, linear, stars
-from lamella.storage import written
+from lamella.storage import discard, written
 
 _N26 = [o for o in itertools.product((-1, 0, 1), repeat=3) if o != (0, 0, 0)]
-_INDEX = {o: i for i, o in enumerate(_N26)}
-_ADJACENT26 = [[j for j, b in enumerate(_N26) if j != i and max(abs(p - q) for p, q in zip(a, b)) <= 1] for i, a in enumerate(_N26)]
 _N18 = [i for i, o in enumerate(_N26) if sum(map(abs, o)) <= 2]
-_ADJACENT6 = [[j for j in _N18 if sum(abs(p - q) for p, q in zip(_N26[i], _N26[j])) == 1] for i in range(26)]
-_FACES = [i for i, o in enumerate(_N26) if sum(map(abs, o)) == 1]
-SIDES = [(0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1), (-1, 0, 0), (1, 0, 0)]
-_simple: dict[int, bool] = {}
-
-
-def _count(allowed: set[int], adjacent, starts) -> int:
-    seen: set[int] = set()
-    n = 0
-    for s in starts:
-        if s in allowed and s not in seen:
-            n += 1
-            stack = [s]
-            seen.add(s)
-            while stack:
-                for j in adjacent[stack.pop()]:
-                    if j in allowed and j not in seen:
-                        seen.add(j)
-                        stack.append(j)
-    return n
-
-
-def is_simple(bits: int) -> bool:
-    """Whether a voxel with these foreground neighbours can go without a change of topology: one foreground component among 26,
+
+
+def _bits(places) -> int:
+    return sum(1 << i for i in places)
+
+
+#: For each of the 26 neighbours: those next to it (for foreground), and those of the 18 that share a face with it (for background).
+_BESIDE = [_bits(j for j, b in enumerate(_N26) if j != i and max(abs(p - q) for p, q in zip(a, b)) <= 1) for i, a in enumerate(_N26)]
+_FACING = [_bits(j for j in _N18 if sum(abs(p - q) for p, q in zip(_N26[i], _N26[j])) == 1) for i in range(26)]
+_EIGHTEEN, _SIX = _bits(_N18), _bits(i for i, o in enumerate(_N26) if sum(map(abs, o)) == 1)
+PARITIES = list(itertools.product((0, 1), repeat=3))
+ROUND_HALO = len(PARITIES)
+
+
+def _grown(start: np.ndarray, within: np.ndarray, beside: list[int]) -> np.ndarray:
+    """The neighbours that start reaches over steps within a set; all as bits."""
+    while True:
+        out = start
+        for i, near in enumerate(beside):
+            out = out | np.where(out >> i & 1, near, 0) & within
+        if (out == start).all():
+            return out
+        start = out
+
+
+def is_simple(bits: np.ndarray) -> np.ndarray:
+    """Whether voxels with these foreground neighbours can go without a change of topology: one foreground component among 26,
     one background component that touches it by a face among 18."""
-    if bits not in _simple:
-        fg = {i for i in range(26) if bits >> i & 1}
-        bg = {i for i in _N18 if i not in fg}
-        _simple[bits] = _count(fg, _ADJACENT26, sorted(fg)) == 1 and _count(bg, _ADJACENT6, _FACES) == 1
-    return _simple[bits]
+    back = ~bits & _EIGHTEEN
+    faces = back & _SIX
+    whole = _grown(bits & -bits, bits, _BESIDE) == bits
+    return (bits != 0) & (faces != 0) & whole & (_grown(faces & -faces, back, _FACING) & _SIX == faces)
+
+
+def peel(v: np.ndarray, low: tuple[int, int, int]) -> np.ndarray:
+    """One round over an array whose first position is low (z, y, x). What it makes of positions within ROUND_HALO of the bounds
+    depends on what lies beyond; the outermost layer stays."""
+    v = v.copy()
+    inner = v[1:-1, 1:-1, 1:-1]
+    surface = np.zeros_like(inner)
+    for i in range(3):
+        for d in (0, 2):
+            surface |= ~v[tuple(slice(d, v.shape[k] - 2 + d) if k == i else slice(1, -1) for k in range(3))]
+    at = np.argwhere(inner & surface) + 1
+    flat, strides = v.reshape(-1), np.array([v.shape[1] * v.shape[2], v.shape[2], 1])
+    steps = np.array(_N26) @ strides
+    parity = (at + low) & 1
+    for p in PARITIES:
+        own = at[(parity == p).all(axis=1)] @ strides
+        bits = np.zeros(len(own), dtype=np.int64)
+        for i, step in enumerate(steps):
+            bits |= flat[own + step].astype(np.int64) << i
+        thick = np.bitwise_count(bits) > 1
+        own, bits = own[thick], bits[thick]
+        kinds, which = np.unique(bits, return_inverse=True)
+        flat[own[is_simple(kinds)[which]]] = False
+    return v
 
 
 def thin(volume: np.ndarray) -> np.ndarray:
-    """The skeleton of a volume (z, y, x): from six sides in turn, voxels on the side that are simple and no ends go, each checked
-    again when it goes, until none does."""
+    """The skeleton of a volume (z, y, x): rounds until none takes a voxel."""
     v = np.pad(volume.astype(bool), 1)
-
-    def neighbours(z, y, x) -> int:
-        return sum(1 << i for i, (dz, dy, dx) in enumerate(_N26) if v[z + dz, y + dy, x + dx])
-
-    changed = True
-    while changed:
-        changed = False
-        for dz, dy, dx in SIDES:
-            z, y, x = np.nonzero(v)
-            on_side = ~v[z + dz, y + dy, x + dx]
-            gone = [(a, b, c) for a, b, c in zip(z[on_side].tolist(), y[on_side].tolist(), x[on_side].tolist()) if (n := neighbours(a, b, c)).bit_count() > 1 and is_simple(n)]
-            for a, b, c in gone:
-                n = neighbours(a, b, c)
-                if n.bit_count() > 1 and is_simple(n):
-                    v[a, b, c] = False
-                    changed = True
-    return v[1:-1, 1:-1, 1:-1]
+    while True:
+        out = peel(v, (-1, -1, -1))
+        if (out == v).all():
+            return v[1:-1, 1:-1, 1:-1]
+        v = out
 
 
-def skeletonise(fg: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, x, y, z of the skeleton, by particle."""
-    labels = connected_components(fg, keys, 26)
-    parts = "".join(f"`{k}` {labels.schema[k].dataType.simpleString()}, " for k in keys)
+def skeletonise(fg: DataFrame, keys: list[str], block: int = dense.BLOCK, rounds: int = 1) -> DataFrame:
+    """keys, x, y, z of the skeleton. Blocks are peeled so many rounds between two exchanges of halos, which are that much wider."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        p = f[["z", "y", "x"]].to_numpy()
-        low = p.min(axis=0)
-        box = np.zeros(p.max(axis=0) - low + 1, dtype=bool)
-        box[tuple((p - low).T)] = True
-        z, y, x = (np.nonzero(thin(box))[i] + low[i] for i in range(3))
-        return pd.DataFrame({k: [f[k].iloc[0]] * len(x) for k in keys} | {"x": x, "y": y, "z": z})
+    def fn(a: np.ndarray, low) -> np.ndarray:
+        for _ in range(rounds):
+            a = peel(a, low)
+        return a
 
-    return labels.groupBy(*keys, "label").applyInPandas(run, parts + "x int, y int, z int")
+    now = written(dense.blocks_of(fg, keys, None, block), "peeled")
+    while True:
+        out = written(dense.stencil(now, keys, ROUND_HALO * rounds, fn, bool, block), "peeled")
+        discard(now)
+        now = out
+        if not now.agg(F.sum("changed")).first()[0]:
+            return dense.voxels_of(now, keys, None, block)
 
 
 def classified(skeleton: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,14 +118,24 @@ def classified(skeleton: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("n") <= 1, "end").when(F.col("n") == 2, "slab").otherwise("junction"))
 
 
-def graph(skeleton: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
-    """(vertices, branches). A vertex is an end voxel or a component of junction voxels, at their centroid; a branch is a component
-    of slab voxels, or a step between two vertices, with its calibrated length between the nearest voxels of its vertices."""
+def elements(skeleton: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(at, slabs): the voxels of vertices (keys, x, y, z, vertex, kind) and of branches (keys, x, y, z, branch)."""
     points = classified(skeleton, keys)
     ends = points.where("kind = 'end'").select(*keys, "x", "y", "z", linear(F.col("x"), F.col("y"), F.col("z")).alias("vertex"), "kind")
     joints = connected_components(points.where("kind = 'junction'"), keys, 26).select(*keys, "x", "y", "z", F.col("label").alias("vertex"), F.lit("junction").alias("kind"))
     slabs = connected_components(points.where("kind = 'slab'"), keys, 26).select(*keys, "x", "y", "z", F.col("label").alias("branch"))
-    at = ends.union(joints)
+    return ends.union(joints), slabs
+
+
+def graph(skeleton: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
+    """(vertices, branches). A vertex is an end voxel or a component of junction voxels, at their centroid; a branch is a component
+    of slab voxels, or a step between two vertices, with its calibrated length between the nearest voxels of its vertices."""
+    vertices, branches = graph_of(*elements(skeleton, keys), keys, spacing)
+    return vertices, branches.drop("branch")
+
+
+def graph_of(at: DataFrame, slabs: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
+    """The vertices and branches of `elements`; branch is null for a step between two vertices."""
     vertices = at.groupBy(*keys, "vertex", "kind").agg(F.count(F.lit(1)).alias("voxels"), *((F.avg(k) * spacing[i]).alias(k) for i, k in enumerate("xyz")))
     offsets = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("dz", "dy", "dx"), o)), F.lit(float(np.sqrt(sum((a * s) ** 2 for a, s in zip(o, spacing[::-1]))))).alias("step")) for o in _N26))
 
@@ -121,9 +147,9 @@ def graph(skeleton: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> tupl
     outer = steps(slabs, "branch").join(at, [*keys, "x", "y", "z"]).groupBy(*keys, "branch", "vertex").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("meets"))
     outer = outer.groupBy(*keys, "branch").agg(F.sort_array(F.collect_list("vertex")).alias("v"), F.sum("step").alias("outer"))
     through = sizes.join(inner, [*keys, "branch"], "left").join(outer, [*keys, "branch"], "left")
-    through = through.select(*keys, F.get("v", F.lit(0)).alias("v1"), F.coalesce(F.get("v", F.lit(1)), F.get("v", F.lit(0))).alias("v2"), (F.coalesce("inner", F.lit(0.0)) + F.coalesce("outer", F.lit(0.0))).alias("length"), "slabs")
+    through = through.select(*keys, F.get("v", F.lit(0)).alias("v1"), F.coalesce(F.get("v", F.lit(1)), F.get("v", F.lit(0))).alias("v2"), (F.coalesce("inner", F.lit(0.0)) + F.coalesce("outer", F.lit(0.0))).alias("length"), "slabs", "branch")
     direct = steps(at, "vertex").join(at.withColumnRenamed("vertex", "other").drop("kind"), [*keys, "x", "y", "z"]).where("vertex < other").groupBy(*keys, F.col("vertex").alias("v1"), F.col("other").alias("v2")).agg(F.min("step").alias("length"))
-    return vertices, through.union(direct.withColumn("slabs", F.lit(0).cast("bigint")))
+    return vertices, through.union(direct.withColumn("slabs", F.lit(0).cast("bigint")).withColumn("branch", F.lit(None).cast("bigint")))
 
 
 def summary(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,9 +180,9 @@ def ranked_branches(vertices: DataFrame, branches: DataFrame, keys: list[str]) -
 
 def per_particle(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """keys, label and, of each particle's skeleton: branches and their length in all."""
-    own = labels.select(*keys, F.col("label").alias("particle_"), "x", "y", "z")
     by = [*keys, "particle_"]
-    _, branches = graph(written(skeletonise(own, by), "skeletons"), by, spacing)
+    thin_ = skeletonise(labels, keys).join(labels.select(*keys, F.col("label").alias("particle_"), "x", "y", "z"), [*keys, "x", "y", "z"])  # particles don't touch
+    _, branches = graph(written(thin_, "skeletons"), by, spacing)
     found = branches.groupBy(*by).agg(F.count(F.lit(1)).alias("branches"), F.sum("length").alias("branch_length"))
     every = labels.select(*keys, "label").distinct().withColumnRenamed("label", "particle_").join(found, by, "left")
     return every.select(*keys, F.col("particle_").alias("label"), F.coalesce("branches", F.lit(0)).alias("branches"), F.coalesce("branch_length", F.lit(0.0)).alias("branch_length"))

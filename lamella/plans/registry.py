@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import files, measures, structures, voxelwise  # noqa: F401 (each puts its queries into the registry)
+from lamella.plans import files, measures, skeletons, structures, voxelwise  # noqa: F401 (each puts its queries into the registry)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -246,11 +246,11 @@ def analysed_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH node AS (SELECT i.i, j.j, k.k FROM (SELECT unnest([0, 1, 2]) AS i) i, (SELECT unnest([0, 1, 2]) AS j) j, (SELECT unnest([0, 1, 2]) AS k) k),
 arm AS (SELECT i, j, k, d, row_number() OVER (PARTITION BY i, j, k ORDER BY d) AS a, count(*) OVER (PARTITION BY i, j, k) AS valence FROM node, (SELECT unnest([[1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]]) AS d) d
   WHERE i + d[1] BETWEEN 0 AND 2 AND j + d[2] BETWEEN 0 AND 2 AND k + d[3] BETWEEN 0 AND 2)
-SELECT p.valence, round(acos((p.d[1] * q.d[1] + p.d[2] * q.d[2] + p.d[3] * q.d[3])::DOUBLE), 5) AS angle, count(*) AS n FROM arm p JOIN arm q ON p.i = q.i AND p.j = q.j AND p.k = q.k AND p.a < q.a GROUP BY ALL""")
+SELECT p.valence, round(acos((p.d[1] * q.d[1] + p.d[2] * q.d[2] + p.d[3] * q.d[3])::DOUBLE), 5) AS angle, count(*) * (SELECT count(*) FROM region) AS n FROM arm p JOIN arm q ON p.i = q.i AND p.j = q.j AND p.k = q.k AND p.a < q.a GROUP BY ALL""")
 def branch_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Angles by valence in a lattice of three lines each way, whose outer ends are pruned."""
+    """Angles by valence in lattices of three lines each way, one for each region, whose outer ends are pruned."""
     at = {k: F.floor(F.col("id") / 25**i) % 25 for i, k in enumerate("xyz")}
-    lattice = spark.range(25**3).select(F.lit(0).alias("c"), *(v.cast("int").alias(k) for k, v in at.items()))
+    lattice = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(25**3 - 1))).alias("id")).select("c", *(v.cast("int").alias(k) for k, v in at.items()))
     lattice = lattice.where(sum((F.col(k) % 8 == 4).cast("int") for k in "xyz") >= 2)
     angles, _ = commands.branch_angles(lattice, ["c"], (25, 25, 25), most_valence=8, thin=False)
     return angles.groupBy("valence", F.round("angle", 5).alias("angle")).agg(F.count(F.lit(1)).alias("n"))
