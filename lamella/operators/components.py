@@ -144,12 +144,14 @@ def biggest(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def filter_particles(labels: DataFrame, keys: list[str], least: float = 0, most: float = float("inf"), shape: tuple[int, int, int] | None = None, voxel_volume: float = 1.0) -> DataFrame:
     """labels of particles of a volume from least to most and, with a shape, not at the bounds; particle: dense numbers from 1."""
-    from pyspark.sql import Window
+    from lamella.operators.filters import numbered
 
     kept = sizes(labels, keys, voxel_volume).where(F.col("volume").between(least, most))
     if shape:
         kept = kept.join(edge_labels(labels, keys, shape), [*keys, "label"], "left_anti")
-    kept = kept.withColumn("particle", F.row_number().over(Window.partitionBy(*keys).orderBy("label")))
+    kept = written(numbered(kept, [*(F.col(k) for k in keys), F.col("label")], "n_"), "kept")
+    first = kept.groupBy(*keys).agg(F.min("n_").alias("first_"))
+    kept = kept.join(first, keys).withColumn("particle", (F.col("n_") - F.col("first_") + 1).cast("int"))
     return labels.join(kept.select(*keys, "label", "particle"), [*keys, "label"])
 
 

@@ -1,11 +1,13 @@
 """Ellipsoid factor: optimise ellipsoids at seeds, give each voxel its largest ellipsoids, and derive images from their radii.
 
-Seeds are rows, optimised independently with random numbers that follow from the seed's number. Voxels meet ellipsoids by
-blocks that the ellipsoids' boxes reach, and are ranked by volume.
+Seeds are dealt by the block of the image that they lie in, and a task searches from many seeds at once in that block and the 26 around
+it; seeds whose search leaves these are searched again in larger blocks, so that results don't depend on the blocks. Random numbers
+follow from the seed's number. Voxels meet ellipsoids by blocks that the ellipsoids' boxes reach, and are ranked by volume.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,22 +16,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import ellipsoid_bounds, ellipsoid_tensor
+from lamella.operators import blocks as dense
 from lamella.operators.filters import numbered
-from lamella.operators.mil import packed, unpacked
+from lamella.storage import written
 
 BLOCK = 16
 COLUMNS = ["cx", "cy", "cz", "ra", "rb", "rc", *(f"v{i}{j}" for i in range(3) for j in range(3))]
+#: Seeds that are searched at once, the angle of a turn by the contacts, and the rounds of one growth or shrinkage.
+BATCH, TURN, ROUNDS = 64, 0.1, 1000
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """Step of radii, surface vectors, contacts that stop growth, iterations without gain, and drift from the seed."""
+    """Step of radii, surface vectors, contacts that stop growth, iterations without gain, and drift from the seed; anchor: instead of
+    drifting, an ellipsoid keeps the point of its surface that lies towards the seed."""
 
     increment: float = 1 / 2.3
     vectors: int = 100
     contacts: int = 1
     iterations: int = 100
     drift: float = 3**0.5
+    anchor: bool = False
 
 
 def _turned(axis: np.ndarray, angle: float) -> np.ndarray:
@@ -38,93 +45,234 @@ def _turned(axis: np.ndarray, angle: float) -> np.ndarray:
     return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
 
 
-class Optimiser:
-    """One ellipsoid in a volume (x, y, z of bool): it grows until it touches the background, then is moved, turned, shrunk and
-    grown along its axes; the largest that fits is kept."""
-
-    def __init__(self, volume: np.ndarray, p: Parameters, rng: np.random.Generator):
-        self.volume, self.p, self.rng = volume, p, rng
-        v = rng.normal(size=(p.vectors, 3))
-        self.unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    def surface(self, e) -> np.ndarray:
-        return e[0] + (self.unit * e[1]) @ e[2].T
-
-    def contacts(self, e) -> np.ndarray:
-        """Surface points in the image that aren't foreground; points beyond it don't count."""
-        s = self.surface(e)
-        at = np.floor(s).astype(np.int64)
-        inside = ((at >= 0) & (at < self.volume.shape)).all(axis=1)
-        s, at = s[inside], at[inside]
-        return s[~self.volume[tuple(at.T)]]
-
-    def fits(self, e) -> bool:
-        return len(self.contacts(e)) < self.p.contacts
-
-    def invalid(self, e) -> bool:
-        s = self.surface(e)
-        return bool(((s < 0) | (s >= self.volume.shape)).any(axis=1).mean() > 0.5) or not np.isfinite(e[1]).all()
-
-    def grown(self, e, mask) -> tuple:
-        most = 2 * max(self.volume.shape)
-        while self.fits(e) and e[1].max() < most:
-            e = (e[0], e[1] + self.p.increment * mask, e[2])
-        return e
-
-    def shrunk(self, e) -> tuple | None:
-        while not self.fits(e):
-            radii = e[1] - self.p.increment / 2
-            if radii.min() <= 0:
-                return None
-            e = (e[0], radii, e[2])
-        return e
-
-    def run(self, seed: np.ndarray):
-        e = (seed.astype(float), np.full(3, self.p.increment), np.eye(3))
-        e = self.shrunk(self.grown(e, np.ones(3)))
-        if e is None or self.invalid(e):
+def _turns(axes: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """Rotations about axes (n, 3); where an axis is zero, none."""
+    length = np.linalg.norm(axes, axis=1, keepdims=True)
+    unit = np.divide(axes, length, out=np.zeros_like(axes), where=length > 1e-12)
+    k = np.zeros((len(axes), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -unit[:, 2], unit[:, 1], -unit[:, 0]
+    k -= k.transpose(0, 2, 1)
+    s, c = np.sin(angles)[:, None, None], (1 - np.cos(angles))[:, None, None]
+    return np.eye(3) + s * k + c * (k @ k)
+
+
+def torque(centre: np.ndarray, radii: np.ndarray, axes: np.ndarray, points: np.ndarray, touching: np.ndarray) -> np.ndarray:
+    """The torque (n, 3) of unit forces on ellipsoids, inwards along the normals at those points (n, v, 3) that touch."""
+    arm = points - centre[:, None]
+    normal = np.einsum("nij,nvj->nvi", axes, np.einsum("nji,nvj->nvi", axes, arm) / (radii * radii)[:, None])
+    length = np.linalg.norm(normal, axis=2, keepdims=True)
+    force = np.divide(-normal, length, out=np.zeros_like(normal), where=length > 0)
+    return (np.cross(arm, force) * touching[:, :, None]).sum(axis=1)
+
+
+class Search:
+    """Ellipsoids at many seeds in a volume (x, y, z of bool) whose first position is low, a part of an image. Each grows as a sphere until
+    it touches background, is turned so that its first axis lies along its contacts, and grows along the others; then it is jiggled,
+    bumped away from its contacts and turned by their torque in turn, shrunk until it fits and grown along an axis. The largest that fits
+    is kept. lost: seeds whose search met positions of the image beyond the volume."""
+
+    def __init__(self, volume: np.ndarray, low: np.ndarray, image: tuple[int, int, int], seeds: np.ndarray, ids: list[int], p: Parameters, seed: int = 0):
+        self.volume, self.low, self.image, self.p = volume, np.asarray(low), np.array(image), p
+        self.seeds, n = seeds.astype(float), len(seeds)
+        self.rngs = [np.random.default_rng([seed, int(i) & (1 << 63) - 1]) for i in ids]
+        unit = np.stack([r.normal(size=(p.vectors, 3)) for r in self.rngs]) if n else np.zeros((0, p.vectors, 3))
+        self.unit = unit / np.linalg.norm(unit, axis=2, keepdims=True)
+        self.centre, self.radii, self.axes = self.seeds.copy(), np.full((n, 3), p.increment), np.tile(np.eye(3), (n, 1, 1))
+        self.alive, self.lost = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+
+    def surface(self, i: np.ndarray) -> np.ndarray:
+        return self.centre[i][:, None] + np.einsum("nij,nvj->nvi", self.axes[i], self.unit[i] * self.radii[i][:, None])
+
+    def contacts(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(points, touching) on the surfaces: points of the image that aren't foreground touch, those beyond it don't."""
+        points = self.surface(i)
+        at = np.floor(points).astype(np.int64)
+        there = ((at >= 0) & (at < self.image)).all(axis=2)
+        at -= self.low
+        known = ((at >= 0) & (at < self.volume.shape)).all(axis=2)
+        self.lost[i] |= (there & ~known).any(axis=1)
+        at = np.where(known[:, :, None], at, 0)
+        return points, there & known & ~self.volume[at[..., 0], at[..., 1], at[..., 2]]
+
+    def _going(self, i: np.ndarray) -> np.ndarray:
+        return i[self.alive[i] & ~self.lost[i]]
+
+    def grow(self, i: np.ndarray, along: np.ndarray) -> None:
+        """By an increment at a time along (n, 3), until there are enough contacts."""
+        step = np.zeros_like(self.radii)
+        step[i] = along * self.p.increment
+        for _ in range(ROUNDS):
+            i = self._going(i)
+            if len(i):
+                i = i[(self.contacts(i)[1].sum(axis=1) < self.p.contacts) & (self.radii[i].max(axis=1) < 2 * self.image.max())]
+            if not len(i):
+                return
+            self.radii[i] += step[i]
+
+    def shrink(self, i: np.ndarray) -> None:
+        """Until there are too few contacts; what has no radius left is lost for good."""
+        for _ in range(ROUNDS):
+            i = self._going(i)
+            if len(i):
+                i = i[self.contacts(i)[1].sum(axis=1) >= self.p.contacts]
+            if not len(i):
+                return
+            self.radii[i] -= self.p.increment / 4
+            self.alive[i[self.radii[i].min(axis=1) <= 0]] = False
+
+    def invalid(self, i: np.ndarray) -> np.ndarray:
+        points = self.surface(i)
+        out = ((points < 0) | (points >= self.image)).any(axis=2).mean(axis=1) > 0.5
+        return out | (self.radii[i].prod(axis=1) * 4 / 3 * np.pi > self.image.prod())
+
+    def _pin(self, i: np.ndarray, noise: np.ndarray):
+        """Where surfaces lie towards the seeds, for anchored ellipsoids."""
+        if not self.p.anchor:
             return None
-        best, since, total = e, 0, 0
-        while since < self.p.iterations and total < 10 * self.p.iterations:
+        way = self.seeds[i] - self.centre[i]
+        at_seed = np.linalg.norm(way, axis=1) <= 1e-12
+        self.centre[i] += np.where(at_seed[:, None], 0.1 * noise, 0)
+        way = np.einsum("nji,nj->ni", self.axes[i], self.seeds[i] - self.centre[i]) / self.radii[i]
+        way /= np.linalg.norm(way, axis=1, keepdims=True)
+        return way, self._towards(i, way)
+
+    def _towards(self, i: np.ndarray, way: np.ndarray) -> np.ndarray:
+        return self.centre[i] + np.einsum("nij,nj->ni", self.axes[i], self.radii[i] * way)
+
+    def _unpin(self, i: np.ndarray, pin) -> None:
+        if pin is not None:
+            self.centre[i] += pin[1] - self._towards(i, pin[0])
+
+    def _turn(self, i: np.ndarray, axes: np.ndarray, angles: np.ndarray) -> None:
+        self.axes[i] = _turns(axes, angles) @ self.axes[i]
+
+    def jiggle(self, i: np.ndarray, draw: np.ndarray) -> None:
+        self._turn(i, draw[:, :3] - 0.5, (draw[:, 3] - 0.5) * 2 * TURN)
+
+    def bump(self, i: np.ndarray, draw: np.ndarray) -> None:
+        """Away from the mean of the contacts, no further from the seed than the drift; without contacts, a jiggle."""
+        points, touching = self.contacts(i)
+        away = -((points - self.centre[i][:, None]) * touching[:, :, None]).sum(axis=1)
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        to = self.centre[i] + np.divide(away, length, out=np.zeros_like(away), where=length > 0) * self.p.increment * draw[:, :1]
+        near = self.p.anchor | (np.linalg.norm(to - self.seeds[i], axis=1) <= self.p.drift)
+        self.centre[i] = np.where(near[:, None], to, self.centre[i])
+        none = ~touching.any(axis=1)
+        self.jiggle(i[none], draw[none])
+
+    def turn(self, i: np.ndarray, draw: np.ndarray) -> None:
+        points, touching = self.contacts(i)
+        self._turn(i, torque(self.centre[i], self.radii[i], self.axes[i], points, touching), np.full(len(i), TURN))
+
+    def begin(self) -> None:
+        i = np.arange(len(self.seeds))
+        noise = np.stack([r.normal(size=3) for r in self.rngs])
+        pin = self._pin(i, noise)
+        self.grow(i, np.ones((len(i), 3)))
+        self._unpin(i, pin)
+        points, touching = self.contacts(i)
+        short = ((points - self.centre[:, None]) * touching[:, :, None]).sum(axis=1)
+        short = np.where(np.linalg.norm(short, axis=1, keepdims=True) > 1e-9, short, [1.0, 0, 0])
+        short /= np.linalg.norm(short, axis=1, keepdims=True)
+        least = np.eye(3)[np.abs(short).argmin(axis=1)]
+        middle = np.cross(short, least)
+        middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+        self.axes = np.stack([short, middle, np.cross(short, middle)], axis=2)
+        self.shrink(i)
+        i = self._going(i)
+        self.grow(i, np.tile([0.0, 1, 1], (len(i), 1)))
+        self.shrink(i)
+
+    def run(self) -> list[tuple | None]:
+        """(centre, radii, axes), radii rising, of each seed; None where there is none, or the search is lost."""
+        if not len(self.seeds):
+            return []
+        self.begin()
+        i = self._going(np.arange(len(self.seeds)))
+        self.alive[i[self.invalid(i)]] = False
+        best = [self.centre.copy(), self.radii.copy(), self.axes.copy()]
+        since, total = np.zeros(len(self.seeds), dtype=int), 0
+        searching = self._going(np.arange(len(self.seeds)))
+        while len(searching) and total < 10 * self.p.iterations:
             total += 1
-            touching = self.contacts((best[0], best[1] + self.p.increment, best[2]))
-            away = -(touching - best[0]).mean(axis=0) if len(touching) else self.rng.normal(size=3)
-            length = np.linalg.norm(away)
-            step = away / length * self.rng.random() * self.p.increment if length > 0 else np.zeros(3)
-            centre = best[0] + step
-            if np.linalg.norm(centre - seed) > self.p.drift:
-                centre = best[0]
-            turn = _turned(self.rng.normal(size=3), (self.rng.random() - 0.5) * 0.2)
-            order = self.rng.permutation(3)
-            e = self.shrunk((centre, best[1].copy(), turn @ best[2]))
-            for axis in order:
-                if e is not None:
-                    e = self.shrunk(self.grown(e, np.eye(3)[axis]))
-            if e is not None and not self.invalid(e) and e[1].prod() > best[1].prod():
-                gain = e[1].prod() / best[1].prod() - 1
-                best, since = e, 0 if gain > 1e-3 else since + 1
-            else:
-                since += 1
-        order = np.argsort(best[1])
-        return best[0], best[1][order], best[2][:, order]
-
-
-def optimise(seeds: DataFrame, fg: DataFrame, shape: tuple[int, int, int], parameters: Parameters = Parameters(), seed: int = 0) -> DataFrame:
+            before = best[1][searching].prod(axis=1)
+            for change in (self.jiggle, self.bump, self.turn):
+                i = searching[~self.lost[searching]]
+                draw = np.stack([self.rngs[k].random(8) for k in i]) if len(i) else np.zeros((0, 8))
+                self.alive[i] = True
+                pin = self._pin(i, draw[:, 5:8] - 0.5)
+                change(i, draw)
+                self._unpin(i, pin)
+                self.shrink(i)
+                g = self._going(i)
+                axis = np.minimum(2, (draw[np.searchsorted(i, g), 4] * 3).astype(int))
+                self.grow(g, np.eye(3)[axis])
+                self.shrink(g)
+                g = self._going(g)
+                g = g[~self.invalid(g) & (self.radii[g].prod(axis=1) > best[1][g].prod(axis=1))]
+                for held, now in zip(best, (self.centre, self.radii, self.axes)):
+                    held[g] = now[g]
+                back = np.setdiff1d(i, g) if change == self.turn else i[~self.alive[i]]
+                self.centre[back], self.radii[back], self.axes[back] = (x[back] for x in best)
+                self.alive[i] = True
+            gained = best[1][searching].prod(axis=1) > before * (1 + 1e-3)
+            since[searching] = np.where(gained, 0, since[searching] + 1)
+            searching = searching[(since[searching] < self.p.iterations) & ~self.lost[searching]]
+        out = []
+        for k in range(len(self.seeds)):
+            order = np.argsort(best[1][k])
+            out.append((best[0][k], best[1][k][order], best[2][k][:, order]) if self.alive[k] and not self.lost[k] else None)
+        return out
+
+
+def _searched(seeds: DataFrame, held: DataFrame, shape: tuple[int, int, int], block: int, parameters: Parameters, seed: int) -> DataFrame:
+    """(seed_id, x, y, z, lost, COLUMNS) of seeds, each in its block and those around it; held are the image's blocks."""
+    around = list(itertools.product((-1, 0, 1), repeat=3))
+    own = seeds.select("seed_id", "x", "y", "z", *(F.floor(F.col(k) / block).cast("int").alias(f"b{k}") for k in "xyz"))
+    groups = own.groupBy(*dense.PLACE).agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("groups"))
+    own = own.join(groups, list(dense.PLACE)).select("seed_id", "x", "y", "z", *dense.PLACE, F.expr("int(pmod(xxhash64(seed_id), groups))").alias("group"))
+    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{k}") for k, v in zip("xyz", o))) for o in around)))
+    sent = held.select(near.alias("o"), *dense.PLACE, "data").select(*((F.col(f"b{k}") + F.col(f"o.o{k}")).alias(f"b{k}") for k in "xyz"), *((-F.col(f"o.o{k}")).alias(f"o{k}") for k in "xyz"), "data")
+    sent = sent.join(groups, list(dense.PLACE)).select(*dense.PLACE, "ox", "oy", "oz", "data", F.expr("explode(sequence(0, groups - 1))").alias("group"))
+    columns = ["seed_id", "x", "y", "z", "lost", *COLUMNS]
+
+    def run(f: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(f):
+            volume = np.zeros((3 * block,) * 3, dtype=bool)
+            for ox, oy, oz, data in pieces[["ox", "oy", "oz", "data"]].itertuples(index=False):
+                x, y, z = ((o + 1) * block for o in (ox, oy, oz))
+                volume[x : x + block, y : y + block, z : z + block] = dense.unpacked(data, (block,) * 3, bool).transpose(2, 1, 0)
+            low = (f[["bx", "by", "bz"]].iloc[0].to_numpy(dtype=int) - 1) * block
+            f = f.sort_values("seed_id")
+            for at in range(0, len(f), BATCH):
+                some = f.iloc[at : at + BATCH]
+                search = Search(volume, low, shape, some[["x", "y", "z"]].to_numpy(), some.seed_id.tolist(), parameters, seed)
+                for row, found, lost in zip(some[["seed_id", "x", "y", "z"]].itertuples(index=False), search.run(), search.lost.tolist()):
+                    if lost or found:
+                        out.append([*row, lost, *((*found[0], *found[1], *found[2].ravel()) if found else [None] * len(COLUMNS))])
+        return pd.DataFrame(out, columns=columns)
+
+    by = [*dense.PLACE, "group"]
+    tasks = max(2 * seeds.sparkSession.sparkContext.defaultParallelism, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own, sent = (t.repartition(tasks, *by) for t in (own, sent))  # small rows, long searches: not to be coalesced
+    return own.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(run, "seed_id bigint, x double, y double, z double, lost boolean, " + ", ".join(f"{c} double" for c in COLUMNS))
+
+
+def optimise(seeds: DataFrame, fg: DataFrame, shape: tuple[int, int, int], parameters: Parameters = Parameters(), seed: int = 0, block: int = dense.BLOCK) -> DataFrame:
     """(ell_id, COLUMNS) of the seeds (seed_id, x, y, z) for which an ellipsoid was found; ids rise as volumes fall."""
-    bits = seeds.sparkSession.sparkContext.broadcast(packed(fg, shape))
-
-    def run(frames):
-        volume = unpacked(bits.value, shape)
-        for f in frames:
-            out = []
-            for i, x, y, z in f[["seed_id", "x", "y", "z"]].itertuples(index=False):
-                found = Optimiser(volume, parameters, np.random.default_rng([seed, int(i)])).run(np.array([x, y, z]))
-                if found:
-                    out.append([int(i), *found[0], *found[1], *found[2].ravel()])
-            yield pd.DataFrame(out, columns=["seed_id", *COLUMNS])
-
-    found = seeds.mapInPandas(run, "seed_id bigint, " + ", ".join(f"{c} double" for c in COLUMNS))
-    return ranked(found)
+    left, parts = seeds, []
+    while True:
+        found = written(_searched(left, dense.blocks_of(fg.select("x", "y", "z"), [], None, block), shape, block, parameters, seed), "searched")
+        parts.append(found.where("not lost").select("seed_id", *COLUMNS))
+        left = found.where("lost").select("seed_id", "x", "y", "z")
+        if left.isEmpty():
+            break
+        block *= 2  # blocks that hold all of the image lose no search
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return ranked(out)
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,7 +166,7 @@ def default_thresholds(histogram: DataFrame, keys: list[str], value: str = "valu
 
     def run(f):
         counts = f.groupby(f[value].astype(int))["n"].sum()
-        dense = counts.reindex(range(int(counts.index.max()) + 1), fill_value=0).tolist()
+        dense = counts.reindex(range(int(counts.index.max()) + 1), fill_value=0).to_numpy()
         out = f[keys].head(1).reset_index(drop=True)
         return out.assign(low=float(isodata_threshold(dense) + shift), high=float(counts[counts > 0].index.max() + shift))
 
@@ -173,15 +174,14 @@ def default_thresholds(histogram: DataFrame, keys: list[str], value: str = "valu
 
 
 def isodata_threshold(counts: list[int]) -> int:
-    """The level that is half-way between the means under and over it, over a histogram (Ridler and Calvard)."""
-    low = next((i for i, n in enumerate(counts) if n), 0)
-    high = len(counts) - 1 - next((i for i, n in enumerate(reversed(counts)) if n), 0)
-    level = low
-    while level < high:
-        under, over = counts[low : level + 1], counts[level + 1 : high + 1]
-        a = sum((low + i) * n for i, n in enumerate(under)) / max(1, sum(under))
-        b = sum((level + 1 + i) * n for i, n in enumerate(over)) / max(1, sum(over))
-        if level + 1 > (a + b) / 2:
-            return level
-        level += 1
-    return level
+    """The first level that is half-way between the means under and over it, over a histogram (Ridler and Calvard); from running sums."""
+    n = np.asarray(counts, dtype=np.float64)
+    held = np.flatnonzero(n)
+    if not len(held):
+        return 0
+    low, high = int(held[0]), int(held[-1])
+    levels, total, mass = np.arange(low, high), np.cumsum(n), np.cumsum(n * np.arange(len(n)))
+    under = mass[levels] / np.maximum(1, total[levels])
+    over = (mass[high] - mass[levels]) / np.maximum(1, total[high] - total[levels])
+    found = np.flatnonzero(levels + 1 > (under + over) / 2)
+    return low + int(found[0]) if len(found) else high

@@ -1,44 +1,27 @@
 """Mean intercept lengths and the degree of anisotropy.
 
-Directions are rows; a task takes some directions and samples parallel lines through a volume of packed bits. Random numbers
-follow from the seed and the direction's number, so partitions don't matter. The volume is broadcast behind a check of its
-packed size, and is refused beyond it (crop or subsample first): a line crosses all of it.
+Parallel lines along many directions sample a volume in steps. The volume is held in blocks of packed bits; a task takes a block and some
+directions, works out which samples of each line lie in the block, and counts the changes of phase between them. A line that goes
+on in other blocks leaves its first and last phase there, and where its parts meet, in order, the changes at the borders of blocks are
+added. Lines follow from the seed and the direction's number, so the vectors are the same for any blocks and partitions, and no task
+holds more of the volume than a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators import blocks as dense
 from lamella.operators import fits
 
-BROADCAST_BYTES = 256 << 20
 LEAST_INCREMENT = 1.73
 SAMPLES = 500_000  # at a time
-
-
-def packed(fg: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
-    """A volume (x, y, z) as bits; slices are packed by tasks, and only packed ones reach the driver."""
-    w, h, d = shape
-    if w * h * d // 8 > BROADCAST_BYTES:
-        raise ValueError(f"a volume of {w} x {h} x {d} is over the bound for sampling lines")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((w, h), dtype=bool)
-        plane[f.x, f.y] = True
-        return pd.DataFrame({"z": [int(f.z.iloc[0])], "bits": [np.packbits(plane).tobytes()]})
-
-    out = np.zeros((d, (w * h + 7) // 8), dtype=np.uint8)
-    for r in fg.select(*(F.col(k).cast("int").alias(k) for k in "xyz")).groupBy("z").applyInPandas(run, "z int, bits binary").collect():
-        out[r["z"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
-
-def unpacked(bits: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
-    w, h, d = shape
-    return np.unpackbits(bits, axis=1)[:, : w * h].reshape(d, w, h).transpose(1, 2, 0).astype(bool)
+BLOCK = 128
+CHUNK = 25  # directions that a task takes at once
 
 
 def direction(seed: int, i: int) -> tuple[np.ndarray, np.random.Generator]:
@@ -68,14 +51,13 @@ def phase_changes(volume: np.ndarray, origins: np.ndarray, starts: np.ndarray, c
     return changes
 
 
-def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, length: float, sections: int, increment: float) -> np.ndarray:
-    """The direction, as long as the mean intercept: lines of so much length in all, stratified over the plane, are sampled in
-    steps, and changes of phase either way counted; a line that begins in the foreground counts one."""
-    size = np.array(volume.shape, dtype=float)
+def lines_of(shape: tuple[int, int, int], turn: np.ndarray, rng: np.random.Generator, length: float, sections: int, increment: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(origins, starts, counts, length): lines of so much length in all, stratified over the plane, each sampled so many times from
+    its start on; the last one is cut to fit."""
+    size = np.array(shape, dtype=float)
     diagonal, centre, along = float(np.linalg.norm(size)), size / 2, turn[:, 2]
     reach = np.abs(turn[:, :2]).T @ size / 2  # of the volume's shadow on the plane
-    got, changes = 0.0, 0
-    empty = 0
+    got, empty, made = 0.0, 0, []
     while got < length and empty < 100:
         cells = rng.permutation(sections * sections)
         jitter = rng.random((len(cells), 2))
@@ -85,11 +67,7 @@ def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, l
         near = np.flatnonzero((np.abs(u) <= reach[0]) & (np.abs(v) <= reach[1]))
         u, v, offsets = u[near], v[near], offsets[near]
         origins = centre + u[:, None] * turn[:, 0] + v[:, None] * turn[:, 1]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a, b = (0 - origins) / along, (size - origins) / along
-            inside = (origins >= 0) & (origins < size)
-            low = np.where(along == 0, np.where(inside, -np.inf, np.inf), np.minimum(a, b)).max(axis=1)
-            high = np.where(along == 0, np.where(inside, np.inf, -np.inf), np.maximum(a, b)).min(axis=1)
+        low, high = crossed(origins, along, np.zeros(3), size)
         starts = low + offsets
         hits = np.flatnonzero(high > starts)
         empty = 0 if len(hits) else empty + 1
@@ -101,25 +79,109 @@ def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, l
         if whole < len(hits) and got < length:
             counts = np.append(counts, max(1, round((length - got) / increment)))
             got = length
-        changes += phase_changes(volume, origins[hits[: len(counts)]], starts[hits[: len(counts)]], counts, along, increment)
-    return along * (got / max(1, changes))
+        made.append((origins[hits[: len(counts)]], starts[hits[: len(counts)]], counts))
+    return *(np.concatenate(x) for x in zip(*made)), got
 
 
-def mil_points(fg: DataFrame, shape: tuple[int, int, int], directions: int = 2000, lines: int = 10_000, increment: float = LEAST_INCREMENT, seed: int = 0) -> DataFrame:
+def crossed(origins: np.ndarray, along: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where lines are within a box; the first is beyond the second where they miss it."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (low - origins) / along, (high - origins) / along
+        inside = (origins >= low) & (origins < high)
+        first = np.where(along == 0, np.where(inside, -np.inf, np.inf), np.minimum(a, b)).max(axis=1)
+        last = np.where(along == 0, np.where(inside, np.inf, -np.inf), np.maximum(a, b)).min(axis=1)
+    return first, last
+
+
+def mil_vector(volume: np.ndarray, turn: np.ndarray, rng: np.random.Generator, length: float, sections: int, increment: float) -> np.ndarray:
+    """The direction, as long as the mean intercept: changes of phase either way are counted along the lines of a whole volume; a line
+    that begins in the foreground counts one."""
+    origins, starts, counts, got = lines_of(volume.shape, turn, rng, length, sections, increment)
+    return turn[:, 2] * (got / max(1, phase_changes(volume, origins, starts, counts, turn[:, 2], increment)))
+
+
+#: What a line leaves in a block: its number, its first sample there, and the phases of the first and the last.
+_PART = np.dtype([("line", "<i4"), ("first", "<i4"), ("begins", "?"), ("ends", "?")])
+
+
+def block_changes(volume: np.ndarray, low: np.ndarray, shape: tuple[int, int, int], lines: tuple, along: np.ndarray, increment: float) -> tuple[int, np.ndarray]:
+    """(changes, parts) in a block (x, y, z) of a volume of that shape, whose first position is low: the changes of phase between samples
+    of a line in the block, with those of lines that lie in it as a whole; and what the other lines leave."""
+    origins, starts, counts = lines
+    size = np.array(shape)
+    first, last = crossed(origins, along, low - 1.0, low + np.array(volume.shape) + 1.0)
+    near = np.flatnonzero(last >= first)
+    first = np.clip(np.floor((first[near] - starts[near]) / increment) - 1, 0, counts[near]).astype(np.int64)
+    last = np.clip(np.ceil((last[near] - starts[near]) / increment) + 2, 0, counts[near]).astype(np.int64)
+    changes, parts = 0, []
+    cut = np.flatnonzero(np.diff(np.cumsum(last - first) // SAMPLES, prepend=0)).tolist()
+    for i, j in zip([0, *cut], [*cut, len(near)]):
+        n = last[i:j] - first[i:j]
+        which = np.repeat(np.arange(j - i), n)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[i:j][which]
+        line = near[i:j][which]
+        at = (origins[line] + (starts[line] + k * increment)[:, None] * along).astype(np.int64)
+        good = ((at >= 0) & (at < size)).all(axis=1)
+        own = good & ((at >= low) & (at < low + np.array(volume.shape))).all(axis=1)
+        whole = (first[i:j] == 0) & (last[i:j] == counts[near[i:j]]) & (np.bincount(which, good, j - i) == np.bincount(which, own, j - i))
+        at, k, which = at[own] - low, k[own], which[own]
+        if not len(at):
+            continue
+        phase = volume[at[:, 0], at[:, 1], at[:, 2]]
+        fresh = np.flatnonzero(np.diff(which, prepend=-1))
+        stop = np.append(fresh[1:], len(which)) - 1
+        turns = np.diff(phase.astype(np.int8), prepend=0) != 0
+        turns[fresh] = whole[which[fresh]] & phase[fresh]
+        changes += int(turns.sum())
+        left = ~whole[which[fresh]]
+        part = np.zeros(int(left.sum()), dtype=_PART)
+        part["line"], part["first"], part["begins"], part["ends"] = near[i:j][which[fresh]][left], k[fresh][left], phase[fresh][left], phase[stop][left]
+        parts.append(part)
+    return changes, np.concatenate(parts) if parts else np.zeros(0, dtype=_PART)
+
+
+def border_changes(parts: np.ndarray) -> int:
+    """Changes of phase where the parts of lines meet, and one for a line that begins in the foreground."""
+    parts = parts[np.lexsort((parts["first"], parts["line"]))]
+    before = np.concatenate(([False], parts["ends"][:-1])) & (np.diff(parts["line"], prepend=-1) == 0)
+    return int((parts["begins"] != before).sum())
+
+
+def mil_points(fg: DataFrame, shape: tuple[int, int, int], directions: int = 2000, lines: int = 10_000, increment: float = LEAST_INCREMENT, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """(i, x, y, z): the mean intercept vector of each direction."""
     if directions < 9:
         raise ValueError("an ellipsoid needs nine directions")
     spark = fg.sparkSession
-    bits = spark.sparkContext.broadcast(packed(fg, shape))
     length, sections = lines * float(np.linalg.norm(shape)), max(1, int(np.sqrt(lines)))
     increment = max(increment, LEAST_INCREMENT)
-
-    def run(frames):
-        volume = unpacked(bits.value, shape)
-        for f in frames:
-            yield pd.DataFrame([[i, *mil_vector(volume, *direction(seed, i), length, sections, increment)] for i in f["id"].tolist()], columns=["i", "x", "y", "z"])
-
-    return spark.range(directions).repartition(max(1, min(directions, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "i bigint, x double, y double, z double")
+    grid = spark.range(-(-directions // CHUNK)).withColumnRenamed("id", "chunk")
+    for k, n in zip("xyz", shape):
+        grid = grid.withColumn(f"b{k}", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))))
+
+    def run(batches):
+        for b in batches:
+            i_s, counts, left = [], [], []
+            for chunk, place, data in zip(b.column(0).to_pylist(), zip(*(b.column(k).to_pylist() for k in (1, 2, 3))), b.column(4).to_pylist()):
+                low = np.array(place) * block
+                volume = np.zeros((block,) * 3, dtype=bool) if data is None else dense.unpacked(data, (block,) * 3, bool).transpose(2, 1, 0)
+                for i in range(chunk * CHUNK, min(directions, (chunk + 1) * CHUNK)):
+                    turn, rng = direction(seed, i)
+                    changes, parts = block_changes(volume, low, shape, lines_of(shape, turn, rng, length, sections, increment)[:3], turn[:, 2], increment)
+                    i_s.append(i)
+                    counts.append(changes)
+                    left.append(parts.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(i_s, pa.int64()), pa.array(counts, pa.int64()), pa.array(left, pa.binary())], names=["i", "changes", "parts"])
+
+    def meet(key, f: pd.DataFrame) -> pd.DataFrame:
+        turn, rng = direction(seed, int(key[0]))
+        got = lines_of(shape, turn, rng, length, sections, increment)[3]
+        changes = int(f.changes.sum()) + border_changes(np.frombuffer(b"".join(f.parts), dtype=_PART))
+        return pd.DataFrame([[key[0], *(turn[:, 2] * (got / max(1, changes)))]], columns=["i", "x", "y", "z"])
+
+    held = grid.join(dense.blocks_of(fg.select("x", "y", "z"), [], None, block), ["bx", "by", "bz"], "left")
+    tasks = max(1, spark.sparkContext.defaultParallelism * 4)
+    found = held.select("chunk", "bx", "by", "bz", "data").repartition(tasks, "chunk", "bx", "by", "bz").mapInArrow(run, "i bigint, changes bigint, parts binary")
+    return found.groupBy("i").applyInPandas(meet, "i bigint, x double, y double, z double")
 
 
 def axis_intercepts(fg: DataFrame, keys: list[str], shape: tuple[int, int, int]) -> DataFrame:

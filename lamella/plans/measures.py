@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lamella.functions import geometry
 from lamella.operators import components, distance, filters, fits, fraction, fractal, mesh, moments, particles, topology
-from lamella.sources.tables import BLOB_SHAPE, CELL_SQL, FOREGROUND_SQL, GRAINS_SQL, SHAPE, above_mean, blobs, foreground, grains, table, voxelize
+from lamella.sources.tables import CELL_SQL, FOREGROUND_SQL, GRAINS_SQL, SHAPE, SOLID_SHAPE, above_mean, foreground, grains, solids, table, voxelize
+from lamella.storage import written
 
 W, H, D = SHAPE
 CHANNELS = 3  # A, N and R
@@ -380,7 +381,6 @@ def anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def skeleton_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import skeleton
-    from lamella.storage import written
 
     return skeleton.summary(*skeleton.graph(written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton"), ["c"]), ["c"])
 
@@ -388,27 +388,26 @@ def skeleton_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def junction_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import skeleton
-    from lamella.storage import written
 
     return skeleton.junction_angles(*skeleton.graph(written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton"), ["c"]), ["c"])
 
 
 @query()
 def ellipsoid_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every channel of the enlarged foreground: ellipsoids from every fiftieth ridge seed, and each voxel's factors."""
     from lamella.operators import ellipsoids
 
     def image(fg: DataFrame) -> DataFrame:
-        seeds = distance.ridge_points(fg, ["c"], BLOB_SHAPE).select(components.linear(F.floor("x"), F.floor("y"), F.floor("z")).alias("seed_id"), "x", "y", "z")
-        seeds = filters.skip_seeds(seeds, 4, 0, ["seed_id"])
-        return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(ellipsoids.optimise(seeds, fg, BLOB_SHAPE))))
+        seeds = distance.ridge_points(fg, ["c"], SOLID_SHAPE).select(components.linear(F.floor("x"), F.floor("y"), F.floor("z")).alias("seed_id"), "x", "y", "z")
+        seeds = filters.skip_seeds(seeds, 50, 0, ["seed_id"])
+        return ellipsoids.factor_image(ellipsoids.assign(fg, ellipsoids.with_tensors(ellipsoids.optimise(seeds, fg, SOLID_SHAPE))))
 
-    return _of_channels(blobs(spark, sf_dir), image)
+    return _of_channels(written(solids(spark, sf_dir), "solids"), image)
 
 
 @query()
 def skeleton_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import skeleton
-    from lamella.storage import written
 
     thin = written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton")
     return skeleton.longest_shortest_paths(*skeleton.graph(thin, ["c"]), ["c"])
@@ -417,7 +416,6 @@ def skeleton_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pruned_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import skeleton
-    from lamella.storage import written
 
     thin = written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton")
     vertices, branches, _ = skeleton.prune(*skeleton.graph(thin, ["c"]), ["c"], 2.0)

@@ -36,19 +36,16 @@ def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return above_mean(voxelize(spark, sf_dir), ["c"], 17)
 
 
-CELL = 24  # the blobs' spacing
-BLOB_SHAPE = (CELL * 5, CELL, CELL)
-
-
-def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c, x, y, z) of solid ellipsoids in a row, one for each region in each of three channels, in which ellipsoids can grow: a volume
-    of BLOB_SHAPE. Their half axes are 4 to 6, 5 to 8 and 6 to 10, and half a voxel more in each channel."""
-    own = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
-    for k, at in zip("xyz", (F.col("n"), F.lit(0), F.lit(0))):
-        own = own.withColumn(f"m{k}", at * CELL + CELL // 2).withColumn(k, F.explode(F.sequence(F.col(f"m{k}") - CELL // 2, F.col(f"m{k}") + CELL // 2 - 1)))
-    half = {"x": 4 + F.col("n") % 3, "y": 5 + F.col("n") % 4, "z": 6 + F.col("n") % 5}
-    inside = sum((F.col(k) + 0.5 - F.col(f"m{k}")) * (F.col(k) + 0.5 - F.col(f"m{k}")) / ((r + F.col("c") / 2) * (r + F.col("c") / 2)) for k, r in half.items())
-    return own.where(inside <= 1).select("c", *(F.col(k).cast("int").alias(k) for k in "xyz"))
+TIMES = 4
+SOLID_SHAPE = tuple(TIMES * n for n in SHAPE)
+
+
+def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c, x, y, z): the foreground with TIMES^3 voxels for each of its own, in which ellipsoids can grow; a volume of SOLID_SHAPE."""
+    own = foreground(spark, sf_dir).select("c", "x", "y", "z")
+    for k in "xyz":
+        own = own.withColumn(k, F.explode(F.sequence(F.col(k) * TIMES, F.col(k) * TIMES + TIMES - 1)))
+    return own
 
 
 #: The same in DuckDB's SQL, as the first parts of a WITH.
