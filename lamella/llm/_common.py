@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow.compute as pc
@@ -28,8 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_tracked: ContextVar[list[str] | None] = ContextVar("tracked", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lamella-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lamella-{name}-{uuid.uuid4().hex}"
+    if (paths := _tracked.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the paths that `fresh_path` gives within, at the end; what is made of them must have been written by then."""
+    token = _tracked.set([])
+    try:
+        yield
+    finally:
+        for path in _tracked.get() or []:
+            delete(spark, path)
+        _tracked.reset(token)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -53,9 +78,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.lm_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(t.sparkSession, t.lm_path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -7,12 +7,12 @@ up to the ends of the ten-word windows around it, and counts if ten words agree;
 comparison and change nothing. Items of fewer words are grams of their own length, with windows of one.
 
 Documents aren't shuffled: one pass makes a row per document and a row per kept hash, and only rows that meet an item
-go on to the grouping by document. The items' side is broadcast while its counted size is under BROADCAST_BYTES, and
+go on to the grouping by document. The items' side is broadcast while its counted size (rows, and the ids of all items in each) is under BROADCAST_BYTES, and
 joined by a shuffle beyond it (kept hashes then carry the few words around them).
 
 Defined results: a null text has no words; documents and items without words have no hits; items with a null id mark
 words, but aren't listed; of repeated items each id is listed; repeated documents give a row each, and documents that
-share an id are told apart by their texts; empty tables give no rows, or no hits; other columns are not read, and
+share an id are told apart by their texts; empty tables give no rows, or no hits; a very long text is one row of one task; other columns are not read, and
 `remove` hands them on, whatever their names.
 """
 
@@ -119,7 +119,8 @@ def _run(at, length: Column, around: Column) -> tuple[Column, Column, Column]:
 def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """(id, row, copies, n_words, spans, items), one row for equal documents."""
     items, lengths = _items(benchmark, item_col, item_text_col)
-    small = items.count() * BYTES_A_ROW <= BROADCAST_BYTES
+    ids = F.aggregate("items", F.lit(0).cast("bigint"), lambda n, i: n + 24 + F.octet_length(i.cast("string")))
+    small = (items.agg(F.sum(ids + BYTES_A_ROW)).first()[0] or 0) <= BROADCAST_BYTES
     texts = spread(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")))
     own = _hashes(texts, [F.col("id"), F.col("row")], "text")
 
@@ -139,7 +140,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         at = lambda j: F.when(F.col("place") + j >= 0, F.get(F.col("hashes"), F.col("place") + j))
     else:
         carried = rows.withColumn("near", F.when(F.col("kept") >= 0, _around(F.col("hashes"), F.col("place")))).drop("hashes")
-        met = carried.join(items, same, "left").where((F.col("kept") < 0) | F.col("h").isNotNull())
+        met = carried.join(items.hint("merge"), same, "left").where((F.col("kept") < 0) | F.col("h").isNotNull())
         at = lambda j: F.get(F.col("near"), F.lit(j + SIDE))
     meets, before, after = _run(at, F.col("length"), F.col("around"))
     found = met.select("id", "row", "n_words", F.when(F.col("kept") < 0, 1).alias("copy"), F.when(F.col("kept") >= 0, meets).alias("meets"), F.struct((F.col("place") - before).alias("start"), (F.col("place") + after).alias("stop")).alias("span"), "items")

@@ -4,7 +4,10 @@ The patterns run over a text's bytes, and only over texts that hold their litera
 characters of keys and encodings, without what the patterns' spans cover of them, and asks how many characters a token of a
 public vocabulary covers in the mean: words, names of programs and paths are covered by long tokens (2.1 characters and more),
 random strings by short ones (1.3 to 1.9). Runs that are a known digest (hexadecimal of a digest's length, or in base 64 after
-its name), a UUID, a date or a number are left out. Long runs are measured by pieces of PIECE characters.
+its name), a UUID, a date or a number are left out. Long runs are measured by pieces of PIECE characters. Where a run as a whole is
+covered by long tokens, its parts between `/ - _ =` are judged alone, so a key at the end of a path or behind a name is found. Runs and
+parts under LEAST_RUN characters aren't judged, nor are stretches of a part: a key glued to a word, or one cut by `/ - _ =` into shorter
+parts behind words, is missed.
 
 Defined results: a null text is as an empty one, with no spans; rows are independent of each other, so repeated rows and
 ids give equal rows; an empty table gives no rows; other columns are not read; a text takes time in proportion to its length.
@@ -34,6 +37,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 RUN = re.compile(rb"[A-Za-z0-9+/=_-]{%d,}" % LEAST_RUN)
+PART = re.compile(rb"[A-Za-z0-9+]{%d,}" % LEAST_RUN)
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 KNOWN = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d[-T\d]*|[\d/=+_-]+|sha(1|256|384|512)[-=][A-Za-z0-9+/]+=*")
 WHOLE_HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
@@ -90,13 +94,21 @@ def random_spans(text: bytes, base: list[tuple[int, int, int]], encoding) -> lis
     out = []
     for start, end in uncovered(RUN.finditer(text), base):
         run = text[start:end]
-        if len(run) < LEAST_RUN or KNOWN.fullmatch(run) or (len(run) in DIGEST_LENGTHS and WHOLE_HEX.fullmatch(run)):
+        if _known(run):
             continue
         if chars_a_token(run.decode(), encoding) <= MOST_CHARS_A_TOKEN:
             out.append((start, 3, end))
+            continue
+        parts = [m.span() for m in PART.finditer(run) if m.end() - m.start() < len(run) and not _known(m.group())]
+        out += [(start + a, 3, start + b) for a, b in parts if chars_a_token(run[a:b].decode(), encoding) <= MOST_CHARS_A_TOKEN]
     return out
 
 
+def _known(run: bytes) -> bool:
+    """Whether a run is too short to be judged, or something known that isn't secret."""
+    return len(run) < LEAST_RUN or bool(KNOWN.fullmatch(run)) or bool(len(run) in DIGEST_LENGTHS and WHOLE_HEX.fullmatch(run))
+
+
 def _named(text: bytes, spans: list[tuple[int, int, int]]) -> list[str]:
     """kind:start:end in code points, by start, then kind."""
     spans = sorted(spans)

@@ -218,10 +218,21 @@ class Shard:
         self.length, self.rows = int(meta[b"length"]), int(meta[b"rows"])
 
     def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence s; the ids are a view of the file."""
-        batch, row = self.tokens.get_batch(s // self.rows), s % self.rows
-        ids, mask = (batch.column(i).flatten().slice(row * self.length, self.length) for i in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        """The ids and the mask of sequence s, neither copied: the ids are a view of the file, and the mask, true over a sequence's first
+        ids alone, is a view of a run of true and false that all sequences share. `mask_bits` is the file's own."""
+        ids = self.tokens.get_batch(s // self.rows).column(0).flatten().slice(s % self.rows * self.length, self.length)
+        if getattr(self, "_both", None) is None:
+            self._both = np.repeat([True, False], self.length)
+            self._last = self.tokens.num_record_batches - 1
+            rows = self.tokens.get_batch(self._last).num_rows
+            self._last = self._last * self.rows + rows - 1
+            self._held = self.mask_bits(self._last).true_count
+        held = self._held if s == self._last else self.length
+        return ids.to_numpy(), self._both[self.length - held : 2 * self.length - held]
+
+    def mask_bits(self, s: int) -> pa.BooleanArray:
+        """The mask of sequence s as the file's bits, a view."""
+        return self.tokens.get_batch(s // self.rows).column(1).flatten().slice(s % self.rows * self.length, self.length)
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """So many ids from start on; a view where they lie in one batch."""
