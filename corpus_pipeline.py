@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamella.llm import bpe, decontaminate, line_dedup, quality, simhash
-from lamella.llm._common import fresh_path, read_table
+from lamella.llm._common import delete, fresh_path, read_table, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again. A stage's own tables go when its output is written, and that
+    goes when the next stage's is, so the last output alone is left."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
