@@ -172,7 +172,7 @@ def mil_points(fg: DataFrame, shape: tuple[int, int, int], directions: int = 200
                     left.append(parts.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(i_s, pa.int64()), pa.array(counts, pa.int64()), pa.array(left, pa.binary())], names=["i", "changes", "parts"])
 
-    def meet(key, f: pd.DataFrame) -> pd.DataFrame:
+    def meet(key, f):
         turn, rng = direction(seed, int(key[0]))
         got = lines_of(shape, turn, rng, length, sections, increment)[3]
         changes = int(f.changes.sum()) + border_changes(np.frombuffer(b"".join(f.parts), dtype=_PART))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import components, fits, mesh, moments, topology
+from lamella.storage import written
 
 
 def boxes(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -71,43 +72,69 @@ def hull_directions(n: int = 64) -> np.ndarray:
     return np.stack([r * np.cos(a), r * np.sin(a), z], axis=1)
 
 
-def farthest(points: np.ndarray) -> tuple[float, int, int]:
-    """The largest distance between two points, exactly; points whose reach from the centre can't matter are left out first."""
-    centre = points.mean(axis=0)
-    reach = np.linalg.norm(points - centre, axis=1)
-    ends = np.unique(np.concatenate([f(points @ hull_directions().T, axis=0) for f in (np.argmin, np.argmax)]))
-    low = max(np.linalg.norm(points[i] - points[ends], axis=1).max() for i in ends)
-    kept = np.flatnonzero(reach >= low - reach.max() - 1e-9)
-    best = (-1.0, 0, 0)
-    for at in range(0, len(kept), 256):
-        some = kept[at : at + 256]
-        d = np.linalg.norm(points[some][:, None] - points[kept][None], axis=2)
+#: Points that a cell is to hold about, and cells along an axis at most.
+CELL_POINTS, MOST_CELLS = 512, 16
+
+
+def farthest(p: np.ndarray, q: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The largest distance between a point of p and one of q, and the two; of equal ones the first in order."""
+    best = (-1.0, p[0], q[0])
+    for at in range(0, len(p), 256):
+        d = np.linalg.norm(p[at : at + 256, None] - q[None], axis=2)
         i, j = np.unravel_index(d.argmax(), d.shape)
         if d[i, j] > best[0]:
-            best = (float(d[i, j]), int(some[i]), int(kept[j]))
+            best = (float(d[i, j]), p[at + i], q[j])
     return best
 
 
 def feret(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, the largest distance between two of a key's distinct points, and its ends. Keys with under two points give none.
-    Points that are extreme along no axis pair in their row of voxels are left out first, so that a task gets a surface."""
+
+    Points that are extreme along no axis pair in their row of voxels are left out first. The others are dealt into cells of their key's
+    box, more of them for more points. The ends of a key along fixed directions give a distance that is reached; only pairs of cells whose
+    boxes allow for more are compared, a pair a group, so the points of a key meet in no single task."""
+    points = points.select(*keys, *(F.col(k).cast("double").alias(k) for k in "xyz"))
     first, last = F.min("x").alias("low"), F.max("x").alias("high")
     ends = points.groupBy(*keys, "y", "z").agg(first, last)
     thin = ends.select(*keys, F.explode(F.array_distinct(F.array("low", "high"))).alias("x"), "y", "z")
     ends = thin.groupBy(*keys, "x", "z").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     thin = ends.select(*keys, "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"), "z")
-    parts = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+    own = written(thin, "points")
+    place = F.struct("x", "y", "z")
+    along = [sum(float(c) * F.col(k) for c, k in zip(u, "xyz")) for u in hull_directions(16)]
+    box = [f(k).alias(f"{name}_{k}") for k in "xyz" for name, f in (("low", F.min), ("high", F.max))]
+    whole = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *box, F.array(*(f(place, a) for a in along for f in (F.max_by, F.min_by))).alias("ends")).where("n > 1")
+    apart = lambda p, q: F.sqrt(sum((p[k] - q[k]) * (p[k] - q[k]) for k in "xyz"))
+    reached = F.array_max(F.transform("ends", lambda p: F.array_max(F.transform("ends", lambda q: apart(p, q)))))
+    cells = F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.col("n") / CELL_POINTS))).cast("int")
+    whole = written(whole.select(*keys, reached.alias("reached"), cells.alias("g"), *(f"{e}_{k}" for k in "xyz" for e in ("low", "high"))), "boxes")
+
+    def cell(k: str):
+        width = F.col(f"high_{k}") - F.col(f"low_{k}")
+        return F.when(width > 0, F.least(F.col("g") - 1, F.floor((F.col(k) - F.col(f"low_{k}")) / width * F.col("g")))).otherwise(0)
+
+    number = ((cell("x") * MOST_CELLS + cell("y")) * MOST_CELLS + cell("z")).cast("int")
+    held = written(own.join(whole, keys).select(*keys, "x", "y", "z", number.alias("cell"), "reached"), "cells")
+    boxes_ = held.groupBy(*keys, "cell", "reached").agg(*box)
+    a = boxes_.select(*keys, F.col("cell").alias("a"), "reached", *(F.col(f"{e}_{k}").alias(f"a_{e}_{k}") for k in "xyz" for e in ("low", "high")))
+    b = boxes_.select(*keys, F.col("cell").alias("b"), *(F.col(f"{e}_{k}").alias(f"b_{e}_{k}") for k in "xyz" for e in ("low", "high")))
+    reach = [F.greatest(F.col(f"a_high_{k}") - F.col(f"b_low_{k}"), F.col(f"b_high_{k}") - F.col(f"a_low_{k}")) for k in "xyz"]
+    pairs = a.join(b, keys).where("a <= b").where(F.sqrt(sum(r * r for r in reach)) >= F.col("reached") - 1e-9 * (1 + F.col("reached"))).select(*keys, "a", "b")
+    sides = pairs.select(*keys, "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("cell"))
+    met = sides.join(held.drop("reached"), [*keys, "cell"])
     names = ["feret", "xa", "ya", "za", "xb", "yb", "zb"]
 
     def run(key, f):
-        p = f[["x", "y", "z"]].to_numpy(dtype=float)
-        p = p[np.lexsort(p.T[::-1])]
-        if len(p) < 2:
-            return pd.DataFrame(columns=[*keys, *names])
-        d, i, j = farthest(p)
-        return pd.DataFrame([[*key, d, *p[min(i, j)], *p[max(i, j)]]], columns=[*keys, *names])
+        f = f.sort_values(["x", "y", "z"])
+        p, q = (f.loc[f.cell == c, ["x", "y", "z"]].to_numpy() for c in key[-2:])
+        d, i, j = farthest(p, q)
+        i, j = sorted((tuple(i), tuple(j)))
+        return pd.DataFrame([[*key[:-2], d, *i, *j]], columns=[*keys, *names])
 
-    return thin.groupBy(*keys).applyInPandas(run, f"{parts + ', ' if parts else ''}" + ", ".join(f"{n} double" for n in names))
+    parts = "".join(f"`{k}` {points.schema[k].dataType.simpleString()}, " for k in keys)
+    found = met.groupBy(*keys, "a", "b").applyInPandas(run, parts + ", ".join(f"{n} double" for n in names))
+    best = F.max_by(F.struct(*names), F.struct("feret", *((-F.col(n)).alias(n) for n in names[1:]))).alias("e")
+    return found.groupBy(*keys).agg(best).select(*keys, *(f"e.{n}" for n in names))
 
 
 def ellipsoids(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -124,7 +151,6 @@ def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: floa
     volume; Euler: chi, cavities, holes; feret; box along the axes: box_cx .. box_lengths; ellipsoid: ell_ra .. ; thickness with
     thickness_sd and thickness_max."""
     from lamella.operators import distance
-    from lamella.storage import written
 
     found = components.filter_particles(components.connected_components(fg, keys), keys, least, most, shape, float(np.prod(spacing)))
     labels = written(found, "particles")

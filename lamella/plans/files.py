@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lamella.operators import mesh
 from lamella.plans.measures import CONFIG_SQL, query, r6
 from lamella.results import pivoted
-from lamella.sources import raw
+from lamella.sources import raw, volume
 from lamella.sources.tables import CELL_SQL, SHAPE, foreground, table, voxelize
 from lamella.storage import shared_dir
 
@@ -32,6 +33,20 @@ def raw_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("x", "y", F.regexp_extract("image_id", r"-(\d+)\.raw$", 1).cast("int").alias("z"), "value")
 
 
+@query(f"""WITH {CELL_SQL} SELECT c.c::INT AS c, k.kind, x.x::INT AS x, y.y::INT AS y, z.z::INT AS z, CASE WHEN k.kind = 'bit' THEN (v.value IS NOT NULL)::INT ELSE coalesce(v.value, 0) END::DOUBLE AS value
+FROM (SELECT unnest([0, 1, 2]) AS c) c, (SELECT unnest(['uint16', 'bit']) AS kind) k, (SELECT unnest(range({W})) AS x) x, (SELECT unnest(range({H})) AS y) y, (SELECT unnest(range({D})) AS z) z LEFT JOIN cell v ON v.c = c.c AND v.x = x.x AND v.y = y.y AND v.z = z.z""")
+def volume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every channel as one big-endian file and one of bits, each written and read back by slabs of slices."""
+    folder, parts = _folder(spark, "volume"), []
+    for c in range(3):
+        own = voxelize(spark, sf_dir).where(F.col("c") == c)
+        for kind in ("uint16", "bit"):
+            volume.save(own, f"{folder}/{c}-{kind}.raw", SHAPE, kind, "Big-endian", slab_bytes=2000)
+            back = volume.load(spark, f"{folder}/{c}-{kind}.raw", SHAPE, kind, byte_order="Big-endian", slab_bytes=2000)
+            parts.append(back.select(F.lit(c).alias("c"), F.lit(kind).alias("kind"), "x", "y", "z", "value"))
+    return reduce(DataFrame.union, parts)
+
+
 _FACETS = str([len(mesh.triangles(c)) for c in range(256)])
 
 
