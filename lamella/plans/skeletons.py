@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import components, pruning, skeleton, topology
-from lamella.plans.measures import LABEL_SQL, query, r6
-from lamella.sources.tables import GRAINS_SQL, grains, table, voxelize
+from lamella.operators import components, moments, outlines, pruning, skeleton, topology
+from lamella.plans.measures import LABEL_SQL, SQL, query, r6
+from lamella.plans.structures import labelled_sql
+from lamella.sources.tables import FOREGROUND_SQL, GRAINS_SQL, foreground, grains, table, voxelize
 from lamella.storage import written
 
 
@@ -81,3 +82,29 @@ def pruned_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = written(skeleton.skeletonise(grains(spark, sf_dir), ["c"]), "skeleton")
     open_ = written(pruning.prune_cycles(thin, ["c"], "lowest_voxel", voxelize(spark, sf_dir)), "opened")
     return pruning.tagged(written(pruning.prune_ends(open_, ["c"]), "pruned"), ["c"])
+
+
+# ---- outlines
+
+OUTLINE_SQL = FOREGROUND_SQL + """, side AS (SELECT unnest([[0, 0, -1, 0, 0, 1, 0], [1, 1, 0, 1, 0, 0, 1], [2, 0, 1, 1, 1, -1, 0], [3, -1, 0, 0, 1, 0, -1]]) AS s),
+e AS MATERIALIZED (SELECT c, z, s[1] AS d, x + s[4] AS x, y + s[5] AS y, x + s[4] + s[6] AS ex, y + s[5] + s[7] AS ey, ((y + s[5])::BIGINT * 1048576 + x + s[4]) * 4 + s[1] AS id FROM fg f, side
+  WHERE NOT EXISTS (SELECT 1 FROM fg o WHERE o.c = f.c AND o.z = f.z AND o.x = f.x + s[2] AND o.y = f.y + s[3])),
+link AS MATERIALIZED (SELECT a.c, a.z, a.id AS u, min_by(b.id, (b.d - a.d + 5) % 4) AS v FROM e a JOIN e b ON b.c = a.c AND b.z = a.z AND b.x = a.ex AND b.y = a.ey GROUP BY a.c, a.z, a.id),
+ways AS MATERIALIZED (SELECT c, z, u, v FROM link UNION ALL SELECT c, z, v, u FROM link)"""
+
+
+@query(f"""WITH RECURSIVE {OUTLINE_SQL}, {labelled_sql("lab", "e", "ways", "c, z")}
+SELECT e.c, e.z, l.label AS contour, count(*) AS edges, sum(abs(ex - x) * 0.5 + abs(ey - y) * 0.25)::DOUBLE AS perimeter, (sum(x * ey - ex * y) / 2 * 0.125)::DOUBLE AS area, sum(x * ey - ex * y) < 0 AS hole FROM e JOIN lab l ON l.c = e.c AND l.z = e.z AND l.id = e.id GROUP BY ALL""")
+def slice_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every traced outline of every slice: its perimeter, area, and whether it is a hole."""
+    return outlines.measured(outlines.contours(foreground(spark, sf_dir), ["c", "z"]), ["c", "z"], (0.5, 0.25))
+
+
+@query(f"""WITH t AS (SELECT c, z, theta FROM ({SQL["slice_moments"]}) WHERE theta IS NOT NULL), v AS (WITH {FOREGROUND_SQL} SELECT c, z, x + i AS x, y + j AS y FROM fg, (SELECT unnest([0, 1]) AS i) i, (SELECT unnest([0, 1]) AS j) j)
+SELECT c, z, round(max(x * cos(theta) + y * sin(theta)) - min(x * cos(theta) + y * sin(theta)), 2) AS along, round(max(y * cos(theta) - x * sin(theta)) - min(y * cos(theta) - x * sin(theta)), 2) AS across FROM v JOIN t USING (c, z) GROUP BY c, z""")
+def oriented_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extents of each slice's outlines along its principal direction and across it."""
+    fg = foreground(spark, sf_dir)
+    angles = moments.slice_moments(fg, ["c", "z"][:1]).select("c", "z", F.round("theta", 4).alias("theta"))
+    found = outlines.oriented_diameters(outlines.contours(fg, ["c", "z"]), angles, ["c", "z"])
+    return found.select("c", "z", F.round("along", 2).alias("along"), F.round("across", 2).alias("across"))
