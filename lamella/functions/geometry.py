@@ -26,12 +26,18 @@ def ellipsoid_volume(a: Column, b: Column, c: Column) -> Column:
     return a * b * c * (4 * np.pi / 3)
 
 
-def golden_spiral(spark: SparkSession, n: int) -> DataFrame:
-    """i and (x, y, z): n directions evenly over the sphere; the same for the same n."""
-    z = 1 - (2 * F.col("id") + 1) / n
-    angle = F.col("id") * (np.pi * (3 - np.sqrt(5)))
+def golden_spirals(rows: DataFrame, n: str) -> DataFrame:
+    """rows with i and (x, y, z): for each row as many directions as its column n tells, evenly over the sphere; the same for the same n."""
+    out = rows.withColumn("i", F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))))
+    z = 1 - (2 * F.col("i") + 1) / F.col(n)
+    angle = F.col("i") * (np.pi * (3 - np.sqrt(5)))
     r = F.sqrt(1 - z * z)
-    return spark.range(n).select(F.col("id").alias("i"), (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"), z.alias("z"))
+    return out.select(*rows.columns, "i", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"), z.alias("z"))
+
+
+def golden_spiral(spark: SparkSession, n: int) -> DataFrame:
+    """i and (x, y, z) of n directions."""
+    return golden_spirals(spark.range(1).select(F.lit(n).alias("n")), "n").drop("n")
 
 
 def random_vectors(spark: SparkSession, n: int, seed: int) -> DataFrame:

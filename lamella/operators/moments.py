@@ -66,6 +66,22 @@ def principal_axes(tensors: DataFrame, keys: list[str]) -> DataFrame:
     return tensors.mapInPandas(run, schema)
 
 
+def ordered_axes(rows: DataFrame, extents: list[str] | tuple[str, str, str]) -> DataFrame:
+    """rows with their axes (v00..v22, a column of the matrix each) in order of rising extents, as an alignment wants them: the shortest
+    becomes x and the longest z; equal ones keep their order. Two axes turn where the z components would add up to less than 0 (the image
+    upside down), and the first is reflected where the axes would be left-handed."""
+    axes = F.array_sort(F.array(*(F.struct(F.col(e).cast("double").alias("e"), F.lit(j).alias("j"), F.array(*(F.col(f"v{i}{j}") for i in range(3))).alias("v")) for j, e in enumerate(extents))))
+    names = [f"v{i}{j}" for i in range(3) for j in range(3)]
+    out = rows.withColumn("axes_", axes).withColumns({f"w{i}{j}_": F.col("axes_")[j]["v"][i] for i in range(3) for j in range(3)})
+    flipped = sum(F.col(f"w2{j}_") for j in range(3)) < 0
+    out = out.withColumn("flipped_", flipped).withColumns({f"w{i}{j}_": F.when(F.col("flipped_"), -F.col(f"w{i}{j}_")).otherwise(F.col(f"w{i}{j}_")) for i in range(3) for j in (1, 2)})
+    w = [[F.col(f"w{i}{j}_") for j in range(3)] for i in range(3)]
+    det = sum(w[i][0] * (w[(i + 1) % 3][1] * w[(i + 2) % 3][2] - w[(i + 2) % 3][1] * w[(i + 1) % 3][2]) for i in range(3))
+    out = out.withColumn("left_", det < 0).withColumns({f"w{i}0_": F.when(F.col("left_"), -F.col(f"w{i}0_")).otherwise(F.col(f"w{i}0_")) for i in range(3)})
+    kept = [c for c in rows.columns if c not in names]
+    return out.select(*kept, *(F.col(f"w{i}{j}_").alias(f"v{i}{j}") for i in range(3) for j in range(3)), F.col("flipped_").alias("z_flipped"), F.col("left_").alias("reflected"))
+
+
 def slice_centroids(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0), weight: Column | None = None) -> DataFrame:
     """keys, z, n, csa, cx, cy and mean density of every slice."""
     s = raw_moments(voxels, [*keys, "z"], weight) if weight is not None else voxels.groupBy(*keys, "z").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("m"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))

@@ -322,10 +322,12 @@ def ellipsoid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.fit_ellipsoids(_points(spark, sf_dir), ["label"])
 
 
-@query("""SELECT i, round(sqrt(1 - z * z) * cos(i * pi() * (3 - sqrt(5))), 6) AS x, round(sqrt(1 - z * z) * sin(i * pi() * (3 - sqrt(5))), 6) AS y, round(z, 6) AS z
-FROM (SELECT range AS i, 1 - (2 * range + 1) / 1000 AS z FROM range(1000))""")
+@query("""SELECT c, i, round(sqrt(1 - z * z) * cos(i * pi() * (3 - sqrt(5))), 6) AS x, round(sqrt(1 - z * z) * sin(i * pi() * (3 - sqrt(5))), 6) AS y, round(z, 6) AS z
+FROM (SELECT c, i, 1 - (2 * i + 1) / n AS z FROM (SELECT c_nationkey AS c, count(*) AS n, unnest(range(count(*))) AS i FROM customer GROUP BY c_nationkey))""")
 def golden_spiral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.golden_spiral(spark, 1000).select("i", *(r6(k).alias(k) for k in "xyz"))
+    """For each nation as many directions as it has customers."""
+    nations = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return geometry.golden_spirals(nations, "n").select("c", "i", *(r6(k).alias(k) for k in "xyz"))
 
 
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) FILTER (value >= 50) AS n_fg, count(*) AS n_all, round(count(*) FILTER (value >= 50) / count(*), 6) AS ratio FROM events GROUP BY ALL""")

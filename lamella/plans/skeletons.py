@@ -108,3 +108,20 @@ def oriented_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     angles = moments.slice_moments(fg, ["c", "z"][:1]).select("c", "z", F.round("theta", 4).alias("theta"))
     found = outlines.oriented_diameters(outlines.contours(fg, ["c", "z"]), angles, ["c", "z"])
     return found.select("c", "z", F.round("along", 2).alias("along"), F.round("across", 2).alias("across"))
+
+
+# ---- alignment
+
+
+@query("""WITH m AS (SELECT vec_id, [{'e': embedding[10]::DOUBLE, 'j': 0, 'v': [embedding[1]::DOUBLE, embedding[4], embedding[7]]}, {'e': embedding[11]::DOUBLE, 'j': 1, 'v': [embedding[2]::DOUBLE, embedding[5], embedding[8]]}, {'e': embedding[12]::DOUBLE, 'j': 2, 'v': [embedding[3]::DOUBLE, embedding[6], embedding[9]]}] AS a FROM embeddings),
+o AS (SELECT vec_id, list_sort(a) AS a FROM m),
+c AS (SELECT vec_id, a[1].v AS p, a[2].v AS q, a[3].v AS r, a[1].v[3] + a[2].v[3] + a[3].v[3] < 0 AS z_flipped FROM o),
+f AS (SELECT vec_id, p, CASE WHEN z_flipped THEN list_transform(q, lambda x: -x) ELSE q END AS q, CASE WHEN z_flipped THEN list_transform(r, lambda x: -x) ELSE r END AS r, z_flipped FROM c),
+d AS (SELECT *, p[1] * (q[2] * r[3] - q[3] * r[2]) + p[2] * (q[3] * r[1] - q[1] * r[3]) + p[3] * (q[1] * r[2] - q[2] * r[1]) < 0 AS reflected FROM f),
+g AS (SELECT vec_id, CASE WHEN reflected THEN list_transform(p, lambda x: -x) ELSE p END AS p, q, r, z_flipped, reflected FROM d)
+SELECT vec_id, round(p[1], 6) AS v00, round(q[1], 6) AS v01, round(r[1], 6) AS v02, round(p[2], 6) AS v10, round(q[2], 6) AS v11, round(r[2], 6) AS v12, round(p[3], 6) AS v20, round(q[3], 6) AS v21, round(r[3], 6) AS v22, z_flipped, reflected FROM g""")
+def ordered_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes and extents by the numbers of every vector, put in the order of an alignment."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[3 * i + j].cast("double").alias(f"v{i}{j}") for i in range(3) for j in range(3)), *(F.col("embedding")[9 + j].alias(f"e{j}") for j in range(3)))
+    found = moments.ordered_axes(own, ("e0", "e1", "e2")).drop("e0", "e1", "e2")
+    return found.select("vec_id", *((F.round(f"v{i}{j}", 6) + F.lit(0.0)).alias(f"v{i}{j}") for i in range(3) for j in range(3)), "z_flipped", "reflected")
