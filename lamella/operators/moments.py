@@ -177,6 +177,22 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(points) + half(points[::-1]))
 
 
+def slice_moments_about(voxels: DataFrame, keys: list[str], theta: float, spacing=(1.0, 1.0)) -> DataFrame:
+    """keys, z and, about an axis of the user's through each slice's centroid at the angle theta and the axis across it: the second
+    moments i1 and i2, the largest reaches r1 and r2 from them, and the section moduli z1 and z2 (null without reach)."""
+    vx, vy = spacing
+    area = float(vx * vy)
+    centre = voxels.groupBy(*keys, "z").agg(F.count(F.lit(1)).alias("n_"), F.avg("x").alias("cx_"), F.avg("y").alias("cy_"))
+    x, y = (F.col("x") - F.col("cx_")) * float(vx), (F.col("y") - F.col("cy_")) * float(vy)
+    across, along = y * float(np.cos(theta)) - x * float(np.sin(theta)), x * float(np.cos(theta)) + y * float(np.sin(theta))
+    c2, s2 = float(np.cos(theta) ** 2), float(np.sin(theta) ** 2)
+    own = F.first("n_") / 12.0 * area  # of the pixels themselves
+    out = voxels.join(centre, [*keys, "z"]).groupBy(*keys, "z").agg(
+        (F.sum(across * across) * area + own * (vy * vy * c2 + vx * vx * s2)).alias("i1"), (F.sum(along * along) * area + own * (vx * vx * c2 + vy * vy * s2)).alias("i2"), F.max(F.abs(across)).alias("r1"), F.max(F.abs(along)).alias("r2")
+    )
+    return out.withColumns({f"z{k}": F.when(F.col(f"r{k}") > 0, F.col(f"i{k}") / F.col(f"r{k}")) for k in (1, 2)})
+
+
 def orientation_quadrant(theta: float, labels: tuple[str, str, str, str] = ("right", "up", "left", "down")) -> str:
     """The axis label that a direction (radians) points nearest to."""
     return labels[int(np.floor(((theta % (2 * np.pi)) + np.pi / 4) / (np.pi / 2))) % 4]

@@ -125,3 +125,12 @@ def ordered_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[3 * i + j].cast("double").alias(f"v{i}{j}") for i in range(3) for j in range(3)), *(F.col("embedding")[9 + j].alias(f"e{j}") for j in range(3)))
     found = moments.ordered_axes(own, ("e0", "e1", "e2")).drop("e0", "e1", "e2")
     return found.select("vec_id", *((F.round(f"v{i}{j}", 6) + F.lit(0.0)).alias(f"v{i}{j}") for i in range(3) for j in range(3)), "z_flipped", "reflected")
+
+
+@query(f"""WITH {FOREGROUND_SQL}, a AS (SELECT c, z, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM fg GROUP BY c, z),
+d AS (SELECT c, z, n, (y - cy) * 0.25 * cos(0.4) - (x - cx) * 0.5 * sin(0.4) AS p, (x - cx) * 0.5 * cos(0.4) + (y - cy) * 0.25 * sin(0.4) AS q FROM fg JOIN a USING (c, z)),
+m AS (SELECT c, z, sum(p * p) * 0.125 + any_value(n) / 12 * 0.125 * (0.0625 * cos(0.4) ** 2 + 0.25 * sin(0.4) ** 2) AS i1, sum(q * q) * 0.125 + any_value(n) / 12 * 0.125 * (0.25 * cos(0.4) ** 2 + 0.0625 * sin(0.4) ** 2) AS i2, max(abs(p)) AS r1, max(abs(q)) AS r2 FROM d GROUP BY c, z)
+SELECT c, z, round(i1, 4) AS i1, round(i2, 4) AS i2, round(r1, 4) AS r1, round(r2, 4) AS r2, round(i1 / r1, 4) AS z1, round(i2 / r2, 4) AS z2 FROM m""")
+def slice_moments_about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = moments.slice_moments_about(foreground(spark, sf_dir), ["c"], 0.4, (0.5, 0.25))
+    return found.select("c", "z", *(F.round(k, 4).alias(k) for k in ("i1", "i2", "r1", "r2", "z1", "z2")))
