@@ -8,7 +8,6 @@ with the same result for any size of blocks. Everything after is grouped aggrega
 
 from __future__ import annotations
 
-import heapq
 import itertools
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.operators import blocks as dense
+from lamella.operators import paths
 from lamella.operators.components import connected_components, linear, stars
 from lamella.storage import discard, written
 
@@ -224,38 +224,11 @@ def trees(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFram
     return vertices.join(roots.withColumnRenamed("node", "vertex"), [*keys, "vertex"], "left").withColumn("skeleton", F.coalesce("root", "vertex")).drop("root")
 
 
-def longest_shortest_paths(vertices: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, skeleton, length and the two ends of the longest of the shortest paths of each skeleton (a task per skeleton)."""
+def longest_shortest_paths(vertices: DataFrame, branches: DataFrame, keys: list[str], whole: int = paths.WHOLE) -> DataFrame:
+    """keys, skeleton, length and the two ends of the longest of the shortest paths of each skeleton; those of more than so many branches
+    are worked out in rounds over all tasks."""
     own = trees(vertices, branches, keys).select(*keys, F.col("vertex").alias("v1"), "skeleton")
-    edges = branches.join(own, [*keys, "v1"]).select(*keys, "skeleton", "v1", "v2", "length")
-    parts = "".join(f"`{k}` {edges.schema[k].dataType.simpleString()}, " for k in keys)
-
-    def run(key, f):
-        names = np.unique(f[["v1", "v2"]].to_numpy())
-        a, b = np.searchsorted(names, f.v1), np.searchsorted(names, f.v2)
-        around: list[list[tuple[int, float]]] = [[] for _ in names]
-        for i, j, w in zip(a.tolist(), b.tolist(), f.length.tolist()):
-            around[i].append((j, w))
-            around[j].append((i, w))
-        best = (0.0, 0, 0)
-        for start in range(len(names)):
-            far = {start: 0.0}
-            queue, done = [(0.0, start)], set()
-            while queue:
-                d, i = heapq.heappop(queue)
-                if i in done:
-                    continue
-                done.add(i)
-                for j, w in around[i]:
-                    if d + w < far.get(j, np.inf):
-                        far[j] = d + w
-                        heapq.heappush(queue, (d + w, j))
-            end = max(far, key=lambda i: (far[i], -i))
-            if far[end] > best[0]:
-                best = (far[end], start, end)
-        return pd.DataFrame([[*key, best[0], int(names[best[1]]), int(names[best[2]])]], columns=[*keys, "skeleton", "length", "start", "stop"])
-
-    return edges.groupBy(*keys, "skeleton").applyInPandas(run, parts + "skeleton bigint, length double, start bigint, stop bigint")
+    return paths.longest(branches.join(own, [*keys, "v1"]), [*keys, "skeleton"], whole)
 
 
 def prune(vertices: DataFrame, branches: DataFrame, keys: list[str], least_length: float) -> tuple[DataFrame, DataFrame, DataFrame]:
