@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lamella.functions import geometry
 from lamella.operators import components, distance, filters, fits, fraction, fractal, mesh, moments, particles, topology
 from lamella.sources.tables import CELL_SQL, FOREGROUND_SQL, GRAINS_SQL, SHAPE, SOLID_SHAPE, above_mean, foreground, grains, solids, table, voxelize
-from lamella.storage import written
+from lamella.storage import shared_dir, written
 
 W, H, D = SHAPE
 CHANNELS = 3  # A, N and R
@@ -337,6 +338,16 @@ def stream_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_fraction(table(spark, sf_dir, "events"), "ts", ["event_type"], "value", 50).withColumns({"start": F.date_format("start", "yyyy-MM-dd HH"), "ratio": r6("ratio")})
 
 
+@query(SQL["euler_sum"])
+def stream_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characteristic of each channel, from a stream of its slices in three batches."""
+    from lamella.streaming import euler as running
+
+    fg, at = foreground(spark, sf_dir).select("c", "x", "y", "z"), f"{shared_dir(spark)}/lamella-stream-{uuid.uuid4().hex}"
+    fg.repartition(9, F.pmod(F.col("z") * 4, F.lit(9))).write.parquet(f"{at}/slices")
+    return running.euler_of_changes(running.run_to_table(spark, f"{at}/slices", fg.schema, ["c"], f"{at}/changes", f"{at}/checkpoint", 3), ["c"])
+
+
 def _fixed_ellipsoids(spark: SparkSession) -> DataFrame:
     """A fixed set of axis-aligned ellipsoids over the volume."""
     i = F.col("id")
