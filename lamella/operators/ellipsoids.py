@@ -8,6 +8,7 @@ follow from the seed's number. Voxels meet ellipsoids by blocks that the ellipso
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -297,64 +298,89 @@ def with_tensors(ellipsoids: DataFrame) -> DataFrame:
     return ellipsoids.mapInPandas(run, schema)
 
 
-def _held(fg: DataFrame, tensors: DataFrame, block: int) -> DataFrame:
-    """Voxels and the ellipsoids that hold their centres; they meet by the blocks that an ellipsoid's box reaches."""
+def _held(fg: DataFrame, tensors: DataFrame, block: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Voxels and the ellipsoids of their subspace (keys) that hold their centres; they meet by the blocks that an ellipsoid's box reaches."""
     e = tensors
     for k in "xyz":
         e = e.withColumn(f"b{k}", F.explode(F.sequence(F.floor((F.col(f"c{k}") - F.col(f"h{k}")) / block), F.floor((F.col(f"c{k}") + F.col(f"h{k}")) / block))))
-    own = fg.select("x", "y", "z", *(F.floor(F.col(k) / block).alias(f"b{k}") for k in "xyz"))
+    own = fg.select(*keys, "x", "y", "z", *(F.floor(F.col(k) / block).alias(f"b{k}") for k in "xyz"))
     d = [F.col(k) + 0.5 - F.col(f"c{k}") for k in "xyz"]
     form = F.col("t00") * d[0] * d[0] + F.col("t11") * d[1] * d[1] + F.col("t22") * d[2] * d[2] + 2 * (F.col("t01") * d[0] * d[1] + F.col("t02") * d[0] * d[2] + F.col("t12") * d[1] * d[2])
     near = F.lit(True)
     for i, k in enumerate("xyz"):
         near = near & (F.abs(d[i]) <= F.col(f"h{k}"))
-    return own.join(e, ["bx", "by", "bz"]).where(near).where(form <= 1)
+    return own.join(e, [*keys, "bx", "by", "bz"]).where(near).where(form <= 1)
 
 
-def painted(voxels: DataFrame, tensors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """x, y, z, n: how many ellipsoids hold each voxel that any holds."""
-    return _held(voxels, tensors, block).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+def painted(voxels: DataFrame, tensors: DataFrame, block: int = BLOCK, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, y, z, n: how many ellipsoids hold each voxel that any holds."""
+    return _held(voxels, tensors, block, keys).groupBy(*keys, "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
 
 
-def assign(fg: DataFrame, tensors: DataFrame, n: int = 1, block: int = BLOCK) -> DataFrame:
-    """x, y, z, rank, ell_id, ra, rb, rc: the n largest ellipsoids that hold each voxel's centre, rank 0 the largest."""
-    held = _held(fg, tensors, block)
-    order = Window.partitionBy("x", "y", "z").orderBy("ell_id")
-    return held.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n).select("x", "y", "z", "rank", "ell_id", "ra", "rb", "rc")
+def assign(fg: DataFrame, tensors: DataFrame, n: int = 1, block: int = BLOCK, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, y, z, rank, ell_id, ra, rb, rc: the n largest ellipsoids that hold each voxel's centre, rank 0 the largest."""
+    held = _held(fg, tensors, block, keys)
+    order = Window.partitionBy(*keys, "x", "y", "z").orderBy("ell_id")
+    return held.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n).select(*keys, "x", "y", "z", "rank", "ell_id", "ra", "rb", "rc")
 
 
-def factor_image(assigned: DataFrame) -> DataFrame:
-    """x, y, z and the volume-weighted means over a voxel's ellipsoids: ef (a/b - b/c), a, b, c, a_b, b_c, volume."""
+def id_image(fg: DataFrame, assigned: DataFrame, n: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, y, z, rank, ell_id of every foreground voxel for each rank below n: which ellipsoid it is in, -1 where there is none."""
+    every = fg.select(*keys, "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rank"))
+    by = [*keys, "x", "y", "z", "rank"]
+    return every.join(assigned.select(*by, "ell_id"), by, "left").withColumn("ell_id", F.coalesce("ell_id", F.lit(-1)))
+
+
+def factor_image(assigned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, y, z and the volume-weighted means over a voxel's ellipsoids: ef (a/b - b/c), ra, rb, rc, a_b, b_c, volume."""
     v = F.col("ra") * F.col("rb") * F.col("rc") * (4 * np.pi / 3)
-    made = {"ef": F.col("ra") / F.col("rb") - F.col("rb") / F.col("rc"), "a": F.col("ra"), "b": F.col("rb"), "c": F.col("rc"), "a_b": F.col("ra") / F.col("rb"), "b_c": F.col("rb") / F.col("rc")}
-    return assigned.groupBy("x", "y", "z").agg(*((F.sum(x * v) / F.sum(v)).alias(k) for k, x in made.items()), (F.sum(v) / F.count(F.lit(1))).alias("volume"))
+    made = {"ef": F.col("ra") / F.col("rb") - F.col("rb") / F.col("rc"), "ra": F.col("ra"), "rb": F.col("rb"), "rc": F.col("rc"), "a_b": F.col("ra") / F.col("rb"), "b_c": F.col("rb") / F.col("rc")}
+    return assigned.groupBy(*keys, "x", "y", "z").agg(*((F.sum(x * v) / F.sum(v)).alias(k) for k, x in made.items()), (F.sum(v) / F.count(F.lit(1))).alias("volume"))
+
+
+def statistics(image: DataFrame, foreground: int | DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, median, max and min of ef, and the percentage of the foreground (a count, or its voxels) that has one."""
+    made = [F.median("ef").alias("median"), F.max("ef").alias("max"), F.min("ef").alias("min"), F.count("ef").alias("n_")]
+    found = image.groupBy(*keys).agg(*made) if keys else image.agg(*made)
+    if isinstance(foreground, int):
+        found = found.withColumn("all_", F.lit(foreground))
+    elif keys:
+        found = found.join(foreground.groupBy(*keys).agg(F.count(F.lit(1)).alias("all_")), list(keys))
+    else:
+        found = found.withColumn("all_", F.lit(foreground.count()))
+    return found.withColumn("filling", F.col("n_") * 100.0 / F.col("all_")).drop("n_", "all_")
+
+
+def unweighted_flinn(ellipsoids: DataFrame, bins: int = 512, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, col, row of the Flinn plot that any ellipsoid falls in, whatever its voxels."""
+    return flinn(ellipsoids.select(*keys, (F.col("rb") / F.col("rc")).alias("b_c"), (F.col("ra") / F.col("rb")).alias("a_b")), bins, keys).drop("n")
 
 
-def statistics(image: DataFrame, foreground: int) -> DataFrame:
-    """median, max and min of ef, and the percentage of the foreground that has one."""
-    return image.agg(F.median("ef").alias("median"), F.max("ef").alias("max"), F.min("ef").alias("min"), (F.count("ef") * 100.0 / foreground).alias("filling"))
+def flinn_peaks(assigned: DataFrame, bins: int = 512, keys: Sequence[str] = ()) -> DataFrame:
+    """The Flinn peak plot: how many voxels have an ellipsoid of each place as their largest."""
+    return flinn(assigned.where("rank = 0").select(*keys, (F.col("rb") / F.col("rc")).alias("b_c"), (F.col("ra") / F.col("rb")).alias("a_b")), bins, keys)
 
 
-def flinn(image: DataFrame, bins: int = 512) -> DataFrame:
-    """The Flinn plot: voxels by (b/c, a/b), the second from the top."""
+def flinn(image: DataFrame, bins: int = 512, keys: Sequence[str] = ()) -> DataFrame:
+    """The Flinn plot: keys, and voxels by (b/c, a/b), the second from the top."""
     near = 0.5 + 1e-9  # ratios that differ in their last digits alone fall into the same bin
     col = F.floor(F.col("b_c") * (bins - 1) + near).cast("int")
     row = (bins - 1 - F.floor(F.col("a_b") * (bins - 1) + near)).cast("int")
-    return image.groupBy(col.alias("col"), row.alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    return image.groupBy(*keys, col.alias("col"), row.alias("row")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_average(runs: DataFrame, count: int, value: str = "ef") -> DataFrame:
-    """x, y, z and the mean of so many runs (run from 1; a voxel without a value has no row in a run). A voxel's sum is folded over the
+def run_average(runs: DataFrame, count: int, value: str = "ef", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, x, y, z and the mean of so many runs (run from 1; a voxel without a value has no row in a run). A voxel's sum is folded over the
     runs: where the sum so far or the run n has a value and the other hasn't, it becomes sum (1 + 1 / (n - 1)) or value * n."""
     steps = F.array_sort(F.collect_list(F.struct("run", F.col(value).alias("v"))))
-    held = runs.groupBy("x", "y", "z").agg(F.map_from_entries(steps).alias("of"))
+    held = runs.groupBy(*keys, "x", "y", "z").agg(F.map_from_entries(steps).alias("of"))
 
     def fold(total: Column, n: Column) -> Column:
         own = F.get(F.map_values(F.map_filter("of", lambda k, _: k == n)), F.lit(0))
         added = F.when(own.isNull(), total * (1 + F.lit(1.0) / (n - 1))).otherwise(total + own)
         return F.when(total.isNull(), own * n).otherwise(added)
 
-    return held.select("x", "y", "z", (F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.lit(None).cast("double"), fold) / count).alias(value))
+    return held.select(*keys, "x", "y", "z", (F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.lit(None).cast("double"), fold) / count).alias(value))
 
 
 def seeds(*found: DataFrame) -> DataFrame:
@@ -366,7 +392,8 @@ def seeds(*found: DataFrame) -> DataFrame:
     return every
 
 
-def convergence(before: DataFrame, after: DataFrame) -> DataFrame:
-    """mean, max, min and upper median of how far an image moved, where both have values."""
-    moved = before.select("x", "y", "z", F.col("ef").alias("p")).join(after.select("x", "y", "z", F.col("ef").alias("q")), ["x", "y", "z"]).select(F.abs(F.col("p") - F.col("q")).alias("d"))
-    return moved.agg(F.avg("d").alias("mean"), F.max("d").alias("max"), F.min("d").alias("min"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("median"))
+def convergence(before: DataFrame, after: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, mean, max, min and upper median of how far an image moved, where both have values."""
+    by = [*keys, "x", "y", "z"]
+    moved = before.select(*by, F.col("ef").alias("p")).join(after.select(*by, F.col("ef").alias("q")), by).select(*keys, F.abs(F.col("p") - F.col("q")).alias("d"))
+    return moved.groupBy(*keys).agg(F.avg("d").alias("mean"), F.max("d").alias("max"), F.min("d").alias("min"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("median"))

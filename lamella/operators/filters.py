@@ -135,6 +135,14 @@ def stack_histogram(voxels: DataFrame, keys: list[str], value: str = "value") ->
     return voxels.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def local_maxima(voxels: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """The voxels that no voxel beside them by a face exceeds; positions without a row exceed none."""
+    steps = F.array(*(F.struct(*(F.lit(s if k == i else 0).alias(f"d{n}") for k, n in enumerate("xyz"))) for i in range(3) for s in (-1, 1)))
+    sent = voxels.select(*keys, "x", "y", "z", value, F.explode(steps).alias("o")).select(*keys, *((F.col(k) + F.col(f"o.d{k}")).alias(k) for k in "xyz"), value)
+    most = sent.groupBy(*keys, "x", "y", "z").agg(F.max(value).alias("most_"))
+    return voxels.join(most, [*keys, "x", "y", "z"], "left").where(F.coalesce(F.col(value) >= F.col("most_"), F.lit(True))).drop("most_")
+
+
 def skip_seeds(seeds: DataFrame, ratio: int, offset: int, order: list[str], partition: list[str] | None = None) -> DataFrame:
     """Every ratio-th seed of a partition, or of all, from an offset on."""
     if partition:

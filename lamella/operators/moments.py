@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,11 +113,11 @@ def slice_moments(voxels: DataFrame, keys: list[str], spacing=(1.0, 1.0)) -> Dat
     return second.select(*keys, "z", "theta", F.least(i1, i2).alias("imin"), F.greatest(i1, i2).alias("imax"), ip.alias("ipm"), "r1", "r2", F.try_divide(i1, F.col("r1")).alias("z1"), F.try_divide(i2, F.col("r2")).alias("z2"), F.try_divide(i1 + i2, F.sqrt(F.col("r1") * F.col("r1") + F.col("r2") * F.col("r2"))).alias("zpol"))
 
 
-def aligned_size(voxels: DataFrame, axes: np.ndarray, centroid: np.ndarray, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """How many voxels of the least side an image along the principal axes needs."""
+def aligned_size(voxels: DataFrame, axes: np.ndarray, centroid: np.ndarray, spacing=(1.0, 1.0, 1.0), keys: Sequence[str] = ()) -> DataFrame:
+    """keys, and how many voxels of the least side an image along the principal axes needs."""
     side = min(spacing)
     reach = [F.max(F.abs(sum((F.col(k) * spacing[i] - float(centroid[i])) * float(axes[i, j]) for i, k in enumerate("xyz")))) for j in range(3)]
-    return voxels.agg(*((F.floor(2 * r / side) + 5).alias(f"n{k}") for r, k in zip(reach, "xyz")))
+    return voxels.groupBy(*keys).agg(*((F.floor(2 * r / side) + 5).alias(f"n{k}") for r, k in zip(reach, "xyz")))
 
 
 def aligned(voxels: DataFrame, axes: np.ndarray, centroid: np.ndarray, size: tuple[int, int, int], spacing=(1.0, 1.0, 1.0)) -> DataFrame:

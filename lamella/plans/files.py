@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators import mesh
-from lamella.plans.measures import CONFIG_SQL, query, r6
+from lamella.plans.measures import CHANNELS, CONFIG_SQL, query, r6
 from lamella.results import pivoted
 from lamella.sources import raw, volume
 from lamella.sources.tables import CELL_SQL, SHAPE, foreground, table, voxelize
@@ -23,14 +23,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{found if '://' in found else 'file://' + found.removeprefix('file:')}/lamella-{name}-{uuid.uuid4().hex}"
 
 
-@query(f"""WITH {CELL_SQL} SELECT x.x::INT AS x, y.y::INT AS y, z.z::INT AS z, coalesce(value, 0)::DOUBLE AS value FROM (SELECT unnest(range({W})) AS x) x, (SELECT unnest(range({H})) AS y) y, (SELECT unnest(range({D})) AS z) z
-LEFT JOIN (SELECT * FROM cell WHERE c = 1) v ON v.x = x.x AND v.y = y.y AND v.z = z.z""")
+@query(f"""WITH {CELL_SQL} SELECT c.c::INT AS c, x.x::INT AS x, y.y::INT AS y, z.z::INT AS z, coalesce(value, 0)::DOUBLE AS value FROM (SELECT unnest([0, 1, 2]) AS c) c, (SELECT unnest(range({W})) AS x) x, (SELECT unnest(range({H})) AS y) y, (SELECT unnest(range({D})) AS z) z
+LEFT JOIN cell v ON v.c = c.c AND v.x = x.x AND v.y = y.y AND v.z = z.z""")
 def raw_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channel 1 written as big-endian slices and read back."""
+    """Every channel written as big-endian slices and read back."""
     folder = _folder(spark, "raw")
-    raw.write_raw(voxelize(spark, sf_dir).where("c = 1"), folder, "channel", SHAPE, "uint16", False)
-    back = raw.read_raw(spark, f"{folder}/channel-*.raw", (W, H, 1), "uint16", byte_order="Big-endian")
-    return back.select("x", "y", F.regexp_extract("image_id", r"-(\d+)\.raw$", 1).cast("int").alias("z"), "value")
+    for c in range(CHANNELS):
+        raw.write_raw(voxelize(spark, sf_dir).where(F.col("c") == c), folder, f"channel{c}", SHAPE, "uint16", False)
+    back = raw.read_raw(spark, f"{folder}/channel*.raw", (W, H, 1), "uint16", byte_order="Big-endian")
+    c, z = (F.regexp_extract("image_id", r"(\d)-(\d+)\.raw$", i).cast("int") for i in (1, 2))
+    return back.select(c.alias("c"), "x", "y", z.alias("z"), "value")
 
 
 @query(f"""WITH {CELL_SQL} SELECT c.c::INT AS c, k.kind, x.x::INT AS x, y.y::INT AS y, z.z::INT AS z, CASE WHEN k.kind = 'bit' THEN (v.value IS NOT NULL)::INT ELSE coalesce(v.value, 0) END::DOUBLE AS value

@@ -348,34 +348,51 @@ def stream_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running.euler_of_changes(running.run_to_table(spark, f"{at}/slices", fg.schema, ["c"], f"{at}/changes", f"{at}/checkpoint", 3), ["c"])
 
 
-def _fixed_ellipsoids(spark: SparkSession) -> DataFrame:
-    """A fixed set of axis-aligned ellipsoids over the volume."""
-    i = F.col("id")
-    made = {"cx": (i * 7) % 50 + 0.5, "cy": (i * 3) % 11 + 0.5, "cz": (i * 5) % 9 + 0.5, "ra": 1.0 + i % 3, "rb": 2.5 + i % 4, "rc": 4.5 + i % 5}
+def peak_ellipsoids(fg: DataFrame) -> DataFrame:
+    """An axis-aligned ellipsoid at every local maximum of each channel, with radii by its value and place; larger ones first."""
+    from lamella.operators import ellipsoids
+
+    value = F.col("value")
+    made = {f"c{k}": F.col(k) + 0.5 for k in "xyz"} | {"ra": 1.23 + value % 3, "rb": 3.17 + (value + F.col("x")) % 4, "rc": 7.31 + (value + F.col("y")) % 5}
     turn = {f"v{a}{b}": F.lit(float(a == b)) for a in range(3) for b in range(3)}
-    return spark.range(40).select(i.alias("seed_id"), *(v.cast("double").alias(k) for k, v in (made | turn).items()))
+    seed = components.linear(*(F.col(k) for k in "xyz")) * CHANNELS + F.col("c")
+    found = filters.local_maxima(fg, ["c"]).select("c", seed.alias("seed_id"), *(v.cast("double").alias(k) for k, v in (made | turn).items()))
+    return ellipsoids.ranked(found)
 
 
-ASSIGN_SQL = FOREGROUND_SQL + """, e AS (SELECT i AS seed_id, (i * 7) % 50 + 0.5 AS cx, (i * 3) % 11 + 0.5 AS cy, (i * 5) % 9 + 0.5 AS cz, (1.0 + i % 3)::DOUBLE AS ra, (2.5 + i % 4)::DOUBLE AS rb, (4.5 + i % 5)::DOUBLE AS rc FROM (SELECT unnest(range(40)) AS i)),
-n AS (SELECT *, row_number() OVER (ORDER BY ra * rb * rc DESC, seed_id) - 1 AS ell_id FROM e),
-held AS (SELECT x, y, z, ell_id, ra, rb, rc, row_number() OVER (PARTITION BY x, y, z ORDER BY ell_id) - 1 AS rank FROM (SELECT x, y, z FROM fg WHERE c = 0) p, n
-  WHERE ((x + 0.5 - cx) / ra) ** 2 + ((y + 0.5 - cy) / rb) ** 2 + ((z + 0.5 - cz) / rc) ** 2 <= 1.0000000001)"""
+PEAKS_SQL = FOREGROUND_SQL + """, e AS (SELECT c, ((z::BIGINT * 1048576 + y) * 1048576 + x) * 3 + c AS seed_id, x + 0.5 AS cx, y + 0.5 AS cy, z + 0.5 AS cz, (1.23 + value % 3)::DOUBLE AS ra, (3.17 + (value + x) % 4)::DOUBLE AS rb, (7.31 + (value + y) % 5)::DOUBLE AS rc
+  FROM fg p WHERE NOT EXISTS (SELECT 1 FROM fg q WHERE q.c = p.c AND abs(q.x - p.x) + abs(q.y - p.y) + abs(q.z - p.z) = 1 AND q.value > p.value)),
+n AS (SELECT *, row_number() OVER (ORDER BY ra * rb * rc DESC, seed_id) - 1 AS ell_id FROM e)"""
+ASSIGN_SQL = PEAKS_SQL + """,
+held AS (SELECT c, x, y, z, ell_id, ra, rb, rc, row_number() OVER (PARTITION BY c, x, y, z ORDER BY ell_id) - 1 AS rank FROM (SELECT c, x, y, z FROM fg) p JOIN n USING (c)
+  WHERE ((x + 0.5 - cx) / ra) ** 2 + ((y + 0.5 - cy) / rb) ** 2 + ((z + 0.5 - cz) / rc) ** 2 <= 1.0)"""
 
 
-@query(f"""WITH {ASSIGN_SQL} SELECT x, y, z, rank::INT AS rank, ell_id::INT AS ell_id FROM held WHERE rank < 2""")
-def ellipsoid_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def peaks_assigned(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Every voxel of the foreground with the n largest peak ellipsoids of its channel that hold it."""
     from lamella.operators import ellipsoids
 
-    found = ellipsoids.with_tensors(ellipsoids.ranked(_fixed_ellipsoids(spark)))
-    return ellipsoids.assign(foreground(spark, sf_dir).where("c = 0"), found, 2).select("x", "y", "z", "rank", "ell_id")
+    fg = foreground(spark, sf_dir)
+    return ellipsoids.assign(fg, ellipsoids.with_tensors(peak_ellipsoids(fg)), n, keys=["c"])
+
+
+@query(f"""WITH {ASSIGN_SQL} SELECT c, x, y, z, rank::INT AS rank, ell_id::INT AS ell_id FROM held WHERE rank < 2""")
+def ellipsoid_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks_assigned(spark, sf_dir, 2).select("c", "x", "y", "z", "rank", "ell_id")
 
 
-@query(f"""WITH {ASSIGN_SQL} SELECT x, y, z, round(sum((ra / rb - rb / rc) * ra * rb * rc) / sum(ra * rb * rc), 6) AS ef FROM held WHERE rank < 2 GROUP BY x, y, z""")
+@query(f"""WITH {ASSIGN_SQL} SELECT c, x, y, z, round(sum((ra / rb - rb / rc) * ra * rb * rc) / sum(ra * rb * rc), 6) AS ef FROM held WHERE rank < 2 GROUP BY c, x, y, z""")
 def ef_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import ellipsoids
 
-    found = ellipsoids.with_tensors(ellipsoids.ranked(_fixed_ellipsoids(spark)))
-    return ellipsoids.factor_image(ellipsoids.assign(foreground(spark, sf_dir).where("c = 0"), found, 2)).select("x", "y", "z", r6("ef").alias("ef"))
+    return ellipsoids.factor_image(peaks_assigned(spark, sf_dir, 2), ["c"]).select("c", "x", "y", "z", r6("ef").alias("ef"))
+
+
+@query(f"""WITH {ASSIGN_SQL} SELECT fg.c, fg.x, fg.y, fg.z, r.rank::INT AS rank, coalesce(h.ell_id, -1)::INT AS ell_id FROM fg, (SELECT unnest([0, 1]) AS rank) r LEFT JOIN held h ON h.c = fg.c AND h.x = fg.x AND h.y = fg.y AND h.z = fg.z AND h.rank = r.rank""")
+def ellipsoid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamella.operators import ellipsoids
+
+    return ellipsoids.id_image(foreground(spark, sf_dir), peaks_assigned(spark, sf_dir, 2), 2, ["c"])
 
 
 def _of_channels(fg: DataFrame, measure) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.operators import commands, components, distance, ellipsoids, particles, skeleton
-from lamella.plans.measures import ASSIGN_SQL, LABEL_SQL, SQL, _AREA, _FLUX, _REST, _fixed_ellipsoids, query, r6
+from lamella.plans.measures import ASSIGN_SQL, CHANNELS, LABEL_SQL, PEAKS_SQL, SQL, _AREA, _FLUX, _REST, peak_ellipsoids, peaks_assigned, query, r6
 from lamella.plans.voxelwise import BACKGROUND_SQL, thickness_sql
 from lamella.sources.tables import FOREGROUND_SQL, SHAPE, foreground, grains, table
 
@@ -160,24 +160,35 @@ def graph_longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ellipsoids
 
-IMAGE_SQL = ASSIGN_SQL + """, image AS (SELECT n.n AS run, x, y, z, sum((ra / rb - rb / rc) * ra * rb * rc) / sum(ra * rb * rc) AS ef, sum(ra / rb * ra * rb * rc) / sum(ra * rb * rc) AS a_b, sum(rb / rc * ra * rb * rc) / sum(ra * rb * rc) AS b_c
+IMAGE_SQL = ASSIGN_SQL + """, image AS (SELECT n.n AS run, c, x, y, z, sum((ra / rb - rb / rc) * ra * rb * rc) / sum(ra * rb * rc) AS ef, sum(ra / rb * ra * rb * rc) / sum(ra * rb * rc) AS a_b, sum(rb / rc * ra * rb * rc) / sum(ra * rb * rc) AS b_c
   FROM held, (SELECT unnest([1, 2, 3]) AS n) n WHERE rank < n.n GROUP BY ALL)"""
+PLACE_SQL = "c, floor({b_c} * 511 + 0.5 + 1e-9)::INT AS col, (511 - floor({a_b} * 511 + 0.5 + 1e-9))::INT AS row"
+C = ["c"]
 
 
 def _image(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    found = ellipsoids.with_tensors(ellipsoids.ranked(_fixed_ellipsoids(spark)))
-    return ellipsoids.factor_image(ellipsoids.assign(foreground(spark, sf_dir).where("c = 0"), found, n))
+    return ellipsoids.factor_image(peaks_assigned(spark, sf_dir, n), C)
 
 
-@query(f"""WITH {IMAGE_SQL} SELECT floor(b_c * 511 + 0.5 + 1e-9)::INT AS col, (511 - floor(a_b * 511 + 0.5 + 1e-9))::INT AS row, count(*) AS n FROM image WHERE run = 1 GROUP BY ALL""")
+@query(f"""WITH {IMAGE_SQL} SELECT {PLACE_SQL.format(b_c="b_c", a_b="a_b")}, count(*) AS n FROM image WHERE run = 1 GROUP BY ALL""")
 def flinn_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ellipsoids.flinn(_image(spark, sf_dir, 1))
+    return ellipsoids.flinn(_image(spark, sf_dir, 1), keys=C)
 
 
-@query(f"""WITH {IMAGE_SQL} SELECT round(median(ef), 6) AS median, round(max(ef), 6) AS max, round(min(ef), 6) AS min, round(count(*) * 100.0 / (SELECT count(*) FROM fg WHERE c = 0), 6)::DOUBLE AS filling FROM image WHERE run = 2""")
+@query(f"""WITH {ASSIGN_SQL} SELECT {PLACE_SQL.format(b_c="rb / rc", a_b="ra / rb")}, count(*) AS n FROM held WHERE rank = 0 GROUP BY ALL""")
+def flinn_peak_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ellipsoids.flinn_peaks(peaks_assigned(spark, sf_dir, 3), keys=C)
+
+
+@query(f"""WITH {PEAKS_SQL} SELECT DISTINCT {PLACE_SQL.format(b_c="rb / rc", a_b="ra / rb")} FROM n""")
+def flinn_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ellipsoids.unweighted_flinn(peak_ellipsoids(foreground(spark, sf_dir)), keys=C)
+
+
+@query(f"""WITH {IMAGE_SQL}, every AS (SELECT c, count(*) AS n FROM fg GROUP BY c) SELECT c, round(median(ef), 6) AS median, round(max(ef), 6) AS max, round(min(ef), 6) AS min, round(count(*) * 100.0 / any_value(n), 6)::DOUBLE AS filling FROM image JOIN every USING (c) WHERE run = 2 GROUP BY c""")
 def ef_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = foreground(spark, sf_dir).where("c = 0").count()
-    return ellipsoids.statistics(_image(spark, sf_dir, 2), n).select(*(r6(k).alias(k) for k in ("median", "max", "min", "filling")))
+    found = ellipsoids.statistics(_image(spark, sf_dir, 2), foreground(spark, sf_dir), C)
+    return found.select("c", *(r6(k).alias(k) for k in ("median", "max", "min", "filling")))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,31 +197,31 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query(f"""WITH {IMAGE_SQL}, v AS (SELECT x, y, z, max(ef) FILTER (run = 1) AS a, max(ef) FILTER (run = 2) AS b, max(ef) FILTER (run = 3) AS d FROM image WHERE (x + y + run) % 3 <> 0 GROUP BY ALL),
+@query(f"""WITH {IMAGE_SQL}, v AS (SELECT c, x, y, z, max(ef) FILTER (run = 1) AS a, max(ef) FILTER (run = 2) AS b, max(ef) FILTER (run = 3) AS d FROM image WHERE (x + y + run) % 3 <> 0 GROUP BY ALL),
 two AS (SELECT *, CASE WHEN a IS NULL THEN b * 2 WHEN b IS NULL THEN a * 2 ELSE a + b END AS s FROM v),
 three AS (SELECT *, CASE WHEN s IS NULL THEN d * 3 WHEN d IS NULL THEN s * 1.5 ELSE s + d END AS t FROM two)
-SELECT x, y, z, round(t / 3, 6) AS ef FROM three""")
+SELECT c, x, y, z, round(t / 3, 6) AS ef FROM three""")
 def run_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ellipsoids.run_average(_runs(spark, sf_dir), 3).select("x", "y", "z", r6("ef").alias("ef"))
+    return ellipsoids.run_average(_runs(spark, sf_dir), 3, keys=C).select("c", "x", "y", "z", r6("ef").alias("ef"))
 
 
-@query(f"""WITH {IMAGE_SQL}, d AS (SELECT abs(a.ef - b.ef) AS d FROM image a JOIN image b USING (x, y, z) WHERE a.run = 1 AND b.run = 3)
-SELECT round(avg(d), 6) AS mean, round(max(d), 6) AS max, round(min(d), 6) AS min, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC), 6) AS median FROM d""")
+@query(f"""WITH {IMAGE_SQL}, d AS (SELECT c, abs(a.ef - b.ef) AS d FROM image a JOIN image b USING (c, x, y, z) WHERE a.run = 1 AND b.run = 3)
+SELECT c, round(avg(d), 6) AS mean, round(max(d), 6) AS max, round(min(d), 6) AS min, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC), 6) AS median FROM d GROUP BY c""")
 def ef_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ellipsoids.convergence(_image(spark, sf_dir, 1), _image(spark, sf_dir, 3))
-    return found.select(*(r6(k).alias(k) for k in ("mean", "max", "min", "median")))
+    found = ellipsoids.convergence(_image(spark, sf_dir, 1), _image(spark, sf_dir, 3), C)
+    return found.select("c", *(r6(k).alias(k) for k in ("mean", "max", "min", "median")))
 
 
-@query(f"""WITH {FOREGROUND_SQL} SELECT c::INT AS search, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM fg WHERE c < 2""")
+@query(f"""WITH {FOREGROUND_SQL} SELECT c::INT AS search, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM fg""")
 def seed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     fg = foreground(spark, sf_dir)
-    return ellipsoids.seeds(fg.where("c = 0"), fg.where("c = 1"))
+    return ellipsoids.seeds(*(fg.where(F.col("c") == c) for c in range(CHANNELS)))
 
 
-@query(f"""WITH {ASSIGN_SQL} SELECT x, y, z, count(*) AS n FROM held GROUP BY x, y, z""")
+@query(f"""WITH {ASSIGN_SQL} SELECT c, x, y, z, count(*) AS n FROM held GROUP BY c, x, y, z""")
 def painted_ellipsoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ellipsoids.with_tensors(ellipsoids.ranked(_fixed_ellipsoids(spark)))
-    return ellipsoids.painted(foreground(spark, sf_dir).where("c = 0"), found)
+    fg = foreground(spark, sf_dir)
+    return ellipsoids.painted(fg, ellipsoids.with_tensors(peak_ellipsoids(fg)), keys=C)
 
 
 @query()

@@ -155,11 +155,11 @@ def aligned_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments.aligned(foreground(spark, sf_dir), TURN, np.array([25.0, 5.0, 4.0]), (40, 30, 9))
 
 
-@query(f"""WITH {FOREGROUND_SQL} SELECT c, (2 * max(abs(y - 5)) + 5)::BIGINT AS nx, (2 * max(abs(x - 25)) + 5)::BIGINT AS ny, (2 * max(abs(z - 4)) + 5)::BIGINT AS nz FROM fg WHERE c = 0 GROUP BY c""")
+@query(f"""WITH {FOREGROUND_SQL} SELECT c, (2 * max(abs(y - 5)) + 5)::BIGINT AS nx, (2 * max(abs(x - 25)) + 5)::BIGINT AS ny, (2 * max(abs(z - 4)) + 5)::BIGINT AS nz FROM fg GROUP BY c""")
 def aligned_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size that channel 0 needs along axes turned by a right angle."""
+    """The size that each channel needs along axes turned by a right angle."""
     axes = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
-    return moments.aligned_size(foreground(spark, sf_dir).where("c = 0"), axes, np.array([25.0, 5.0, 4.0])).select(F.lit(0).alias("c"), "nx", "ny", "nz")
+    return moments.aligned_size(foreground(spark, sf_dir), axes, np.array([25.0, 5.0, 4.0]), keys=["c"])
 
 
 @query("""SELECT o_orderkey, round(sqrt((a - b) ** 2 + (b - 1) ** 2 + (a - 2) ** 2), 6) AS distance, round(b * 2 - 1 * 1, 6) AS cx, round(1 * a - a * 2, 6) AS cy, round(a * 1 - b * a, 6) AS cz, least(5.0, greatest(-5.0, a)) AS clamped, round(a * a * b * b * 4 * pi() / 3, 3) AS volume

@@ -203,6 +203,14 @@ def test_skeleton_of_a_bar_and_a_cross(spark):
 
 
 # ---- ellipsoids
+def fixed_ellipsoids(spark):
+    """A fixed set of axis-aligned ellipsoids over the volume."""
+    i = F.col("id")
+    made = {"cx": (i * 7) % 50 + 0.5, "cy": (i * 3) % 11 + 0.5, "cz": (i * 5) % 9 + 0.5, "ra": 1.0 + i % 3, "rb": 2.5 + i % 4, "rc": 4.5 + i % 5}
+    turn = {f"v{a}{b}": F.lit(float(a == b)) for a in range(3) for b in range(3)}
+    return spark.range(40).select(i.alias("seed_id"), *(v.cast("double").alias(k) for k, v in (made | turn).items()))
+
+
 def test_queries_measure_every_channel_in_full(spark, monkeypatch):
     from lamella.plans import measures
 
@@ -214,7 +222,7 @@ def test_queries_measure_every_channel_in_full(spark, monkeypatch):
 
     def fixed(seeds, fg, shape, parameters=ellipsoids.Parameters(), **rest):
         asked.append((parameters.vectors, parameters.iterations))
-        return ellipsoids.ranked(measures._fixed_ellipsoids(spark))
+        return ellipsoids.ranked(fixed_ellipsoids(spark))
 
     monkeypatch.setattr(mil, "mil_points", few_points)
     monkeypatch.setattr(ellipsoids, "optimise", fixed)
@@ -284,7 +292,7 @@ def test_streamed_fraction_is_the_batch_one(spark, tmp_path):
 
 
 # ---- the registry
-@pytest.mark.parametrize("name", ["element_fraction", "euler_sum", "surface_area", "particle_boxes", "fractal_dimension", "ef_image", "slice_moments", "run_average", "graph_longest_paths", "axis_intercepts", "particle_cavities", "default_thresholds"])
+@pytest.mark.parametrize("name", ["element_fraction", "euler_sum", "surface_area", "particle_boxes", "fractal_dimension", "ef_image", "slice_moments", "run_average", "ellipsoid_ids", "flinn_peak_plot", "flinn_occupancy", "ef_statistics", "ef_convergence", "painted_ellipsoids", "aligned_extent", "raw_volume", "seed_union", "stream_euler", "graph_longest_paths", "axis_intercepts", "particle_cavities", "default_thresholds"])
 def test_queries_are_as_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events", "embeddings"):
