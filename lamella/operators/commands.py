@@ -39,6 +39,38 @@ def moments_of(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, weigh
     return _joined([moments.principal_axes(moments.inertia_tensor(fg, keys, spacing, weight), keys), centre], keys)
 
 
+def thresholds_of(image: DataFrame, keys: list[str], low: float | None, high: float | None, hounsfield: tuple[float, float] | None = None) -> DataFrame:
+    """keys, low and high as raw values. hounsfield: slope and intercept of an image in Hounsfield units, in which low and high are told
+    then. Those that aren't told are the defaults: 0 and 4000 Hounsfield units, or the IsoData level and the highest value of each subspace."""
+    if low is None or high is None:
+        counts = image.where("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        found = filters.default_thresholds(counts, keys, hounsfield=hounsfield is not None)
+    else:
+        found = image.select(*keys).distinct().withColumns({"low": F.lit(None), "high": F.lit(None)})
+    given = {k: F.col(k) if v is None else F.lit(float(v)) for k, v in (("low", low), ("high", high))}
+    if hounsfield:
+        if not hounsfield[0] > 0:
+            raise InvalidImage("a calibration in Hounsfield units rises with the values")
+        given = {k: filters.raw_value(v, *hounsfield) for k, v in given.items()}
+    return found.withColumns(given)
+
+
+def image_moments(image: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, first: int = 1, last: int | None = None, low: float | None = None, high: float | None = None, hounsfield: tuple[float, float] | None = None, slope: float = 0.0, constant: float = 1.8, unit: str = "mm") -> DataFrame:
+    """keys, low and high (raw), volume, mass, the centroid of mass, the inertia tensor and its principal moments and axes, of an image's
+    (keys, x, y, z, value) voxels of slices first to last (from 1 on) with values from low to high (see `thresholds_of`). A voxel's mass is
+    its density, slope value + constant in the unit's scale and never under 0, by its volume. Voxels without a row or value have no part."""
+    _checked(shape, spacing)
+    last = shape[2] if last is None else last
+    if not 1 <= first <= last <= shape[2]:
+        raise InvalidImage(f"slices {first} to {last} are not all in the image")
+    held = written(image.where(F.col("z").between(first - 1, last - 1)).select(*keys, "x", "y", "z", "value"), "image")
+    limits = written(thresholds_of(image, keys, low, high, hounsfield), "thresholds")
+    own = held.join(limits, keys).where(F.col("value").between(F.col("low"), F.col("high")))
+    size = spacing[0] * spacing[1] * spacing[2]
+    found = moments_of(own, keys, shape, spacing, filters.voxel_density(F.col("value"), slope, constant, unit) * size)
+    return found.join(limits, keys).withColumn("volume", F.col("n") * size)
+
+
 def slice_geometry(fg: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, first: int = 1, last: int | None = None, thickness: bool = True) -> DataFrame:
     """keys, z and, of the slices first to last (from 1 on), centroid, area, angle, moments, perimeter and calipers, and the thickness
     of circles (flat_) and of spheres within the whole stack (deep_)."""

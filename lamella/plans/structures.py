@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamella.operators import commands, components, distance, ellipsoids, particles, skeleton
 from lamella.plans.measures import ASSIGN_SQL, CHANNELS, LABEL_SQL, PEAKS_SQL, SQL, _AREA, _FLUX, _REST, peak_ellipsoids, peaks_assigned, query, r6
 from lamella.plans.voxelwise import BACKGROUND_SQL, thickness_sql
-from lamella.sources.tables import FOREGROUND_SQL, SHAPE, foreground, grains, table
+from lamella.sources.tables import CELL_SQL, FOREGROUND_SQL, SHAPE, foreground, grains, table, voxelize
 
 
 def labelled_sql(name: str, nodes: str, edges: str, keys: str) -> str:
@@ -249,6 +249,18 @@ def whole_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c", trace.alias("trace"), "n", *(r6(k).alias(k) for k in ("cx", "cy", "cz")))
 
 
+@query(f"""WITH {CELL_SQL}, v AS (SELECT c, x * 0.5 AS x, y * 0.5 AS y, z * 2.0 AS z, greatest(0, (value * 0.25 + 1.5) / 1000) * 0.5 AS m FROM cell WHERE value * 3.0 - 10 BETWEEN -6 AND 11 AND z BETWEEN 1 AND 7),
+a AS (SELECT c, count(*) AS n, sum(m) AS mass, sum(m * x) / sum(m) AS mx, sum(m * y) / sum(m) AS my, sum(m * z) / sum(m) AS mz FROM v GROUP BY c)
+SELECT c, any_value(n) * 0.5::DOUBLE AS volume, round(sum(m), 8) AS mass, round(any_value(mx), 6) AS cx, round(any_value(my), 6) AS cy, round(any_value(mz) + 2, 6) AS cz,
+  round(sum(m * ((y - my) ** 2 + (z - mz) ** 2 + 4.25 / 12)), 5) AS ixx, round(sum(m * ((x - mx) ** 2 + (z - mz) ** 2 + 4.25 / 12)), 5) AS iyy, round(sum(m * ((x - mx) ** 2 + (y - my) ** 2 + 0.5 / 12)), 5) AS izz,
+  round(-sum(m * (x - mx) * (y - my)), 5) + 0 AS ixy, round(-sum(m * (x - mx) * (z - mz)), 5) + 0 AS ixz, round(-sum(m * (y - my) * (z - mz)), 5) + 0 AS iyz FROM v JOIN a USING (c) GROUP BY c""")
+def density_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments by density, of slices 2 to 8 between thresholds in Hounsfield units."""
+    found = commands.image_moments(voxelize(spark, sf_dir), ["c"], SHAPE, (0.5, 0.5, 2.0), 2, 8, -6, 11, (3.0, -10.0), 0.25, 1.5, "mm")
+    five = ((F.round(k, 5) + F.lit(0.0)).alias(k) for k in ("ixx", "iyy", "izz", "ixy", "ixz", "iyz"))
+    return found.select("c", "volume", F.round("mass", 8).alias("mass"), *(r6(k).alias(k) for k in ("cx", "cy", "cz")), *five)
+
+
 @query()
 def analysed_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.analysed_skeletons(grains(spark, sf_dir), ["c"], SHAPE)[0]
