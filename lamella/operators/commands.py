@@ -6,12 +6,13 @@ InvalidImage before anything runs.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.model import Axis, InvalidImage, validate
+from lamella.model import Axis, InvalidImage, is_isotropic, validate
 from lamella.operators import distance, filters, moments, pruning, skeleton
 from lamella.storage import written
 
@@ -27,6 +28,28 @@ def _checked(shape: Shape, spacing, slices: int = 1) -> None:
         raise InvalidImage(f"the image needs {slices} slices")
 
 
+def checked_image(image: DataFrame, keys: list[str], shape: Shape, spacing=UNIT, slices: int = 1, hyperstack: bool = True, tolerance: float = 0.01) -> DataFrame:
+    """The foreground (keys, x, y, z) of an image (keys, x, y, z, value) of two values at most in each subspace, those that are not 0.
+    Raises InvalidImage where its sizes or scales are wrong, a voxel lies out of bounds, a subspace has more values, or there are
+    several subspaces without hyperstack; warns where scales differ by more than the tolerance. Null values are no voxels. An image
+    without rows is one without foreground. One pass; a row of bounds and counts comes to the driver."""
+    _checked(shape, spacing, slices)
+    values = image.where("value is not null").groupBy(*keys, "value").agg(*(f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))))
+    parts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("values"), *(f(f"{n}_{k}").alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))))
+    seen = parts.agg(F.count(F.lit(1)).alias("subspaces"), F.max("values").alias("values"), *(f(f"{n}_{k}").alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max)))).first()
+    if seen["subspaces"]:
+        for k, n in zip("xyz", shape):
+            if seen[f"min_{k}"] < 0 or seen[f"max_{k}"] >= n:
+                raise InvalidImage(f"voxels lie out of bounds along {k}")
+        if seen["subspaces"] > 1 and not hyperstack:
+            raise InvalidImage("the image has channels or times")
+        if seen["values"] > 2:
+            raise InvalidImage("the image is not binary")
+    if not is_isotropic([Axis(k, n, s) for k, n, s in zip("XYZ", shape, spacing)], tolerance):
+        warnings.warn("the image's scales differ between its axes", stacklevel=2)
+    return filters.as_bits(image).select(*keys, "x", "y", "z")
+
+
 def _joined(tables: list[DataFrame], by: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, by, "left"), tables)
 

@@ -145,12 +145,12 @@ def ellipsoids(labels: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> D
     return fits.fit_ellipsoids(points, by)
 
 
-def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: float = 0, most: float = float("inf"), shape=None, with_euler: bool = True, with_surface: bool = True, with_feret: bool = True, with_box: bool = True, with_ellipsoid: bool = True, image: tuple[int, int, int] | None = None) -> DataFrame:
+def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: float = 0, most: float = float("inf"), shape=None, with_euler: bool = True, with_surface: bool = True, with_feret: bool = True, with_box: bool = True, with_ellipsoid: bool = True, image: tuple[int, int, int] | None = None, with_skeleton: bool = False) -> DataFrame:
     """One wide row per particle, numbered from 1 by its least position. shape: leave out particles at its bounds; image: the shape in
     which thickness is measured (none without it). Columns: box and centroid, tensor with its axes, bone_volume; surface: area,
     volume; Euler: chi, cavities, holes; feret; box along the axes: box_cx .. box_lengths; ellipsoid: ell_ra .. ; thickness with
-    thickness_sd and thickness_max."""
-    from lamella.operators import distance
+    thickness_sd and thickness_max; skeleton: n_branches (0 where a particle thins to one voxel) and branch_length, of all of them."""
+    from lamella.operators import distance, skeleton
 
     found = components.filter_particles(components.connected_components(fg, keys), keys, least, most, shape, float(np.prod(spacing)))
     labels = written(found, "particles")
@@ -172,4 +172,7 @@ def analyse(fg: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0), least: floa
     if image:
         t = thickness(labels, distance.local_thickness(fg, keys, image), keys)
         out = out.join(t.select(*by, F.col("mean").alias("thickness"), F.col("sd").alias("thickness_sd"), F.col("max").alias("thickness_max")), by, "left")
+    if with_skeleton:
+        arms = skeleton.per_particle(labels, keys, spacing)
+        out = out.join(arms.select(*by, F.col("branches").alias("n_branches"), "branch_length"), by, "left")
     return out.withColumn("bone_volume", F.col("size") * float(np.prod(spacing)))

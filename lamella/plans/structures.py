@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.operators import commands, components, distance, ellipsoids, particles, skeleton
+from lamella.operators import commands, components, distance, ellipsoids, filters, particles, skeleton
 from lamella.plans.measures import ASSIGN_SQL, CHANNELS, LABEL_SQL, PEAKS_SQL, SQL, _AREA, _FLUX, _REST, peak_ellipsoids, peaks_assigned, query, r6
 from lamella.plans.voxelwise import BACKGROUND_SQL, thickness_sql
 from lamella.sources.tables import CELL_SQL, FOREGROUND_SQL, SHAPE, foreground, grains, table, voxelize
@@ -261,6 +261,13 @@ def density_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c", "volume", F.round("mass", 8).alias("mass"), *(r6(k).alias(k) for k in ("cx", "cy", "cz")), *five)
 
 
+@query(f"""WITH {CELL_SQL} SELECT c, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(z)::BIGINT AS sz FROM cell WHERE value BETWEEN 3 AND 6 GROUP BY c""")
+def checked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The foreground of a thresholded image of all channels, once it is checked."""
+    fg = commands.checked_image(filters.to_mask(voxelize(spark, sf_dir), 3, 6), ["c"], SHAPE)
+    return fg.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(f"s{k}") for k in "xyz"))
+
+
 @query()
 def analysed_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.analysed_skeletons(grains(spark, sf_dir), ["c"], SHAPE)[0]
