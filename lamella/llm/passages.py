@@ -12,8 +12,9 @@ as they are, so one stands for all (first in each task's blocks, before anything
 the rest, all holders of a signature that two texts have are compared by their contexts: one must have a run of LEAST_WORDS
 words of which the other has so many shingles there that the similarity is 0.8 or more, and the other way round. The holders that
 such links connect are a group, found in full: all are met with the first; few are then compared each with each, and of many
-those that share one more least hash (by HASHES other functions, over the passages that hold the signature, of other shingles); a sketch of the
-context, or a count of its shingles where they are few, leaves out pairs that can't have so many in common. Of a run of one
+first those that share one more least hash (by HASHES other functions, over the passages that hold the signature, of other shingles) with
+one of them, then all rows that hold any of the rarest shingles of a passage, so many that no row that shares it lacks them all; a sketch
+of the context, or a count of its shingles where they are few, leaves out pairs that can't have so many in common. Of a run of one
 shingle only the ends count as signatures. Many holders meet the first in parts; what shares no passage with it then meets all others
 beside each part, or, if that is much, part by part. A passage
 reaches as far as the verified runs of its signatures.
@@ -47,6 +48,7 @@ SPLIT_PART = -1
 BROADCAST_ROWS = 100_000  # rows of 28 bytes on signatures of many holders
 FEW, MANY = 24, 256  # holders that are compared each with each, at once and block by block
 COMPARED, TASK_ROWS = 4_000, 50_000
+LOOKED_UP = 8_000_000  # rows of hashes, before what is connected by now is left out
 SKETCH, COARSE = 64, 8  # words of 64 bits of a context's sketches
 SHORT = 24  # hashes of a context that is compared by how often each stands there
 #: Kinds of rows of the first pass.
@@ -439,7 +441,7 @@ class Groups:
             while ((jumped := label[label]) != label).any():
                 label[:] = jumped
 
-    def search(self, group: np.ndarray, rows: np.ndarray, deeper: bool) -> None:
+    def search(self, group: np.ndarray, rows: np.ndarray) -> None:
         """Connects the rows of each group (rows in order of their groups) that a chain of pairs connects."""
         if not len(rows):
             return
@@ -453,8 +455,9 @@ class Groups:
         left = np.add.reduceat((label != label[of]).astype(np.int64), begin)
         for k in np.flatnonzero((left > 0) & (sizes > FEW)).tolist():
             some = rows[begin[k] : begin[k] + sizes[k]]
-            if deeper and len(some) > MANY:
-                self.search(*self.by_second_hash(some), False)
+            if len(some) > MANY:
+                self.by_second_hash(some)
+                self.by_rarest(some)
             else:
                 self.each_with_each(some)
         few = np.repeat((left > 0) & (sizes <= FEW), sizes)
@@ -492,8 +495,9 @@ class Groups:
             j, i = kept(j, i)
             self.compare(rows[i], rows[j])
 
-    def by_second_hash(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(group, rows): groups of rows with the same least hash, but for the signature's own, of a passage that holds it."""
+    def by_second_hash(self, rows: np.ndarray) -> None:
+        """Connects most rows of a large group at little cost, before all are searched: those with the same least hash, but for the
+        signature's own, of a passage that holds it are met with the first of them."""
         contexts, made = self.contexts[rows].astype(np.uint64), []
         for m in range(HASHES):
             y = _ranked(_mixed(contexts, 300 + m), 0)
@@ -507,15 +511,77 @@ class Groups:
         group, of = (np.concatenate(x) for x in zip(*made))
         by = np.lexsort((of, group))
         group, of = group[by], of[by]
-        fresh, _ = runs(group, of)
-        return group[fresh], of[fresh]
+        _, first = runs(group)
+        self.compare(of[first], of)
+
+    def rare(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts: (times, run) of each place, how many rows hold its hash and which of the hashes, in order, it is; and of each hash its
+        rows: (owner, begin, size)."""
+        n, span = c.shape
+        keys = np.sort((c.astype(np.int64) * (n * span) + np.arange(n * span).reshape(n, span)).ravel())
+        h, place = np.divmod(keys, n * span)
+        row = place // span
+        new, _ = runs(h)
+        fresh, _ = runs(h, row)
+        of = np.cumsum(new) - 1
+        size = np.bincount(of[fresh])
+        times, run = np.zeros(n * span, dtype=np.int64), np.zeros(n * span, dtype=np.int64)
+        times[place], run[place] = np.where(h > 0, size[of], 0), of
+        return times.reshape(n, span), run.reshape(n, span), row[fresh], np.cumsum(size) - size, size
+
+    def by_rarest(self, rows: np.ndarray) -> None:
+        """Connects all rows of a large group that pairs connect. A passage lacks no more than width - needed of its places in the other
+        row, so of any one more than that the other row holds one: the rarest of each passage are looked up in all rows. What has too many
+        shingles of its own in every passage shares none with any row, and goes first."""
+        spare = self.width - self.needed
+        while True:
+            if len(rows) < 2:
+                return
+            c = self.contexts[rows]
+            times, run, owner, begin, size = self.rare(c)
+            good = covered(times > 1, self.width, self.needed)[0]
+            if good.all():
+                break
+            rows = rows[good]
+        n, span = c.shape
+        asked = []
+        step = COMPARED // 4
+        for k in range(0, n, step):
+            # places in order of rarity, and the last of the rarest in each passage that can be shared
+            order = times[k : k + step] * span + np.arange(span)
+            last = np.partition(np.lib.stride_tricks.sliding_window_view(order, self.width, axis=1), spare, axis=2)[:, :, spare]
+            shared = np.cumsum(np.pad(times[k : k + step] > 1, ((0, 0), (1, 0))), axis=1)
+            last[shared[:, self.width :] - shared[:, : -self.width] < self.needed] = -1
+            most = sliding(np.maximum, np.pad(last, ((0, 0), (self.width - 1,) * 2), constant_values=-1), self.width)
+            i, at = np.nonzero((order <= most) & (times[k : k + step] > 1))
+            asked.append(np.unique(run[k + i, at] * n + k + i))
+        of, i = np.divmod(np.concatenate(asked), n)
+        by = np.argsort(size[of], kind="stable")
+        of, i = of[by], i[by]
+        while len(of):
+            # hashes whose rows are all connected have no more to say
+            label = self.label[rows]
+            held = label[owner]
+            open_ = (np.minimum.reduceat(held, begin) < np.maximum.reduceat(held, begin))[of]
+            of, i = of[open_], i[open_]
+            total = np.cumsum(size[of])
+            now = max(1, int(np.searchsorted(total, LOOKED_UP)))
+            cut_at = np.flatnonzero(np.diff(total[:now] // (LOOKED_UP // 16))) + 1
+            for own, x in zip(np.split(of[:now], cut_at), np.split(i[:now], cut_at)):
+                times_ = size[own]
+                at = np.arange(times_.sum()) - np.repeat(np.cumsum(times_) - times_, times_)
+                x, y = np.repeat(x, times_), owner[np.repeat(begin[own], times_) + at]
+                apart = (x < y) & (label[x] != label[y])
+                x, y = np.divmod(np.unique(x[apart] * n + y[apart]), n)
+                self.compare(rows[x], rows[y])
+            of, i = of[now:], i[now:]
 
 
 def grouped(group: np.ndarray, contexts: np.ndarray, width: int, needed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows in order of their group: the least row that verified pairs of the group connect each with, and the first and the
     last shingle of its passages."""
     found = Groups(contexts, width, needed)
-    found.search(group, np.arange(len(group)), True)
+    found.search(group, np.arange(len(group)))
     return found.label, found.low, found.high
 
 

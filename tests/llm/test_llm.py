@@ -443,6 +443,23 @@ def test_passage_groups_against_brute_force(few, many, monkeypatch):
         assert label.tolist() == root and ((high >= 0) == np.isin(np.arange(n), np.concatenate([a, b]))).all()
 
 
+@pytest.mark.parametrize("looked_up", [8_000_000, 64])
+def test_large_groups_lose_no_pair(looked_up, monkeypatch):
+    """Pairs with five changed shingles among many holders of a signature; one of them shares no second least hash."""
+    monkeypatch.setattr(passages, "LOOKED_UP", looked_up, raising=False)
+    rng = np.random.default_rng(8)
+    width, needed, n = 46, 41, 250
+    rows = rng.integers(2, 1 << 24, (2 * n, 2 * width - 1)).astype(np.uint32)
+    rows[:, width - 1] = 1
+    for k, start in enumerate(rng.integers(0, width, n)):
+        rows[2 * k + 1, start : start + width] = rows[2 * k, start : start + width]
+        at = np.setdiff1d(np.arange(start, start + width), [width - 1])
+        rows[2 * k + 1, rng.choice(at, width - needed, replace=False)] = rng.integers(2, 1 << 24, width - needed)
+    assert len(rows) > passages.MANY
+    label, _, _ = passages.grouped(np.zeros(2 * n, dtype=np.int64), rows, width, needed)
+    assert label.tolist() == [i // 2 * 2 for i in range(2 * n)]
+
+
 def test_passages_of_equal_contexts_over_any_batches():
     """The pass over ordered windows gives the same whatever the batches are, and what plain groups give."""
     rng = random.Random(10)
