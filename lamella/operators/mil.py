@@ -1,7 +1,7 @@
 """Mean intercept lengths and the degree of anisotropy.
 
 Parallel lines along many directions sample a volume in steps. The volume is held in blocks of packed bits; a task takes a block and some
-directions, works out which samples of each line lie in the block, and counts the changes of phase between them. A line that goes
+directions, draws the lines once, works out which samples of each lie in the block, and counts the changes of phase between them. A line that goes
 on in other blocks leaves its first and last phase there, and where its parts meet, in order, the changes at the borders of blocks are
 added. Lines follow from the seed and the direction's number, so the vectors are the same for any blocks and partitions, and no task
 holds more of the volume than a block.
@@ -19,7 +19,7 @@ from lamella.operators import blocks as dense
 from lamella.operators import fits
 
 LEAST_INCREMENT = 1.73
-SAMPLES = 500_000  # at a time
+SAMPLES, LINES = 500_000, 8192  # at a time
 BLOCK = 128
 CHUNK = 25  # directions that a task takes at once
 
@@ -57,15 +57,18 @@ def lines_of(shape: tuple[int, int, int], turn: np.ndarray, rng: np.random.Gener
     size = np.array(shape, dtype=float)
     diagonal, centre, along = float(np.linalg.norm(size)), size / 2, turn[:, 2]
     reach = np.abs(turn[:, :2]).T @ size / 2  # of the volume's shadow on the plane
+    down, across = (x.ravel().astype(float) for x in np.indices((sections, sections)))
     got, empty, made = 0.0, 0, []
     while got < length and empty < 100:
         cells = rng.permutation(sections * sections)
         jitter = rng.random((len(cells), 2))
-        u = ((cells % sections + jitter[:, 0]) / sections - 0.5) * diagonal
-        v = ((cells // sections + jitter[:, 1]) / sections - 0.5) * diagonal
-        offsets = rng.random(len(cells)) * increment
-        near = np.flatnonzero((np.abs(u) <= reach[0]) & (np.abs(v) <= reach[1]))
-        u, v, offsets = u[near], v[near], offsets[near]
+        u = ((across[cells] + jitter[:, 0]) / sections - 0.5) * diagonal
+        offsets = rng.random(len(cells))
+        near = np.flatnonzero(np.abs(u) <= reach[0])
+        v = ((down[cells[near]] + jitter[near, 1]) / sections - 0.5) * diagonal
+        both = np.flatnonzero(np.abs(v) <= reach[1])
+        near, v = near[both], v[both]
+        u, offsets = u[near], offsets[near] * increment
         origins = centre + u[:, None] * turn[:, 0] + v[:, None] * turn[:, 1]
         low, high = crossed(origins, along, np.zeros(3), size)
         starts = low + offsets
@@ -86,10 +89,16 @@ def lines_of(shape: tuple[int, int, int], turn: np.ndarray, rng: np.random.Gener
 def crossed(origins: np.ndarray, along: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From where to where lines are within a box; the first is beyond the second where they miss it."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = (low - origins) / along, (high - origins) / along
-        inside = (origins >= low) & (origins < high)
-        first = np.where(along == 0, np.where(inside, -np.inf, np.inf), np.minimum(a, b)).max(axis=1)
-        last = np.where(along == 0, np.where(inside, np.inf, -np.inf), np.maximum(a, b)).min(axis=1)
+        first, last = np.full(len(origins), -np.inf), np.full(len(origins), np.inf)
+        for at, way, l, h in zip(origins.T, along, low, high):  # noqa: E741
+            if way == 0:
+                inside = (at >= l) & (at < h)
+                a, b = np.where(inside, -np.inf, np.inf), np.where(inside, np.inf, -np.inf)
+            else:
+                a, b = (l - at) / way, (h - at) / way
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            np.maximum(first, a, out=first)
+            np.minimum(last, b, out=last)
     return first, last
 
 
@@ -113,29 +122,52 @@ def block_changes(volume: np.ndarray, low: np.ndarray, shape: tuple[int, int, in
     near = np.flatnonzero(last >= first)
     first = np.clip(np.floor((first[near] - starts[near]) / increment) - 1, 0, counts[near]).astype(np.int64)
     last = np.clip(np.ceil((last[near] - starts[near]) / increment) + 2, 0, counts[near]).astype(np.int64)
+    by = np.argsort(first - last, kind="stable")  # the lines of most samples first
+    near, first, last = near[by], first[by], last[by]
+    cells, stride = np.ascontiguousarray(volume).view(np.uint8).ravel(), (volume.shape[1] * volume.shape[2], volume.shape[2], 1)
+    alone = (low == 0).all() and (volume.shape >= size).all()  # no other block holds any of the image
     changes, parts = 0, []
-    cut = np.flatnonzero(np.diff(np.cumsum(last - first) // SAMPLES, prepend=0)).tolist()
-    for i, j in zip([0, *cut], [*cut, len(near)]):
-        n = last[i:j] - first[i:j]
-        which = np.repeat(np.arange(j - i), n)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[i:j][which]
-        line = near[i:j][which]
-        at = (origins[line] + (starts[line] + k * increment)[:, None] * along).astype(np.int64)
-        good = ((at >= 0) & (at < size)).all(axis=1)
-        own = good & ((at >= low) & (at < low + np.array(volume.shape))).all(axis=1)
-        whole = (first[i:j] == 0) & (last[i:j] == counts[near[i:j]]) & (np.bincount(which, good, j - i) == np.bincount(which, own, j - i))
-        at, k, which = at[own] - low, k[own], which[own]
-        if not len(at):
-            continue
-        phase = volume[at[:, 0], at[:, 1], at[:, 2]]
-        fresh = np.flatnonzero(np.diff(which, prepend=-1))
-        stop = np.append(fresh[1:], len(which)) - 1
-        turns = np.diff(phase.astype(np.int8), prepend=0) != 0
-        turns[fresh] = whole[which[fresh]] & phase[fresh]
-        changes += int(turns.sum())
-        left = ~whole[which[fresh]]
-        part = np.zeros(int(left.sum()), dtype=_PART)
-        part["line"], part["first"], part["begins"], part["ends"] = near[i:j][which[fresh]][left], k[fresh][left], phase[fresh][left], phase[stop][left]
+    for at in range(0, len(near), LINES):
+        some, since, until = (x[at : at + LINES] for x in (near, first, last))
+        going = np.searchsorted(since - until, -np.arange(int((until - since).max())))
+        start, begin, places = starts[some], since.astype(float), np.ascontiguousarray(origins[some].T)
+        none = np.uint8(2)
+        begins, ends = np.full(len(some), none), np.full(len(some), none)  # of each line the first and the last phase in the block
+        held, beyond = np.zeros(len(some), dtype=np.int64), np.zeros(len(some), dtype=bool)
+        for k, n in enumerate(going.tolist()):
+            way = begin[:n] + k
+            way *= increment
+            way += start[:n]
+            index, good, own = 0, True, True
+            for axis in range(3):
+                place = way * along[axis]
+                place += places[axis, :n]
+                place = place.astype(np.int32)
+                good = good & (place.view(np.uint32) < np.uint32(size[axis]))  # no less than 0, too
+                if not alone:
+                    place -= np.int32(low[axis])
+                    own = own & (place.view(np.uint32) < np.uint32(volume.shape[axis]))
+                if stride[axis] > 1:
+                    place *= np.int32(stride[axis])
+                index = index + place
+            if alone:
+                own = good
+            else:
+                own &= good
+                beyond[:n] |= good != own
+            index *= own
+            phase = cells[index]
+            changes += int(np.count_nonzero((phase != ends[:n]) & own))
+            fresh = np.flatnonzero(own & (begins[:n] == none))
+            begins[fresh], held[fresh] = phase[fresh], since[fresh] + k
+            np.copyto(ends[:n], phase, where=own)
+        met = begins != none
+        changes -= int(met.sum())  # a line's first sample in the block is no change yet
+        whole = met & (since == 0) & (until == counts[some]) & ~beyond
+        changes += int((whole & (begins == 1)).sum())
+        left = np.flatnonzero(met & ~whole)
+        part = np.zeros(len(left), dtype=_PART)
+        part["line"], part["first"], part["begins"], part["ends"] = some[left], held[left], begins[left] == 1, ends[left] == 1
         parts.append(part)
     return changes, np.concatenate(parts) if parts else np.zeros(0, dtype=_PART)
 
@@ -160,27 +192,28 @@ def mil_points(fg: DataFrame, shape: tuple[int, int, int], directions: int = 200
 
     def run(batches):
         for b in batches:
-            i_s, counts, left = [], [], []
+            i_s, counts, lengths, left = [], [], [], []
             for chunk, place, data in zip(b.column(0).to_pylist(), zip(*(b.column(k).to_pylist() for k in (1, 2, 3))), b.column(4).to_pylist()):
                 low = np.array(place) * block
                 volume = np.zeros((block,) * 3, dtype=bool) if data is None else dense.unpacked(data, (block,) * 3, bool).transpose(2, 1, 0)
                 for i in range(chunk * CHUNK, min(directions, (chunk + 1) * CHUNK)):
                     turn, rng = direction(seed, i)
-                    changes, parts = block_changes(volume, low, shape, lines_of(shape, turn, rng, length, sections, increment)[:3], turn[:, 2], increment)
+                    *own, got = lines_of(shape, turn, rng, length, sections, increment)
+                    changes, parts = block_changes(volume, low, shape, own, turn[:, 2], increment)
                     i_s.append(i)
                     counts.append(changes)
+                    lengths.append(got)
                     left.append(parts.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(i_s, pa.int64()), pa.array(counts, pa.int64()), pa.array(left, pa.binary())], names=["i", "changes", "parts"])
+            yield pa.RecordBatch.from_arrays([pa.array(i_s, pa.int64()), pa.array(counts, pa.int64()), pa.array(lengths, pa.float64()), pa.array(left, pa.binary())], names=["i", "changes", "length", "parts"])
 
     def meet(key, f):
-        turn, rng = direction(seed, int(key[0]))
-        got = lines_of(shape, turn, rng, length, sections, increment)[3]
+        turn, got = direction(seed, int(key[0]))[0], f.length.iloc[0]
         changes = int(f.changes.sum()) + border_changes(np.frombuffer(b"".join(f.parts), dtype=_PART))
         return pd.DataFrame([[key[0], *(turn[:, 2] * (got / max(1, changes)))]], columns=["i", "x", "y", "z"])
 
     held = grid.join(dense.blocks_of(fg.select("x", "y", "z"), [], None, block), ["bx", "by", "bz"], "left")
     tasks = max(1, spark.sparkContext.defaultParallelism * 4)
-    found = held.select("chunk", "bx", "by", "bz", "data").repartition(tasks, "chunk", "bx", "by", "bz").mapInArrow(run, "i bigint, changes bigint, parts binary")
+    found = held.select("chunk", "bx", "by", "bz", "data").repartition(tasks, "chunk", "bx", "by", "bz").mapInArrow(run, "i bigint, changes bigint, length double, parts binary")
     return found.groupBy("i").applyInPandas(meet, "i bigint, x double, y double, z double")
 
 

@@ -405,7 +405,8 @@ def _of_channels(fg: DataFrame, measure) -> DataFrame:
 def anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamella.operators import mil
 
-    return mil.anisotropy(_of_channels(foreground(spark, sf_dir), lambda fg: mil.mil_points(fg, SHAPE, seed=1)), ["c"])
+    fg = written(foreground(spark, sf_dir), "foreground")  # the items are read for all channels at once
+    return mil.anisotropy(_of_channels(fg, lambda fg: mil.mil_points(fg, SHAPE, seed=1)), ["c"])
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pytest
 
@@ -46,6 +48,36 @@ def test_vectors_are_the_same_for_any_blocks(spark):
     assert found[0] == found[1] == expected
 
 
+def test_lines_are_drawn_once_for_a_direction_and_block(spark, monkeypatch, tmp_path):
+    """And not again where the parts of lines meet, in few tasks."""
+    lines_of = mil.lines_of
+
+    def counted(*given):
+        (tmp_path / uuid.uuid4().hex).touch()
+        return lines_of(*given)
+
+    monkeypatch.setattr(mil, "lines_of", counted)
+    fg = spark.createDataFrame([(1, 2, 3)], "x int, y int, z int")
+    for block, blocks in ((32, 1), (8, 2 * 2 * 1)):
+        before = len(list(tmp_path.iterdir()))
+        assert len(mil.mil_points(fg, (12, 10, 8), 30, 20, block=block).collect()) == 30
+        assert len(list(tmp_path.iterdir())) - before == 30 * blocks
+
+
+def test_channels_are_measured_over_items_read_once(spark, monkeypatch):
+    from lamella.plans import measures
+
+    points, plans = mil.mil_points, []
+
+    def few_points(fg, shape, **rest):
+        plans.append(fg.inputFiles())
+        return points(fg, shape, 60, 100, **rest)
+
+    monkeypatch.setattr(mil, "mil_points", few_points)
+    assert measures.anisotropy(spark, "/root/testdata/sf0.001").count() == len(plans) == 3
+    assert plans[0] and not any("lineitem" in f for files in plans for f in files)
+
+
 def test_sheets_and_empty_volumes(spark):
     turn, rng = np.eye(3), np.random.default_rng(1)
     assert np.linalg.norm(mil.mil_vector(sheets(100, 2), turn, rng, 4000.0, 8, 1.0)) == pytest.approx(1.0, rel=0.05)
