@@ -23,8 +23,9 @@ from lamella.storage import written
 
 BLOCK = 16
 COLUMNS = ["cx", "cy", "cz", "ra", "rb", "rc", *(f"v{i}{j}" for i in range(3) for j in range(3))]
-#: Seeds that are searched at once, the angle of a turn by the contacts, and the rounds of one growth or shrinkage.
-BATCH, TURN, ROUNDS = 64, 0.1, 1000
+#: Seeds that are searched at once, the fewest that a group is cut into, the angle of a turn by the contacts, and the rounds of one growth
+#: or shrinkage.
+BATCH, LEAST_BATCH, TURN, ROUNDS = 64, 8, 0.1, 1000
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,7 @@ class Search:
 
     def __init__(self, volume: np.ndarray, low: np.ndarray, image: tuple[int, int, int], seeds: np.ndarray, ids: list[int], p: Parameters, seed: int = 0):
         self.volume, self.low, self.image, self.p = volume, np.asarray(low), np.array(image), p
+        self.cells = volume.reshape(-1)
         self.seeds, n = seeds.astype(float), len(seeds)
         self.rngs = [np.random.default_rng([seed, int(i) & (1 << 63) - 1]) for i in ids]
         unit = np.stack([r.normal(size=(p.vectors, 3)) for r in self.rngs]) if n else np.zeros((0, p.vectors, 3))
@@ -88,12 +90,22 @@ class Search:
         """(points, touching) on the surfaces: points of the image that aren't foreground touch, those beyond it don't."""
         points = self.surface(i)
         at = np.floor(points).astype(np.int64)
-        there = ((at >= 0) & (at < self.image)).all(axis=2)
+        there = self._within(at, self.image)
         at -= self.low
-        known = ((at >= 0) & (at < self.volume.shape)).all(axis=2)
-        self.lost[i] |= (there & ~known).any(axis=1)
-        at = np.where(known[:, :, None], at, 0)
-        return points, there & known & ~self.volume[at[..., 0], at[..., 1], at[..., 2]]
+        known = self._within(at, self.volume.shape)
+        beyond = there & ~known
+        if beyond.any():
+            self.lost[i] |= beyond.any(axis=1)
+        there &= known
+        cell = (at[..., 0] * self.volume.shape[1] + at[..., 1]) * self.volume.shape[2] + at[..., 2]
+        cell *= there
+        there &= ~self.cells[cell]
+        return points, there
+
+    @staticmethod
+    def _within(at: np.ndarray, size) -> np.ndarray:
+        inside = at.view(np.uint64) < np.asarray(size, dtype=np.uint64)  # no less than 0, too
+        return inside[..., 0] & inside[..., 1] & inside[..., 2]
 
     def _going(self, i: np.ndarray) -> np.ndarray:
         return i[self.alive[i] & ~self.lost[i]]
@@ -227,10 +239,13 @@ class Search:
 
 
 def _searched(seeds: DataFrame, held: DataFrame, shape: tuple[int, int, int], block: int, parameters: Parameters, seed: int) -> DataFrame:
-    """(seed_id, x, y, z, lost, COLUMNS) of seeds, each in its block and those around it; held are the image's blocks."""
+    """(seed_id, x, y, z, lost, COLUMNS) of seeds, each in its block and those around it; held are the image's blocks. Few seeds are dealt in
+    smaller groups, so that all cores search."""
+    cores = seeds.sparkSession.sparkContext.defaultParallelism
+    batch = max(LEAST_BATCH, min(BATCH, -(-seeds.count() // (2 * cores))))
     around = list(itertools.product((-1, 0, 1), repeat=3))
     own = seeds.select("seed_id", "x", "y", "z", *(F.floor(F.col(k) / block).cast("int").alias(f"b{k}") for k in "xyz"))
-    groups = own.groupBy(*dense.PLACE).agg(F.ceil(F.count(F.lit(1)) / BATCH).cast("int").alias("groups"))
+    groups = own.groupBy(*dense.PLACE).agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("groups"))
     own = own.join(groups, list(dense.PLACE)).select("seed_id", "x", "y", "z", *dense.PLACE, F.expr("int(pmod(xxhash64(seed_id), groups))").alias("group"))
     near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"o{k}") for k, v in zip("xyz", o))) for o in around)))
     sent = held.select(near.alias("o"), *dense.PLACE, "data").select(*((F.col(f"b{k}") + F.col(f"o.o{k}")).alias(f"b{k}") for k in "xyz"), *((-F.col(f"o.o{k}")).alias(f"o{k}") for k in "xyz"), "data")
@@ -255,7 +270,7 @@ def _searched(seeds: DataFrame, held: DataFrame, shape: tuple[int, int, int], bl
         return pd.DataFrame(out, columns=columns)
 
     by = [*dense.PLACE, "group"]
-    tasks = max(2 * seeds.sparkSession.sparkContext.defaultParallelism, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(2 * cores, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own, sent = (t.repartition(tasks, *by) for t in (own, sent))  # small rows, long searches: not to be coalesced
     return own.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(run, "seed_id bigint, x double, y double, z double, lost boolean, " + ", ".join(f"{c} double" for c in COLUMNS))
 

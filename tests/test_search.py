@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 import numpy as np
 import pytest
 
@@ -78,3 +81,37 @@ def test_blocks_dont_matter(spark, block):
     whole = [x for x in Search(ball, np.zeros(3, int), ball.shape, np.array([s[1:] for s in seeds]), [7, 8, 9], p).run() if x]
     assert len(rows) == len(whole) == 2
     assert sorted(np.prod([r[c] for c in ("ra", "rb", "rc")]) for r in rows) == pytest.approx(sorted(np.prod(x[1]) for x in whole))
+
+
+def test_few_seeds_are_dealt_over_the_cores(spark, monkeypatch, tmp_path):
+    """With the same ellipsoids as from one search of all."""
+    ball = solid((30, 30, 30), (15, 15, 15), (12, 8, 6))
+    fg = spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(ball)], "x int, y int, z int")
+    places = np.argwhere(ball)[::40][:32] + 0.5
+    seeds = [(i, *map(float, p)) for i, p in enumerate(places)]
+    p = Parameters(iterations=3)
+
+    class Noted(Search):
+        def __init__(self, volume, low, image, seeds, *rest):
+            (tmp_path / f"{uuid.uuid4().hex}-{len(seeds)}").touch()
+            super().__init__(volume, low, image, seeds, *rest)
+
+    monkeypatch.setattr(ellipsoids, "Search", Noted)
+    rows = ellipsoids.optimise(spark.createDataFrame(seeds, "seed_id bigint, x double, y double, z double"), fg, (30, 30, 30), p).collect()
+    sizes = [int(f.name.split("-")[1]) for f in tmp_path.iterdir()]
+    assert len(seeds) == sum(sizes) == 32 and max(sizes) < 32
+    whole = [x for x in Search(ball, np.zeros(3, int), ball.shape, places, list(range(32)), p).run() if x]
+    assert sorted((r["ra"], r["rb"], r["rc"]) for r in rows) == sorted(tuple(x[1]) for x in whole)
+
+
+def test_channels_are_measured_at_once(spark):
+    from lamella.plans import measures
+
+    met = threading.Barrier(measures.CHANNELS)
+
+    def measure(fg):
+        met.wait(20)
+        return fg.select("x")
+
+    rows = measures._of_channels(spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "c int, x int"), measure).collect()
+    assert sorted((r["c"], r["x"]) for r in rows) == [(0, 5), (1, 6), (2, 7)]
