@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,12 @@ def held(kind: str, name: str, make):
     return _held["model"]
 
 
+def freed() -> None:
+    """Lets go of a held model and its caches; for tasks that need none, as they run in workers that other stages have used."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class TwoGenerations(dict):
     """A dict for results of pure functions, bounded to about 2 x half entries: recent keys survive, old ones are computed anew."""
 

@@ -31,7 +31,7 @@ SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 NO_RANK = np.int64(1 << 40)
 MATRIX_BYTES = 32
 ARRAY_BYTES = 512
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 40_000
 BLOCK_CHARS = 4_000_000
 
 

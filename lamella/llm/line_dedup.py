@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import cut, free_name, row_key, written
+from lamella.llm._common import cut, free_name, freed, row_key, written
 
 SPACES = b" \t\n\v\f\r"
 BY_DOCUMENT = 10
@@ -35,6 +35,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least_key: int) -> DataF
     """(id, row, at, key, first) of every line with a key; first: the document has no earlier line of that key."""
 
     def run(batches):
+        freed()
         for b in cut(batches, 2):
             owner, at, keys, first = [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
@@ -89,6 +90,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
 
     def run(batches):
+        freed()
         for b in cut(batches, text):
             left = [reassembled(t or "", d)[0] for t, d in zip(b.column(text).to_pylist(), b.column(at).to_pylist())]
             columns = [b.column(i) for i in range(len(names))]
@@ -105,6 +107,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_d
     joined, drop = _with_drops(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, by_document, least_key)
 
     def run(batches):
+        freed()
         for b in batches:
             made = [reassembled(t or "", d) for t, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([hashlib.sha256(m[0].encode()).hexdigest() for m in made], pa.string())], names=[id_col, "n_lines", "n_dropped", "kept_sha256"])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._common import cut, discard, free_name, row_key, spread, written
+from lamella.llm._common import cut, discard, free_name, freed, row_key, spread, written
 from lamella.llm.graph import components
 
 SEED = 42
@@ -42,7 +42,8 @@ SHINGLE, MOST_BITS = 4, 4
 SPAN = 16
 BUCKET = 4096
 HOT_LEAST, HOT_TIMES = 1024, 4
-PAIRS = 1_000_000
+#: Pairs looked at in one step of the search, about 100 bytes each.
+PAIRS = 200_000
 GROUP_ROWS = 60_000
 #: The wide fingerprints of `deduplicate`: 64-bit words, tables, bits of a table's sample. Their angle tells the
 #: similarity of shingle sets: see `bits_for`.
@@ -103,6 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, row, fp): the fingerprint of every whole text, as bytes."""
 
     def run(batches):
+        freed()
         for b in cut(batches, 2):
             fp = [fingerprint(h, words, repeats) if (h := shingle_hashes(t or "", shingle)) else b"\0" * 8 * words for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], names=["id", "row", "fp"])
@@ -163,6 +165,7 @@ def _as_words(column: pa.Array, words: int) -> np.ndarray:
 
 def _buckets(distinct: DataFrame, words: int, masks: list[list[int]]) -> DataFrame:
     def run(batches):
+        freed()
         for b in batches:
             fps = _as_words(b.column(1), words)
             for t, positions in enumerate(masks):
@@ -246,11 +249,15 @@ class GrayIndex:
         ends = [np.arange(1, len(self.fps) + 1)]
         for first in self.first[1:]:
             ends.append(ends[-1][first[1:] - 1])
-        stack = [(top, np.arange(i, min(i + PAIRS // SPAN, len(self.fps))), None) for i in range(0, len(self.fps), PAIRS // SPAN)][::-1]
+        step = max(1, PAIRS // SPAN)
+        stack = [(top, np.arange(i, min(i + step, len(self.fps))), None) for i in range(0, len(self.fps), step)][::-1]
         uniform, fresh = self._uniform(), True
         while stack:
             level, q, v = stack.pop()
             v = root_of[q] if v is None else v
+            if len(q) > step:  # the rest waits as it is, so that a level holds PAIRS pairs at most
+                stack.append((level, q[step:], v[step:]))
+                q, v = q[:step], v[:step]
             if not fresh:
                 uniform, fresh = self._uniform(), True
             near = (ends[level][v] > q + 1) & (uniform[level][v] != self.label[q])
@@ -259,21 +266,18 @@ class GrayIndex:
             near = differences <= most_bits
             q, v = q[near], v[near]
             first = self.first[level]
-            sizes = first[v + 1] - first[v]
-            for i in range(0, len(q), max(1, PAIRS // SPAN)):
-                part = slice(i, i + max(1, PAIRS // SPAN))
-                n = sizes[part]
-                below = np.repeat(first[v[part]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                asked = np.repeat(q[part], n)
-                if level > 1:
-                    stack.append((level - 1, asked, below))
-                    continue
-                ahead = (below > asked) & (self.label[below] != self.label[asked])
-                asked, below = asked[ahead], below[ahead]
-                near = _apart(self.fps[asked], self.fps[below]) <= most_bits
-                if near.any():
-                    self._join(asked[near], below[near])
-                    fresh = False
+            n = first[v + 1] - first[v]
+            below = np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            asked = np.repeat(q, n)
+            if level > 1:
+                stack.append((level - 1, asked, below))
+                continue
+            ahead = (below > asked) & (self.label[below] != self.label[asked])
+            asked, below = asked[ahead], below[ahead]
+            near = _apart(self.fps[asked], self.fps[below]) <= most_bits
+            if near.any():
+                self._join(asked[near], below[near])
+                fresh = False
         return self.label
 
 
@@ -291,6 +295,7 @@ def _links(buckets: DataFrame, words: int, most_bits: int) -> DataFrame:
     """(u, v) from groups (bucket, a, b), whose rows come together and in order."""
 
     def run(batches):
+        freed()
         held: list[pa.Table] = []
         rows = 0
 
